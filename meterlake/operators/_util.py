@@ -33,9 +33,11 @@ def join_scalar_keys(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFr
     """Attach per-key statistics to rows.
 
     With keys, an equi-join on the keys (size is #keys; the planner decides
-    broadcast vs shuffle). Without keys, every column of the one-row ``stats``
-    becomes a scalar subquery: no join at all.
+    broadcast vs shuffle). Without keys ``stats`` is one aggregated row: it is
+    broadcast (a proven one-row bound) and joined on a constant, so the
+    aggregate runs once whatever the number of statistics.
     """
     if keys:
         return df.join(stats, on=keys, how="left")
-    return df.withColumns({c: stats.select(col(c)).scalar() for c in stats.columns})
+    one = F.broadcast(stats.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
