@@ -43,7 +43,7 @@ DEVICES25 = ("select l_orderkey, l_linenumber, l_shipdate as ts, p_brand as devi
              "from lineitem join part on l_partkey = p_partkey")
 SERIES6 = ("select p_type as series, l_shipdate as ts, l_quantity as kw "
            "from lineitem join part on l_partkey = p_partkey")
-COVARIATES = """select l_orderkey, l_linenumber, l_shipdate as ts, l_extendedprice as use_kw,
+COVARIATES = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate as ts, l_extendedprice as use_kw,
   l_quantity * 2 as temperature, l_discount as humidity, l_tax as windSpeed,
   case o_orderpriority when '1-URGENT' then 'Clear' when '2-HIGH' then 'Partly Cloudy'
     when '3-MEDIUM' then 'Overcast' when '4-NOT SPECIFIED' then 'Light Rain'

@@ -13,6 +13,7 @@ from meterlake.plans.catalog import (COVARIATES, DEVICES25, METER_LONG, METER_WI
 from meterlake.sources import fixtures as fx
 
 H_STEP, D_STEP, M_STEP = "interval 1 hour", "interval 1 day", "interval 1 month"
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _hourly_site():
@@ -385,15 +386,17 @@ def h03(spark, sf):
 
 
 @query("h04_ols_trend_points", f"""with c as ({COVARIATES}),
-s as (select l_orderkey, l_linenumber, temperature, use_kw, hour(ts) as hour from c
+s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, temperature, use_kw, hour(ts) as hour from c
       where temperature is not null and use_kw is not null
-      order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar)), l_orderkey, l_linenumber limit 1000),
+      order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' ||
+                   cast(l_partkey as varchar) || ':' || cast(l_suppkey as varchar)),
+               l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000),
 f as (select regr_slope(use_kw, temperature) as slope, regr_intercept(use_kw, temperature) as intercept from s)
 select s.*, intercept + slope * temperature as yhat from s, f""")
 def h04(spark, sf):
     """H4: OLS trend line of use on temperature fitted on a 1000-row sample."""
     c = fx.covariates(spark, sf).withColumn("hour", F.hour("ts"))
-    return stats.ols_trend_points(c, "use_kw", "temperature", ["l_orderkey", "l_linenumber"], 1000, extra=["hour"])
+    return stats.ols_trend_points(c, "use_kw", "temperature", ROW_KEY, 1000, extra=["hour"])
 
 
 @query("h08_standard_scale", f"""with c as ({COVARIATES}),
@@ -412,9 +415,11 @@ def h08(spark, sf):
     return stats.standard_scale(c, ["use_kw", "temperature", "humidity"], keys=["year_month"])
 
 
-@query("i01_sample_n", f"""select l_orderkey, l_linenumber, use_kw, temperature from ({COVARIATES})
-order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar)), l_orderkey, l_linenumber limit 1000""")
+@query("i01_sample_n", f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, use_kw, temperature from ({COVARIATES})
+order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' ||
+             cast(l_partkey as varchar) || ':' || cast(l_suppkey as varchar)),
+         l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000""")
 def i01(spark, sf):
     """Exactly 1000 rows, repeatable under any partitioning (seed 42)."""
-    c = fx.covariates(spark, sf).select("l_orderkey", "l_linenumber", "use_kw", "temperature")
-    return sample_n(c, 1000, ["l_orderkey", "l_linenumber"], 42)
+    c = fx.covariates(spark, sf).select(*ROW_KEY, "use_kw", "temperature")
+    return sample_n(c, 1000, ROW_KEY, 42)

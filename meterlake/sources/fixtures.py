@@ -107,13 +107,14 @@ def series6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute-style rows with site use and weather covariates."""
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
-        "l_tax", "l_shipdate")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_shipdate")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     mapping = F.create_map(*[F.lit(x) for kv in PRIORITY_TO_SUMMARY.items() for x in kv])
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    # Row key: (l_orderkey, l_linenumber) alone repeats in the driver data.
     return j.select(
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_shipdate").alias("ts"),
         F.col("l_extendedprice").alias("use_kw"),
         (F.col("l_quantity") * 2).alias("temperature"),
