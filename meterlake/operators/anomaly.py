@@ -51,41 +51,84 @@ def _c(n):
     return np.where(n == 2, 1.0, out)
 
 
+def _grow_tree(sub, rng, height: int):
+    """One isolation tree, built level by level: all nodes of a depth are
+    split with a few array operations. A node splits on a random feature
+    among those not constant in it, at a uniform threshold between that
+    feature's min and max; it stays a leaf at the height limit, with one
+    sample, or when every feature is constant."""
+    import numpy as np
+
+    n, d = sub.shape
+    feat, thr, left, right, size = [-1], [0.0], [-1], [-1], [n]
+    node_of = np.zeros(n, dtype=np.int64)
+    frontier = np.array([0])
+    for _depth in range(height):
+        if len(frontier) == 0:
+            break
+        in_front = np.isin(node_of, frontier)
+        idx = np.nonzero(in_front)[0]
+        if len(idx) == 0:
+            break
+        order = idx[np.argsort(node_of[idx], kind="stable")]
+        nodes, starts, counts = np.unique(node_of[order], return_index=True, return_counts=True)
+        vals = sub[order]
+        mins = np.minimum.reduceat(vals, starts, axis=0)
+        maxs = np.maximum.reduceat(vals, starts, axis=0)
+        varying = maxs > mins
+        can = (counts > 1) & varying.any(axis=1)
+        # A random feature among the varying ones of each splitting node.
+        r = rng.random((len(nodes), d)) * varying
+        f = np.argmax(r, axis=1)
+        lo = mins[np.arange(len(nodes)), f]
+        hi = maxs[np.arange(len(nodes)), f]
+        t = lo + rng.random(len(nodes)) * (hi - lo)
+        split_nodes = nodes[can]
+        next_ids = len(feat) + 2 * np.arange(len(split_nodes))
+        child = {}
+        for k, (nid, fk, tk, nl) in enumerate(zip(split_nodes, f[can], t[can], next_ids)):
+            feat[nid], thr[nid], left[nid], right[nid] = int(fk), float(tk), int(nl), int(nl + 1)
+            child[nid] = (int(fk), float(tk), int(nl))
+        feat += [-1, -1] * len(split_nodes)
+        thr += [0.0, 0.0] * len(split_nodes)
+        left += [-1, -1] * len(split_nodes)
+        right += [-1, -1] * len(split_nodes)
+        size += [0, 0] * len(split_nodes)
+        if not child:
+            break
+        # Route the samples of split nodes to their children.
+        per_sample_split = np.isin(node_of, split_nodes)
+        sidx = np.nonzero(per_sample_split)[0]
+        lookup_f = np.full(len(feat), -1, dtype=np.int64)
+        lookup_t = np.zeros(len(feat))
+        lookup_l = np.zeros(len(feat), dtype=np.int64)
+        for nid, (fk, tk, nl) in child.items():
+            lookup_f[nid], lookup_t[nid], lookup_l[nid] = fk, tk, nl
+        cur = node_of[sidx]
+        go_left = sub[sidx, lookup_f[cur]] <= lookup_t[cur]
+        node_of[sidx] = np.where(go_left, lookup_l[cur], lookup_l[cur] + 1)
+        new_nodes, new_counts = np.unique(node_of[sidx], return_counts=True)
+        for nid, c in zip(new_nodes, new_counts):
+            size[nid] = int(c)
+        frontier = new_nodes
+    return feat, thr, left, right, size
+
+
 def _build_forests(group_col: str, cols: list[str], n_trees: int, max_samples: int, seed: int):
     import numpy as np
     import pandas as pd
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         month = pdf[group_col].iloc[0]
-        pool = pdf[cols].to_numpy(dtype=float)
+        # A fixed row order makes the draw independent of how rows arrived.
+        pool = pdf.sort_values(cols, kind="mergesort")[cols].to_numpy(dtype=float)
         psi = min(max_samples, len(pool))
         height = int(math.ceil(math.log2(max(psi, 2))))
         rows = []
         for t in range(n_trees):
             rng = np.random.default_rng([seed, zlib.crc32(str(month).encode()), t])
             sub = pool[rng.choice(len(pool), size=psi, replace=False)]
-            nodes = []   # (feature, threshold, left, right, size)
-
-            def grow(X, depth):
-                idx = len(nodes)
-                nodes.append(None)
-                if depth >= height or len(X) <= 1:
-                    nodes[idx] = (-1, 0.0, -1, -1, len(X))
-                    return idx
-                f = int(rng.integers(X.shape[1]))
-                lo, hi = X[:, f].min(), X[:, f].max()
-                if lo == hi:
-                    nodes[idx] = (-1, 0.0, -1, -1, len(X))
-                    return idx
-                thr = float(rng.uniform(lo, hi))
-                go = X[:, f] <= thr
-                left = grow(X[go], depth + 1)
-                right = grow(X[~go], depth + 1)
-                nodes[idx] = (f, thr, left, right, len(X))
-                return idx
-
-            grow(sub, 0)
-            f, thr, lft, rgt, size = (list(x) for x in zip(*nodes))
+            f, thr, lft, rgt, size = _grow_tree(sub, rng, height)
             rows.append((month, t, f, thr, lft, rgt, size, psi))
         return pd.DataFrame(rows, columns=[group_col, "tree", "feature", "threshold", "left", "right",
                                            "size", "psi"])
@@ -94,37 +137,64 @@ def _build_forests(group_col: str, cols: list[str], n_trees: int, max_samples: i
 
 def _score_batches(group_col: str, cols: list[str], forests_bc):
     import numpy as np
-    import pandas as pd
 
     def run(it):
         forests = forests_bc.value
         for pdf in it:
             score = np.full(len(pdf), np.nan)
+            X_all = pdf[cols].to_numpy(dtype=float)
             for month, idx in pdf.groupby(group_col, sort=False).indices.items():
                 fr = forests.get(month)
                 if fr is None:
                     continue
-                X = pdf[cols].to_numpy(dtype=float)[idx]
-                total = np.zeros(len(idx))
-                for feat, thr, left, right, size, psi in fr:
-                    node = np.zeros(len(idx), dtype=np.int64)
-                    depth = np.zeros(len(idx))
-                    active = feat[node] >= 0
-                    while active.any():
-                        f = feat[node[active]]
-                        go_left = X[active, f] <= thr[node[active]]
-                        node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                        depth[active] += 1
-                        active = feat[node] >= 0
-                    total += depth + _c(size[node])
-                psi = fr[0][5]
-                score[idx] = 2.0 ** (-(total / len(fr)) / _c(psi))
+                feat, thr, left, right, size, psi = fr
+                X = X_all[idx]
+                n, n_trees = len(idx), feat.shape[0]
+                rows = np.arange(n)[:, None]
+                trees = np.arange(n_trees)[None, :]
+                node = np.zeros((n, n_trees), dtype=np.int64)
+                depth = np.zeros((n, n_trees))
+                # All trees walked together: one step per level.
+                while True:
+                    f = feat[trees, node]
+                    active = f >= 0
+                    if not active.any():
+                        break
+                    xv = X[rows, np.where(active, f, 0)]
+                    nxt = np.where(xv <= thr[trees, node], left[trees, node], right[trees, node])
+                    node = np.where(active, nxt, node)
+                    depth += active
+                path = depth + _c(size[trees, node])
+                score[idx] = 2.0 ** (-path.mean(axis=1) / _c(psi))
             out = pdf.copy()
             out["anomaly_score"] = score
             yield out
     return run
 
 
+def _pack(trees_pdf, gcol: str) -> dict:
+    """Forests as padded (trees x nodes) arrays per month."""
+    import numpy as np
+    forests = {}
+    for month, g in trees_pdf.sort_values([gcol, "tree"]).groupby(gcol, sort=False):
+        width = max(len(f) for f in g["feature"])
+        n = len(g)
+        feat = np.full((n, width), -1, dtype=np.int64)
+        thr = np.zeros((n, width))
+        left = np.zeros((n, width), dtype=np.int64)
+        right = np.zeros((n, width), dtype=np.int64)
+        size = np.zeros((n, width))
+        for t, r in enumerate(g.itertuples(index=False)):
+            k = len(r.feature)
+            feat[t, :k] = r.feature
+            thr[t, :k] = r.threshold
+            left[t, :k] = r.left
+            right[t, :k] = r.right
+            size[t, :k] = r.size
+        forests[month] = (feat, thr, left, right, size, int(g["psi"].iloc[0]))
+    return forests
+
+
 def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str], ts_col: str = "ts",
                       contamination: float = CONTAMINATION, n_trees: int = N_TREES,
                       max_samples: int = MAX_SAMPLES, min_rows: int = MIN_ROWS, seed: int = SEED) -> DataFrame:
@@ -152,18 +222,18 @@ def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str],
                               [*key_cols, *zcols], seed)
     fschema = (f"{gcol} string, tree int, feature array<int>, threshold array<double>, left array<int>, "
                f"right array<int>, size array<long>, psi int")
-    # One row per tree (months x trees rows), fetched through Arrow.
-    trees = pool.groupBy(gcol).applyInPandas(
+    # One row per tree (months x trees rows), fetched through Arrow. The pool
+    # is bounded per month, so hashing months over 4x the cores balances it; an
+    # explicit repartition keeps AQE from coalescing this CPU-bound stage
+    # into a few tasks.
+    par = max(spark.sparkContext.defaultParallelism, 1) * 4
+    trees = pool.repartition(par, gcol).groupBy(gcol).applyInPandas(
         _build_forests(gcol, zcols, n_trees, max_samples, seed), fschema).toPandas()
-    import numpy as np
-    forests: dict[str, list] = {}
-    for r in trees.sort_values([gcol, "tree"]).itertuples(index=False):
-        forests.setdefault(getattr(r, gcol), []).append((
-            np.asarray(r.feature), np.asarray(r.threshold), np.asarray(r.left), np.asarray(r.right),
-            np.asarray(r.size), int(r.psi)))
-    bc = spark.sparkContext.broadcast(forests)
+    bc = spark.sparkContext.broadcast(_pack(trees, gcol))
     schema = T.StructType(scaled.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-    scored = scaled.mapInPandas(_score_batches(gcol, zcols, bc), schema)
+    # Rows of one month sit together inside a partition, so a batch meets
+    # few months (no shuffle: a sort within each partition).
+    scored = scaled.sortWithinPartitions(gcol).mapInPandas(_score_batches(gcol, zcols, bc), schema)
     # A row is an anomaly when -score falls below the month's contamination
     # quantile of -score, i.e. its score is in the top share of the month.
     neg = scored.withColumn("_neg", -F.col("anomaly_score"))

@@ -33,13 +33,20 @@ def sample_n_per_group(df: DataFrame, n: int, group_cols: list[str], key_cols: l
                        seed: int = 42, method: str = "md5", salts: int = 64) -> DataFrame:
     """min(n, rows) rows per group, repeatable.
 
-    A hot group is split first: rows go to ``salts`` sub-groups by their hash,
-    each keeps its n smallest hashes (a sort of 1/salts of the group), then
-    the group keeps the n smallest of at most salts * n survivors."""
+    A group holding at most n rows is kept whole without ranking (a count
+    per group decides). A larger group is split first: rows go to ``salts``
+    sub-groups by their hash, each keeps its n smallest hashes (a sort of
+    1/salts of the group), then the group keeps the n smallest of at most
+    salts * n survivors."""
     from pyspark.sql import Window
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+    d = df.join(counts, group_cols, "inner")
+    small = d.where(F.col("_gn") <= n).drop("_gn")
+    big = d.where(F.col("_gn") > n).drop("_gn")
     h = sample_hash(key_cols, seed, method)
-    d = df.withColumn("_h", h).withColumn("_salt", F.abs(F.xxhash64("_h")) % salts)
+    b = big.withColumn("_h", h).withColumn("_salt", F.abs(F.xxhash64("_h")) % salts)
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy("_h", *key_cols)
-    d = d.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
+    b = b.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
     w2 = Window.partitionBy(*group_cols).orderBy("_h", *key_cols)
-    return d.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_h", "_salt", "_r")
+    b = b.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= n).drop("_h", "_salt", "_r")
+    return small.unionByName(b)
