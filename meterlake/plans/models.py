@@ -79,3 +79,8 @@ def j14(spark, sf):
     busiest = f.groupBy("year_month").count().orderBy(F.desc("count"), "year_month").limit(1)
     month = busiest.select("year_month").scalar()
     return f.where(F.col("year_month") == month)
+
+
+def reset_cache() -> None:
+    """Forget fitted models / flags (benchmarks time the full fit each run)."""
+    _CACHE.clear()
