@@ -204,7 +204,9 @@ def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str],
     The write-back needs no unique row key: modelled rows carry all their
     columns through scoring and the other rows are united back with the
     default label."""
+    from meterlake.session import ensure_checkpoint_dir
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     gcol = "year_month"
     base = df.withColumn(gcol, F.date_format(ts_col, "yyyy-MM"))
     complete = F.lit(True)
@@ -216,8 +218,10 @@ def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str],
     in_model = full.join(modelled, gcol, "left_semi")
     rest = base.where(~complete).unionByName(full.join(modelled, gcol, "left_anti"))
     zcols = [f"_z_{c}" for c in value_cols]
+    # The modelled rows feed the pool, the scoring and the output: one
+    # checkpoint instead of re-running the source plan for each.
     scaled = standard_scale(in_model.withColumns({z: F.col(c) for z, c in zip(zcols, value_cols)}),
-                            zcols, keys=[gcol])
+                            zcols, keys=[gcol]).checkpoint(eager=True)
     pool = sample_n_per_group(scaled.select(gcol, *key_cols, *zcols), n_trees * max_samples, [gcol],
                               [*key_cols, *zcols], seed)
     fschema = (f"{gcol} string, tree int, feature array<int>, threshold array<double>, left array<int>, "
@@ -233,7 +237,8 @@ def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str],
     schema = T.StructType(scaled.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
     # Rows of one month sit together inside a partition, so a batch meets
     # few months (no shuffle: a sort within each partition).
-    scored = scaled.sortWithinPartitions(gcol).mapInPandas(_score_batches(gcol, zcols, bc), schema)
+    scored = scaled.sortWithinPartitions(gcol).mapInPandas(_score_batches(gcol, zcols, bc), schema) \
+        .checkpoint(eager=True)
     # A row is an anomaly when -score falls below the month's contamination
     # quantile of -score, i.e. its score is in the top share of the month.
     neg = scored.withColumn("_neg", -F.col("anomaly_score"))

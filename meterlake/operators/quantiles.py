@@ -27,7 +27,10 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], keys=None
     user_keys = keys_list(keys)
     k = user_keys or ["_g"]
     src = df if user_keys else df.withColumn("_g", F.lit(0))
-    d = src.select(*k, col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # The narrow (keys, value) projection is read once per level: checkpoint
+    # it so the upstream plan (joins, Python stages) runs once.
+    d = src.select(*k, col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
+        .checkpoint(eager=True)
     stats = d.groupBy(*k).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     targets = stats.select(*k, "_n", "_lo", "_hi", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])).alias("_t"))
