@@ -30,6 +30,22 @@ def kpi_total_peak_mean(series: DataFrame, value_col: str, at_col: str, keys=Non
     return series.groupBy(*k).agg(*aggs) if k else series.agg(*aggs)
 
 
+def attach_kpis(series: DataFrame, value_col: str, at_col: str, keys, prefix: str = "") -> DataFrame:
+    """E6 attached to every bucket row: the group's total, peak, first peak
+    time, mean and bucket count, as windows over ``keys``. For calendar
+    groups (e.g. a day of hourly buckets) the window size is fixed, so the
+    series is computed once instead of aggregated and joined back."""
+    w = Window.partitionBy(*keys_list(keys))
+    v = col(value_col)
+    return series.withColumns({
+        f"{prefix}total": F.sum(v).over(w),
+        f"{prefix}peak": F.max(v).over(w),
+        f"{prefix}peak_at": _first_arg(value_col, at_col, True).over(w),
+        f"{prefix}mean": F.avg(v).over(w),
+        f"{prefix}buckets": F.count(F.lit(1)).over(w),
+    })
+
+
 def peak_and_min_points(series: DataFrame, value_col: str, at_col: str, keys=None) -> DataFrame:
     """First argmax and first argmin with their values."""
     k = keys_list(keys)

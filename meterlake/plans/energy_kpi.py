@@ -35,11 +35,8 @@ def m1(spark, sf):
     """M1 flagship: hourly use / generation / net of the site (gap-filled),
     each hour carrying its day's KPIs (total, first peak hour, mean)."""
     h = resample.align_use_gen(fx.meter_wide(spark, sf)).withColumn("day", F.to_date("hour"))
-    k = kpi.kpi_total_peak_mean(h, "use_kwh", "hour", keys=["day"]).select(
-        "day", F.col("total").alias("day_use_total"), F.col("peak").alias("day_use_peak"),
-        F.col("peak_at").alias("day_use_peak_at"), F.col("mean").alias("day_use_mean"),
-        F.col("n_buckets").alias("day_hours"))
-    return h.join(k, "day")
+    return kpi.attach_kpis(h, "use_kwh", "hour", ["day"], prefix="day_use_").withColumnRenamed(
+        "day_use_buckets", "day_hours")
 
 
 @query("d01_align_use_gen", _hourly_site() + " select hour, use_kwh, gen_kwh from h")
