@@ -158,3 +158,20 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "net_kwh" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_backfill_with_keys_has_no_single_partition_step(spark):
+    from meterlake.operators import clean
+    j = fx.junk_text(spark, SF_SMALL).withColumn("k", F.col("event_id") % 5)
+    out = clean.clean_backfill(j, "cloudCover", ["ts", "event_id"], keys=["k"])
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_dedup_keep_last_is_an_aggregate(spark):
+    from meterlake.operators.filters import dedup_keep_last
+    m = fx.meter_long(spark, SF_SMALL).withColumn("day", F.to_date("ts"))
+    out = dedup_keep_last(m.select("device", "day", "ts", "event_id", "kw"), ["device", "day"], "ts", ["event_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max_by" in plan
