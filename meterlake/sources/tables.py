@@ -49,24 +49,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scan_meter_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    order_col: str = "row_order") -> DataFrame:
-    """A1: header CSV with an explicit schema, NaN turned into NULL.
-
-    Rows of a CSV carry no order of their own in a DataFrame, so an order key is
-    attached at the scan: file path, then the byte offset of the split, then
-    the position inside the split. It is deterministic for a given input, and
-    A2/A3 use it as the row position.
+    """A1: header CSV with an explicit schema, NaN turned into NULL, and a
+    long order key that follows the files' row order.
+
+    Rows of a CSV carry no order of their own in a DataFrame. The key is
+    ``split_rank << 33 | row index``: splits (file path, byte offset) are
+    ranked in file order (a table with one row per split, so bounded by the
+    number of splits), and the row index is the position the scan gives the
+    row inside its task. It is deterministic for a given input, and A2/A3 use
+    it as the row position.
     """
+    from pyspark.sql import Window
     schema = schema or meter_csv_schema()
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    df = df.withColumn(
-        order_col,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-        ),
-    )
-    return nan_to_null(df)
+    df = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                         "_mono": F.monotonically_increasing_id()})
+    splits = df.select("_file", "_block").distinct()
+    splits = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_block")) - 1)
+    mask = (1 << 33) - 1
+    keyed = df.join(F.broadcast(splits), ["_file", "_block"])
+    keyed = keyed.withColumn(order_col, F.shiftleft(F.col("_rank").cast("long"), 33) +
+                             F.col("_mono").bitwiseAND(F.lit(mask)))
+    return nan_to_null(keyed.drop("_file", "_block", "_mono", "_rank"))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:

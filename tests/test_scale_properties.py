@@ -175,3 +175,25 @@ def test_dedup_keep_last_is_an_aggregate(spark):
     out = dedup_keep_last(m.select("device", "day", "ts", "event_id", "kw"), ["device", "day"], "ts", ["event_id"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_max_by" in plan
+
+
+def test_csv_scan_order_key_drives_regular_time(spark, tmp_path):
+    from pyspark.sql import types as T
+    from meterlake.sources.tables import scan_meter_csv
+    d = tmp_path / "csv"
+    d.mkdir()
+    n = 0
+    for f in range(3):
+        with open(d / f"part-{f}.csv", "w") as fh:
+            fh.write("time,use [kW],cloudCover\n")
+            for i in range(50 + 10 * f):
+                fh.write(f"x,{n},0.5\n")
+                n += 1
+    schema = T.StructType([T.StructField("time", T.StringType()), T.StructField("use [kW]", T.DoubleType()),
+                           T.StructField("cloudCover", T.StringType())])
+    df = scan_meter_csv(spark, str(d), schema)
+    out = ingest.assign_regular_time(df, "row_order").orderBy("ts").collect()
+    assert [r["use [kW]"] for r in out] == [float(i) for i in range(n)]
+    assert out[0]["ts"] == dt.datetime(2016, 1, 1, 5, 0) and out[-1]["ts"] == dt.datetime(2016, 1, 1, 5, 0) + dt.timedelta(minutes=n - 1)
+    last = ingest.drop_last_row(df, "row_order").count()
+    assert last == n - 1
