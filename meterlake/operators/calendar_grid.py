@@ -31,6 +31,12 @@ def week_weekday_grid(daily: DataFrame, value_col: str = "kwh", day_col: str = "
     return grid.join(cells, ["year", "weekday", "week"], "left")
 
 
+def week_weekday_pivot_wide(grid: DataFrame) -> DataFrame:
+    """E14 at the edge: one row per (year, weekday), columns "1".."53"."""
+    return (grid.groupBy("year", "weekday").pivot("week", list(range(1, 54)))
+            .agg(F.first("mean_kwh")).orderBy("year", "weekday"))
+
+
 def week_labels(daily: DataFrame, day_col: str = "day", rule: str = "reference") -> DataFrame:
     """E17 (+D4) and B16: per (year, week 1..53) the month label of the
     week's first day with data ("Unknown" if none), and the display label that

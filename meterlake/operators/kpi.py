@@ -84,6 +84,15 @@ def device_totals(df: DataFrame, device_col: str = "device", value_col: str = "k
             .withColumn("kwh", F.col("total") / samples_per_hour))
 
 
+def device_totals_wide(df: DataFrame, device_cols: list[str], samples_per_hour: int = 60) -> DataFrame:
+    """E9 on the wide layout: ONE aggregate of every device column, then
+    unpivoted to (device, total, kwh), largest first."""
+    present = [c for c in device_cols if c in df.columns]
+    sums = df.agg(*[F.coalesce(F.sum(col(c)), F.lit(0.0)).alias(c) for c in present])
+    long = sums.unpivot([], [col(c) for c in present], "device", "total")
+    return long.withColumn("kwh", F.col("total") / samples_per_hour).orderBy(F.desc("total"), "device")
+
+
 def share_of_total(totals: DataFrame, value_col: str = "total", keys=None, out_col: str = "share_pct",
                    digits: int = 1) -> DataFrame:
     """100 * x / sum(x), rounded half-even to ``digits``.

@@ -100,3 +100,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 def read_csv_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).options(**CSV_TIME_OPTIONS).csv(path)
+
+
+def wide_to_long(df: DataFrame, value_cols: list[str] | tuple[str, ...] = DEVICE_COLUMNS,
+                 id_cols: list[str] | None = None, name_col: str = "device", value_col: str = "kw",
+                 strip_unit: bool = True) -> DataFrame:
+    """The wide layout (one column per device) as long rows
+    ``(ids..., device, kw)`` through ``unpivot``; labels lose the " [kW]"
+    unit (B12)."""
+    present = [c for c in value_cols if c in df.columns]
+    ids = id_cols if id_cols is not None else [c for c in df.columns if c not in present]
+    long = df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in present], name_col, value_col)
+    if strip_unit:
+        long = long.withColumn(name_col, F.replace(F.col(name_col), F.lit(" [kW]"), F.lit("")))
+    return long

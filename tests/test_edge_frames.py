@@ -126,3 +126,18 @@ def test_anomaly_row_gate(spark):
     assert len(jan) == 100 and all(r["anomaly"] == 1 and r["anomaly_score"] is None for r in jan)
     assert len(feb) == 101 and all(r["anomaly_score"] is not None for r in feb)
     assert 1 <= sum(r["anomaly"] == -1 for r in feb) <= 5
+
+
+def test_wide_layout_helpers(spark):
+    from meterlake.operators.calendar_grid import week_weekday_grid, week_weekday_pivot_wide
+    from meterlake.sources.tables import wide_to_long
+    w = spark.createDataFrame([(ts("2024-01-01 00:00"), 1.0, 2.0), (ts("2024-01-01 00:01"), 3.0, None)],
+                              "ts timestamp_ntz, `Fridge [kW]` double, `Barn [kW]` double")
+    long = wide_to_long(w, ["Fridge [kW]", "Barn [kW]"])
+    assert sorted((r["device"], r["kw"]) for r in long.where("kw is not null").collect()) == \
+        [("Barn", 2.0), ("Fridge", 1.0), ("Fridge", 3.0)]
+    tot = kpi.device_totals_wide(w, ["Fridge [kW]", "Barn [kW]"]).collect()
+    assert [(r["device"], r["total"]) for r in tot] == [("Fridge [kW]", 4.0), ("Barn [kW]", 2.0)]
+    daily = spark.createDataFrame([(dt.date(2024, 1, 1), 5.0)], "day date, kwh double")
+    wide = week_weekday_pivot_wide(week_weekday_grid(daily)).collect()
+    assert len(wide) == 7 and wide[0]["1"] == 5.0 and len(wide[0]) == 55
