@@ -19,31 +19,46 @@ def drop_last_row(df: DataFrame, order_col: str) -> DataFrame:
 
 
 def row_position(df: DataFrame, order_col: str, out_col: str = "pos",
-                 n_buckets: int = 1024) -> DataFrame:
-    """0-based position of each row in ``order_col`` order, without a global
-    (single-partition) window.
-
-    The order key range is cut into at most ``n_buckets`` fixed-width ranges;
-    a count per range (an aggregate of at most ``n_buckets`` rows) gives every
-    range its starting offset, and ``row_number`` runs inside a range only.
-    The offset table has a proven size bound, so it is broadcast. The answer
-    does not depend on how the input is partitioned.
+                 n_buckets: int = 1024, max_rows: int = 5_000_000) -> DataFrame:
+    """0-based position of each row in ``order_col`` (integer) order, without
+    a global (single-partition) window.
+
+    The key range is cut into ``n_buckets`` fixed-width ranges; the count per
+    range (at most ``n_buckets`` rows, read on the driver) gives every range
+    its starting offset, and ``row_number`` runs inside one range only. A
+    range holding more than ``max_rows`` rows (a dense cluster of keys) is
+    cut again into ``n_buckets`` finer ranges. For distinct integer keys a
+    window partition then holds at most max(max_rows, key range /
+    n_buckets^2) rows. The offset table has at most n_buckets per level and is
+    broadcast. The answer does not depend on how the input is partitioned.
     """
     o = col(order_col).cast("long")
-    lo = df.select(F.min(o)).scalar()
-    hi = df.select(F.max(o)).scalar()
-    width = F.floor((hi - lo) / F.lit(n_buckets)) + 1
-    b = df.withColumn("_bucket", F.floor((o - lo) / width).cast("long"))
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    d = df.withColumn("_o", o)
+    lo, hi = d.agg(F.min("_o"), F.max("_o")).first()
+    if lo is None:
+        return df.withColumn(out_col, F.lit(None).cast("long"))
+    w0 = (hi - lo) // n_buckets + 1
+    b0 = F.floor((F.col("_o") - F.lit(lo)) / F.lit(w0)).cast("long")
+    d = d.withColumn("_b0", b0)
+    counts0 = d.groupBy("_b0").agg(F.count(F.lit(1)).alias("_n")).collect()
+    heavy = [r["_b0"] for r in counts0 if r["_n"] > max_rows]
+    if heavy:
+        w1 = w0 // n_buckets + 1
+        inner = F.col("_o") - F.lit(lo) - F.col("_b0") * F.lit(w0)
+        b1 = F.when(F.col("_b0").isin(heavy), F.floor(inner / F.lit(w1))).otherwise(F.lit(0)).cast("long")
+    else:
+        b1 = F.lit(0).cast("long")
+    d = d.withColumn("_b1", b1)
+    counts = d.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+        F.coalesce(F.sum("_n").over(Window.orderBy("_b0", "_b1").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)),
-    ).select("_bucket", "_off")
-    rn = F.row_number().over(Window.partitionBy("_bucket").orderBy(o))
-    return (b.join(F.broadcast(offsets), "_bucket")
+    ).select("_b0", "_b1", "_off")
+    rn = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy("_o"))
+    return (d.join(F.broadcast(offsets), ["_b0", "_b1"])
             .withColumn(out_col, F.col("_off") + rn - 1)
-            .drop("_bucket", "_off"))
+            .drop("_b0", "_b1", "_off", "_o"))
 
 
 def assign_regular_time(df: DataFrame, order_col: str, start: str = "2016-01-01 05:00:00",

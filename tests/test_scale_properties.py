@@ -197,3 +197,12 @@ def test_csv_scan_order_key_drives_regular_time(spark, tmp_path):
     assert out[0]["ts"] == dt.datetime(2016, 1, 1, 5, 0) and out[-1]["ts"] == dt.datetime(2016, 1, 1, 5, 0) + dt.timedelta(minutes=n - 1)
     last = ingest.drop_last_row(df, "row_order").count()
     assert last == n - 1
+
+
+def test_row_position_splits_dense_key_cluster(spark):
+    # A third of the rows sit in a narrow key range; with a tiny max_rows the
+    # dense bucket is cut again, and positions stay exact.
+    ids = list(range(0, 2000)) + list(range(10**9, 10**9 + 1000))
+    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(5)
+    got = {r["k"]: r["pos"] for r in ingest.row_position(df, "k", n_buckets=16, max_rows=100).collect()}
+    assert [got[k] for k in sorted(ids)] == list(range(len(ids)))
