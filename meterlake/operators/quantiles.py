@@ -40,7 +40,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], keys=None
     req = targets.select(*k, "_lo", "_hi", F.explode(F.array_distinct(F.array(
         F.floor("_h").cast("long"), F.ceil("_h").cast("long")))).alias("_r")).distinct()
     req = req.withColumn("_below", F.lit(0).cast("long"))
-    for _ in range(max_levels):
+    # Groups that already fit the exact-ranking bound need no refinement.
+    largest = stats.select(F.max("_n")).first()[0] or 0
+    for _ in range(max_levels if largest > max_exact else 0):
         ranges = req.select(*k, "_lo", "_hi", "_below").distinct()
         cand = d.join(ranges, on=k, how="inner").where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         width = F.col("_hi") - F.col("_lo")
