@@ -206,3 +206,33 @@ def test_row_position_splits_dense_key_cluster(spark):
     df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(5)
     got = {r["k"]: r["pos"] for r in ingest.row_position(df, "k", n_buckets=16, max_rows=100).collect()}
     assert [got[k] for k in sorted(ids)] == list(range(len(ids)))
+
+
+def test_stream_resumes_from_checkpoint(spark, tmp_path):
+    from meterlake.sources.tables import read_table
+    from meterlake.streaming.hourly import current_hourly, hourly_energy_stream, run_to_table
+    ev = read_table(spark, SF_SMALL, "events")
+    src = tmp_path / "incoming"
+    first = ev.where(F.col("event_id") < 500)
+    second = ev.where(F.col("event_id") >= 500)
+    first.coalesce(1).write.parquet(str(src / "batch=1"))
+    table, ckpt = str(tmp_path / "table"), str(tmp_path / "ckpt")
+    stream = hourly_energy_stream(spark, f"{src}/*/*.parquet", ev.schema, "value", ["event_type"])
+    run_to_table(stream, table, ckpt).awaitTermination()
+    second.coalesce(1).write.parquet(str(src / "batch=2"))
+    stream = hourly_energy_stream(spark, f"{src}/*/*.parquet", ev.schema, "value", ["event_type"])
+    run_to_table(stream, table, ckpt).awaitTermination()
+    got = {(r["event_type"], r["hour"]): round(r["kwh"], 9) for r in current_hourly(spark, table, ["event_type"]).collect()}
+    want = {(r["event_type"], r["hour"]): round(r["kwh"], 9) for r in
+            resample.hourly_energy(ev, "value", keys=["event_type"], gap_fill=None, out_names=["kwh"]).collect()}
+    assert got == want
+
+
+def test_hourly_rollup_plan_is_partial_and_pruned(spark):
+    from meterlake.sources.tables import read_table
+    q = resample.hourly_energy(read_table(spark, SF_SMALL, "events"), "value", keys=["event_type"], out_names=["kwh"])
+    q.write.format("noop").mode("overwrite").save()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(value" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
+    assert "SinglePartition" not in plan
