@@ -20,8 +20,11 @@ from meterlake.operators._util import col, keys_list
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], keys=None,
-                    bins: int = 1024, max_exact: int = 200_000, max_levels: int = 8) -> DataFrame:
-    """One row per key: ``q0, q1, ...`` for ``probs`` and the count ``n``."""
+                    bins: int = 1024, max_exact: int = 200_000, max_levels: int = 8,
+                    materialize: bool = True) -> DataFrame:
+    """One row per key: ``q0, q1, ...`` for ``probs`` and the count ``n``.
+
+    ``materialize=False`` when ``df`` is already a checkpointed narrow table."""
     from meterlake.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     user_keys = keys_list(keys)
@@ -29,8 +32,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], keys=None
     src = df if user_keys else df.withColumn("_g", F.lit(0))
     # The narrow (keys, value) projection is read once per level: checkpoint
     # it so the upstream plan (joins, Python stages) runs once.
-    d = src.select(*k, col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
-        .checkpoint(eager=True)
+    d = src.select(*k, col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if materialize:
+        d = d.checkpoint(eager=True)
     stats = d.groupBy(*k).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     targets = stats.select(*k, "_n", "_lo", "_hi", F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])).alias("_t"))

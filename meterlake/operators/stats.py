@@ -196,13 +196,19 @@ def high_usage_probability(df: DataFrame, use_col: str = "use_kw", summary_col:
 def box_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """Quartiles (exact, linear interpolation), IQR fences at 1.5 IQR,
     whiskers (extreme values inside the fences) and the outlier count."""
-    q = exact_quantiles(df, value_col, [0.25, 0.5, 0.75], keys=[group_col]).select(
+    from meterlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # The narrow (group, value) table is read by the quantile levels and by
+    # the whisker pass: materialise it once.
+    narrow = df.select(col(group_col), col(value_col).cast("double").alias(value_col)) \
+        .where(col(value_col).isNotNull()).checkpoint(eager=True)
+    q = exact_quantiles(narrow, value_col, [0.25, 0.5, 0.75], keys=[group_col], materialize=False).select(
         group_col, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumns({"iqr": F.col("q3") - F.col("q1")})
     q = q.withColumns({"lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
                        "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
-    v = col(value_col)
-    j = df.select(col(group_col), v.alias("_v")).where(F.col("_v").isNotNull()).join(
+    # One row per group: the planner/AQE broadcast it when it is small.
+    j = narrow.select(col(group_col), col(value_col).alias("_v")).join(
         q.select(group_col, "lower_fence", "upper_fence"), group_col)
     inside = F.col("_v").between(F.col("lower_fence"), F.col("upper_fence"))
     w = j.groupBy(group_col).agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
