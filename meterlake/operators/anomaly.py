@@ -243,6 +243,7 @@ def monthly_anomalies(df: DataFrame, key_cols: list[str], value_cols: list[str],
     # quantile of -score, i.e. its score is in the top share of the month.
     neg = scored.withColumn("_neg", -F.col("anomaly_score"))
     cut = exact_quantiles(neg, "_neg", [contamination], keys=[gcol]).select(gcol, F.col("q0").alias("_cut"))
+    # One cut per month: bounded by the calendar span, so it is broadcast.
     flagged = (neg.join(F.broadcast(cut), gcol)
                .withColumn("anomaly", F.when(F.col("_neg") < F.col("_cut"), -1).otherwise(1))
                .drop("_neg", "_cut", *zcols))
