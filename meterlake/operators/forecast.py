@@ -5,9 +5,10 @@ Shape of the work:
 * preparation (daily roll-up, calendar, fill, gates, hold-out) is Spark SQL
   grouped by series key; every per-series window runs over one series' days,
   a size bounded by the calendar span, never by the number of readings;
-* model fitting is reduced to sufficient statistics in Spark (lag products
-  for the AR model, partial Gram matrices for the additive model), so the
-  Python step that solves a model sees one small aggregated row per series;
+* the AR model is reduced to sufficient statistics in Spark (lag products),
+  so its Python solve sees one aggregated row per series; the additive
+  model's design matrix is a Spark expression and its ridge solve runs per
+  series on that series' training days (bounded by the calendar span);
 * predictions are DataFrame projections.
 
 Known deviations (stated in the README): the additive model is a ridge fit of
@@ -199,26 +200,9 @@ def _n_features() -> int:
     return 2 + N_CHANGEPOINTS + 2 * (YEARLY_ORDER + WEEKLY_ORDER)
 
 
-def _gram_partial(keys: list[str], kdim: int):
-    import numpy as np
-    import pandas as pd
-
-    def part(it):
-        for pdf in it:
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
-            for key, g in groups:
-                X = np.stack(g["_f"].to_numpy())
-                y = g["_ys"].to_numpy(dtype=float)
-                vals = np.concatenate([(X.T @ X).ravel(), X.T @ y, [y @ y, len(y)]])
-                out = pd.DataFrame({"_i": np.arange(len(vals), dtype="int32"), "_v": vals})
-                kv = key if isinstance(key, tuple) else (key,)
-                for name, v in zip(keys, kv):
-                    out.insert(0, name, v)
-                yield out
-    return part
-
-
-def _ridge_solver(keys: list[str], kdim: int, lam_cp: float, lam_season: float):
+def _ridge_fit(keys: list[str], kdim: int, lam_cp: float, lam_season: float):
+    """Per series: X'X + penalty, X'y and the ridge solve. One group is one
+    series' training days, so its size is bounded by the calendar span."""
     import numpy as np
     import pandas as pd
 
@@ -226,17 +210,14 @@ def _ridge_solver(keys: list[str], kdim: int, lam_cp: float, lam_season: float):
     pen[2:2 + N_CHANGEPOINTS] = lam_cp
     pen[2 + N_CHANGEPOINTS:] = lam_season
 
-    def solve(it):
-        for pdf in it:
-            out = []
-            for _, r in pdf.iterrows():
-                v = np.asarray(r["_g"], dtype=float)
-                xtx = v[:kdim * kdim].reshape(kdim, kdim)
-                xty = v[kdim * kdim:kdim * kdim + kdim]
-                beta = np.linalg.lstsq(xtx + np.diag(pen), xty, rcond=None)[0]
-                out.append([*(r[c] for c in keys), beta.tolist()])
-            yield pd.DataFrame(out, columns=[*keys, "_beta"])
-    return solve
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.stack(pdf["_f"].to_numpy())
+        y = pdf["_ys"].to_numpy(dtype=float)
+        beta = np.linalg.lstsq(X.T @ X + np.diag(pen), X.T @ y, rcond=None)[0]
+        out = pdf[keys].iloc[:1].copy()
+        out["_beta"] = [beta.tolist()]
+        return out
+    return fit
 
 
 def forecast_additive(split: DataFrame, steps: DataFrame, keys=None, ds_col: str = "ds", y_col: str = "y",
@@ -266,13 +247,13 @@ def forecast_additive(split: DataFrame, steps: DataFrame, keys=None, ds_col: str
         .withColumn("_ys", F.col(y_col) / F.col("_scale"))
     kdim = _n_features()
     key_fields = [f for f in split.schema.fields if f.name in k]
-    gschema = T.StructType(key_fields + [T.StructField("_i", T.IntegerType()), T.StructField("_v", T.DoubleType())])
-    parts = frame.where(F.col("_ys").isNotNull()).select(*k, "_f", "_ys").mapInPandas(_gram_partial(k, kdim), gschema)
-    gram = (parts.groupBy(*k, "_i").agg(F.sum("_v").alias("_v"))
-            .groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_g"))
-            .select(*k, F.transform("_g", lambda s: s["_v"]).alias("_g")))
     bschema = T.StructType(key_fields + [T.StructField("_beta", T.ArrayType(T.DoubleType()))])
-    beta = gram.mapInPandas(_ridge_solver(k, kdim, lam_cp, lam_season), bschema)
+    fit_rows = frame.where(F.col("_ys").isNotNull()).select(*k, "_f", "_ys")
+    if k:
+        beta = fit_rows.groupBy(*k).applyInPandas(_ridge_fit(k, kdim, lam_cp, lam_season), bschema)
+    else:
+        beta = fit_rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(
+            _ridge_fit([], kdim, lam_cp, lam_season), T.StructType([T.StructField("_beta", T.ArrayType(T.DoubleType()))]))
     pred = join_scalar_keys(frame, beta, k)
     dot = F.aggregate(F.zip_with("_f", "_beta", lambda x, b: x * b), F.lit(0.0), lambda acc, x: acc + x)
     pred = pred.withColumn("yhat", dot * F.col("_scale"))
