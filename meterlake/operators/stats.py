@@ -81,6 +81,11 @@ def corr_matrix(df: DataFrame, cols: list[str], keys=None, digits: int | None =
     key_fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in k]
     schema = ", ".join(key_fields + ["i int", "j int", "n long", "sx double", "sy double", "sxx double",
                                      "syy double", "sxy double"])
+    # With keys, rows of a key are made contiguous inside each partition (a
+    # local sort, no shuffle), so a batch emits n x n rows per key it holds,
+    # not per key per scattered row group.
+    if k:
+        centred = centred.sortWithinPartitions(*k)
     sums = (centred.mapInPandas(_pair_stats(k, n), schema)
             .groupBy(*k, "i", "j")
             .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))

@@ -236,3 +236,23 @@ def test_hourly_rollup_plan_is_partial_and_pruned(spark):
     assert "partial_sum(value" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan
     assert "SinglePartition" not in plan
+
+
+def test_keyed_corr_matches_pandas(spark):
+    import pandas as pd
+    from meterlake.operators import stats
+    rnd = np.random.default_rng(11)
+    rows = []
+    for k in ("a", "b", "c"):
+        x = rnd.normal(size=80)
+        y = 0.5 * x + rnd.normal(size=80)
+        z = np.where(rnd.random(80) < 0.2, np.nan, rnd.normal(size=80))
+        rows += [(k, float(a), float(b), None if np.isnan(c) else float(c)) for a, b, c in zip(x, y, z)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(4)
+    got = {(r["k"], r["a"], r["b"]): r["r"] for r in stats.corr_matrix(df, ["x", "y", "z"], keys=["k"], digits=None).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "x", "y", "z"])
+    for k, g in pdf.groupby("k"):
+        want = g[["x", "y", "z"]].corr()
+        for a in "xyz":
+            for b in "xyz":
+                assert math.isclose(got[(k, a, b)], want.loc[a, b], rel_tol=1e-9, abs_tol=1e-12)
