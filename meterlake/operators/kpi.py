@@ -129,7 +129,16 @@ def top_k_plus_other(shares: DataFrame, k: int = 5, share_col: str = "share_pct"
     The input is one row per (key, device): its size is the number of
     devices, not of readings."""
     ks = keys_list(keys)
-    ranked = shares.withColumn("_rn", _rank(shares, order_col, name_col, ks))
+    if ks:
+        ranked = shares.withColumn("_rn", _rank(shares, order_col, name_col, ks))
+    else:
+        # No keys: the top k come from a TakeOrdered (k rows, a proven bound)
+        # joined back by name, instead of ranking every row in one window.
+        top = (shares.orderBy(F.desc(order_col), F.asc(name_col)).limit(k)
+               .select(col(name_col).alias("_top"), col(order_col).alias("_v")))
+        top = top.withColumn("_rn", F.row_number().over(Window.orderBy(F.desc("_v"), F.asc("_top"))))
+        ranked = shares.join(F.broadcast(top.select("_top", "_rn")), col(name_col) == F.col("_top"), "left") \
+            .withColumn("_rn", F.coalesce(F.col("_rn"), F.lit(k + 1))).drop("_top")
     label = F.when(F.col("_rn") <= k, col(name_col)).otherwise(F.lit(other))
     return (ranked.groupBy(*ks, label.alias(name_col))
             .agg(F.sum(share_col).alias(share_col), F.min("_rn").alias("rank")))
