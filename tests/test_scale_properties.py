@@ -256,3 +256,10 @@ def test_keyed_corr_matches_pandas(spark):
         for a in "xyz":
             for b in "xyz":
                 assert math.isclose(got[(k, a, b)], want.loc[a, b], rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_written_tables_live_in_the_shared_checkpoint_folder(spark):
+    from meterlake.session import ensure_checkpoint_dir, shared_dir
+    root = ensure_checkpoint_dir(spark)
+    assert root == spark.sparkContext.getCheckpointDir()
+    assert shared_dir(spark, "exports/x").startswith(root.rstrip("/") + "/")
