@@ -29,7 +29,7 @@ _CACHE: dict = {}
 def _chain(spark, sf):
     """The chain's outputs, built once per session and input: its reused
     parts are checkpointed files, so later queries read them back."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         start, end = _range(spark, sf)
         _CACHE[key] = fc.run_forecasts(fx.series6(spark, sf), KEYS, HORIZON, start=start, end=end)

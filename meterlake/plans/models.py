@@ -19,7 +19,7 @@ _CACHE: dict = {}
 def _fitted(spark, sf):
     """The 3000-row sample of complete rows (seed 42) and the model fitted on
     it, kept per session and input so the three queries share one fit."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         c = drop_incomplete(fx.covariates(spark, sf).select(*KEYS, "use_kw", *FEATURES), ["use_kw", *FEATURES])
         s = sample_n(c, explain.SAMPLE_ROWS, KEYS, 42).checkpoint(eager=True)
@@ -50,7 +50,7 @@ def j12(spark, sf):
 
 
 def _flags(spark, sf):
-    key = ("anomaly", id(spark), sf)
+    key = ("anomaly", spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         c = fx.covariates(spark, sf).select(*KEYS, "ts", "use_kw", "temperature", "humidity")
         _CACHE[key] = anomaly.monthly_anomalies(c, KEYS, ["use_kw", "temperature", "humidity"]).checkpoint(eager=True)
