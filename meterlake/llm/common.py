@@ -100,9 +100,9 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     count = len(words) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = mix64(words[:count])
+    out = words[:count] * _MUL
     for k in range(1, n):
-        out = mix64(out * _MUL + words[k : k + count])
+        out = (out + words[k : k + count]) * _MUL
     return out
 
 
