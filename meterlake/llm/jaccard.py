@@ -364,7 +364,7 @@ def similarity_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = kept.join(labels, "node", "left").select("h", "node", "size_pos", F.coalesce("label", "node").alias("label"))
     place = F.struct(F.col("size_pos").bitwiseAND(0xFFFFFFFF).alias("p"), "node", "size_pos")
     heads = marked.groupBy("h", "label").agg(F.min(place).alias("r"))
-    found2 = stars(heads.select("h", F.lit(0).alias("salt"), "r.node", "r.size_pos"))
+    found2 = stars(heads.select("h", F.lit(-1).alias("salt"), "r.node", "r.size_pos"))
     tested = pairs_of(found)
     pairs2 = stored(pairs_of(found2).join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verify(keyed, classes, pairs2, n, percent, tasks))
