@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, substring, token_files
+from . import decontam, jaccard, kneser_ney, packing, substring, token_files, url_cascade
 
 DOCS = "documents"
 
@@ -23,6 +23,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(_read(spark, sf_dir, DOCS))
 
 
+def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(_read(spark, sf_dir, "pages"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_read(spark, sf_dir, DOCS), _read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, DOCS))
 
@@ -31,5 +39,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(_read(spark, sf_dir, DOCS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_files, op6_pack, op9_jaccard_join)}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexity_scores(_read(spark, sf_dir, DOCS))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op9_jaccard_join, op10_kneser_ney)}
 SQL: dict[str, str] = {}
