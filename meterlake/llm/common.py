@@ -41,6 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it counts ``rows`` rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hold_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text leaves ``fold`` modulo ``folds``. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import checked, prepare, stored
 
 WINDOW = 13
 SHINGLE = 4
@@ -28,11 +28,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BREAKS), "")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _windows(items: DataFrame, window: int) -> DataFrame:
     """Distinct windows ``wid, w, len, items`` of the items; the ids are strings."""
     own = items.select("item", "words").where(F.size("words") > 0)
@@ -78,14 +73,14 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         parts = own_parts if parts is None else parts.unionByName(own_parts)
     parts = stored(parts.withColumnRenamed("pos", "offset"), "item-shingles")
 
-    found = _shingles(own.withColumn("n", F.size("words")), ["doc_id", "text_key", "n"], "words", sizes).join(_checked(parts.select("h").distinct()), "h")
+    found = _shingles(own.withColumn("n", F.size("words")), ["doc_id", "text_key", "n"], "words", sizes).join(checked(parts.select("h").distinct(), BROADCAST_ROWS), "h")
     found = stored(found, "shingle-places")
     rarity = found.groupBy("h").agg(F.count("*").alias("n_places"))
     rarest = parts.join(rarity, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n_places", F.lit(0)).alias("n"), "h", "offset")).alias("r"))
     prefixes = rarest.where("r.n > 0").join(windows, "wid").select(F.col("r.h").alias("h"), F.col("r.offset").alias("offset"), "len", "w", "items")
     prefixes = stored(prefixes, "prefixes")
     start = F.col("pos") - F.col("offset")
-    candidates = found.join(_checked(prefixes), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "len", "w", "items")).alias("candidates"))  # bounded by the document's words
+    candidates = found.join(checked(prefixes, BROADCAST_ROWS), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "len", "w", "items")).alias("candidates"))  # bounded by the document's words
     candidates = stored(candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "candidates"), "candidates")
     size = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()
     side = F.broadcast(candidates) if sum(size) <= BROADCAST_ROWS // 4 else candidates

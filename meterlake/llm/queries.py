@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, kneser_ney, packing, substring, token_files, url_cascade
+from . import decontam, jaccard, kneser_ney, langid, packing, quality, substring, token_files, toxicity, url_cascade
 
 DOCS = "documents"
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, DOCS), _read(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_read(spark, sf_dir, DOCS))
 
@@ -35,6 +39,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, DOCS))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_read(spark, sf_dir, DOCS))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, DOCS), _read(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(_read(spark, sf_dir, DOCS))
 
@@ -43,5 +55,5 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity_scores(_read(spark, sf_dir, DOCS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op9_jaccard_join, op10_kneser_ney)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op7_language_id, op8_toxicity, op9_jaccard_join, op10_kneser_ney)}
 SQL: dict[str, str] = {}

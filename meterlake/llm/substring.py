@@ -282,19 +282,20 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return shipped.where("blob is null").select("doc_id", "text_key", "start", "end").unionByName(judged)
 
 
+def _kept(data: bytes | None, spans) -> tuple[int, int, bytes]:
+    """Number of words, number of words that the spans cover, and the other words joined by one space."""
+    words = words_of(data)
+    edge = np.zeros(len(words) + 1, np.int32)
+    for s in spans or ():
+        edge[s["start"]] += 1
+        edge[min(s["end"], len(words))] -= 1
+    gone = np.cumsum(edge)[:-1] > 0
+    return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
+
+
 def _keeper(batches):
     for batch in batches:
-        out = []
-        for doc_id, text_key, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(data)
-            gone = np.zeros(len(words) + 1, np.int32)
-            for s in spans or ():
-                gone[s["start"]] += 1
-                gone[min(s["end"], len(words))] -= 1
-            gone = np.cumsum(gone)[:-1] > 0
-            n = int(gone.sum())
-            kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-            out.append((doc_id, text_key, len(words), n, kept))
+        out = [(doc_id, text_key, *_kept(data, spans)) for doc_id, text_key, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
 
@@ -309,6 +310,34 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return kept.select("doc_id", "text_key", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with all its columns and without the words that repeated windows cover. A text that loses words has its kept ones joined by
+    one space, and its length, if there is such a column, follows; a text that loses nothing stays as it is; a text that loses all words goes."""
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
+    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
+    joined = docs.join(of_doc, docs[id_col].cast("long").eqNullSafe(of_doc["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == of_doc["_key"]), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    names, kinds = docs.columns, docs.schema
+
+    def run(batches):
+        for batch in batches:
+            at = names.index(text_col)
+            texts, keep, lengths = batch.column(at).to_pylist(), [], {}
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+                if spans:
+                    _n, _gone, kept = _kept(texts[i].encode(), spans)
+                    texts[i] = kept.decode()
+                    lengths[i] = len(texts[i])
+                keep.append(not spans or bool(texts[i]))
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, columns[at].type)
+            if length_col in names:
+                k = names.index(length_col)
+                columns[k] = pa.array([lengths.get(i, v) for i, v in enumerate(columns[k].to_pylist())], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, kinds)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
