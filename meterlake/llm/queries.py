@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, kneser_ney, langid, packing, quality, substring, token_files, toxicity, url_cascade
+from . import decontam, jaccard, kneser_ney, langid, oracles, packing, quality, substring, token_files, toxicity, url_cascade
 
 DOCS = "documents"
 
@@ -56,4 +56,4 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op7_language_id, op8_toxicity, op9_jaccard_join, op10_kneser_ney)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_url_cascade": oracles.URLS, "op5_decontaminate": oracles.CONTAMINATION, "op9_jaccard_join": oracles.JACCARD}
