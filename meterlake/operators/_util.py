@@ -25,8 +25,19 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return f is not None and isinstance(f.dataType, T.NumericType)
 
 
-def empty_like(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where NULL equals NULL; the left side's key columns stay (for ``full`` either side's)."""
+    on = list(on)
+    names = {c: f"_r_{i}" for i, c in enumerate(on)}
+    r = right.withColumnsRenamed(names)
+    cond = None
+    for c, n in names.items():
+        e = left[f"`{c}`"].eqNullSafe(r[n])
+        cond = e if cond is None else cond & e
+    j = left.join(r, cond, how)
+    if how == "full":
+        j = j.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(n)) for c, n in names.items()})
+    return j.drop(*names.values())
 
 
 def join_scalar_keys(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,6 +49,6 @@ def join_scalar_keys(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFr
     aggregate runs once whatever the number of statistics.
     """
     if keys:
-        return df.join(stats, on=keys, how="left")
+        return null_safe_join(df, stats, keys, "left")
     one = F.broadcast(stats.withColumn("_one", F.lit(1)))
     return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")

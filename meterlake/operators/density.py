@@ -1,11 +1,9 @@
-"""Smoothers and densities on a bounded, repeatable sample (H5, H6, H7).
-
-The source draws 2000 / 3000 / 1000-row samples for these views; the sample
-(I1) is the only data gathered, and its size is the stated bound that makes
-the broadcast safe. Evaluation points (sample points for LOWESS, grid cells
-for the densities) are spread over tasks with ``mapInPandas``; every task
-evaluates its points against the broadcast sample with NumPy. No row pairs
-are materialised.
+"""Smoothers and densities (H5, H6, H7).
+
+The per-season distribution (H7) uses all rows. The smoother and the 2-D
+density draw the source's 2000 / 3000-row samples (I1), which are the only
+data gathered. Evaluation points are spread over tasks with ``mapInPandas``;
+every task evaluates its points against the broadcast sample with NumPy.
 """
 
 from __future__ import annotations
@@ -141,40 +139,39 @@ def kde2d(df: DataFrame, x: str, y: str, key_cols: list[str], n: int = 3000, gri
                         (F.col("density") >= level).alias("in_contour"), level.alias("level"))
 
 
-def season_sample(df: DataFrame, value_col: str, key_cols: list[str], season_col: str = "season",
-                  n: int = 1000, seed: int = 42) -> DataFrame:
-    """The H7 view's repeatable sample of complete (value, season) rows."""
-    d = df.select(*key_cols, col(value_col), col(season_col)).dropna(subset=[value_col, season_col])
-    return sample_n(d, n, key_cols, seed)
-
-
-def season_box(df: DataFrame, value_col: str, key_cols: list[str], season_col: str = "season",
-               n: int = 1000) -> DataFrame:
-    """H7 (box part): exact quartiles, whiskers and outliers per season of
-    the n-row sample."""
+def season_box(df: DataFrame, value_col: str, season_col: str = "season") -> DataFrame:
+    """H7 (box part): exact quartiles, whiskers and outliers per season of all
+    complete rows."""
     from meterlake.operators.stats import box_stats
-    return box_stats(season_sample(df, value_col, key_cols, season_col, n), value_col, season_col)
+    return box_stats(df.select(col(value_col), col(season_col)).dropna(), value_col, season_col)
 
 
-def season_density(df: DataFrame, value_col: str, key_cols: list[str], season_col: str = "season",
-                   n: int = 1000, points: int = 100) -> DataFrame:
+def season_density(df: DataFrame, value_col: str, season_col: str = "season", points: int = 100,
+                   bins: int = 512) -> DataFrame:
     """H7 (density part): 1-D Gaussian density per season (Silverman
-    bandwidth) on ``points`` values spanning each season's range, over the
-    n-row sample (so a season holds at most n values)."""
-    df = season_sample(df, value_col, key_cols, season_col, n)
-    q = exact_quantiles(df, value_col, [0.25, 0.75], keys=[season_col])
-    st = df.groupBy(season_col).agg(F.stddev_samp(value_col).alias("_sd"), F.min(value_col).alias("_lo"),
-                                    F.max(value_col).alias("_hi"))
+    bandwidth) on ``points`` values spanning each season's range.
+
+    All complete rows enter: they are counted into ``bins`` equal bins of the
+    season's range (a map-side combined aggregate), and a bin's count stands
+    at the mean of its values, so a season's kernel sum has at most ``bins``
+    terms however many rows there are."""
+    d = df.select(col(season_col), col(value_col).cast("double").alias("_v")).dropna()
+    q = exact_quantiles(d, "_v", [0.25, 0.75], keys=[season_col])
+    st = d.groupBy(season_col).agg(F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_lo"),
+                                   F.max("_v").alias("_hi"))
     st = st.join(q, season_col)
     iqr = (F.col("q1") - F.col("q0")) / 1.34
     spread = F.when((iqr > 0) & (iqr < F.col("_sd")), iqr).otherwise(F.col("_sd"))
     st = st.withColumn("bandwidth", 0.9 * spread * F.pow(F.col("n"), -0.2))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    weights = (d.join(st.select(season_col, "_lo", "_hi"), season_col).groupBy(season_col, place.alias("_bin"))
+               .agg(F.avg("_v").alias("at"), F.count(F.lit(1)).alias("w"))
+               .groupBy(season_col).agg(F.collect_list(F.struct("at", "w")).alias("_bins")))
     grid = st.select(season_col, "bandwidth", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_g"),
                      "_lo", "_hi").withColumn(
         "x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_g") / F.lit(max(points - 1, 1)))
-    vals = df.select(col(season_col), col(value_col).alias("_v")).where(F.col("_v").isNotNull())
-    arr = vals.groupBy(season_col).agg(F.collect_list("_v").alias("_vals"))
-    g = grid.join(arr, season_col)
-    z = F.transform("_vals", lambda v: F.exp(-0.5 * ((F.col("x") - v) / F.col("bandwidth")) ** 2))
-    dens = F.aggregate(z, F.lit(0.0), lambda a, b: a + b) / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))
+    g = grid.join(weights, season_col)
+    term = F.transform("_bins", lambda b: b["w"] * F.exp(-0.5 * ((F.col("x") - b["at"]) / F.col("bandwidth")) ** 2))
+    dens = F.aggregate(term, F.lit(0.0), lambda a, b: a + b) / (F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi))
     return g.select(season_col, "x", F.when(F.col("bandwidth") > 0, dens).alias("density"), "bandwidth")

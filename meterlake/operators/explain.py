@@ -33,6 +33,7 @@ from meterlake.session import shared_dir
 
 # The boosted model's settings in the source.
 GBT_TREES, GBT_DEPTH, GBT_RATE, GBT_SEED = 50, 4, 0.1, 42
+#: Rows of the repeatable sample that the model is fitted on; all rows are predicted.
 SAMPLE_ROWS = 3000
 
 

@@ -12,10 +12,11 @@ from meterlake.operators._util import col, keys_list
 def drop_last_row(df: DataFrame, order_col: str) -> DataFrame:
     """A2: remove the row with the largest order key.
 
-    ``max(order)`` is a scalar subquery (partial+final aggregate, one value),
-    so the filter is a plain predicate on every partition."""
+    Rows without a key stand first and stay; rows that share the largest key
+    are all the last. ``max(order)`` is a scalar subquery (partial+final
+    aggregate, one value), so the filter is a plain predicate on every partition."""
     last = df.select(F.max(col(order_col))).scalar()
-    return df.where(col(order_col) < last)
+    return df.where(col(order_col).isNull() | (col(order_col) < last))
 
 
 def row_position(df: DataFrame, order_col: str, out_col: str = "pos",
@@ -29,36 +30,40 @@ def row_position(df: DataFrame, order_col: str, out_col: str = "pos",
     range holding more than ``max_rows`` rows (a dense cluster of keys) is
     cut again into ``n_buckets`` finer ranges. For distinct integer keys a
     window partition then holds at most max(max_rows, key range /
-    n_buckets^2) rows. The offset table has at most n_buckets per level and is
-    broadcast. The answer does not depend on how the input is partitioned.
+    n_buckets^2) rows. Rows with a key come first; rows without one follow,
+    dealt over ``n_buckets`` ranges by a hash of the row. Rows of one key, and
+    rows without one, stand in the order of a hash of all their columns, so
+    equal rows alone are interchangeable. The answer does not depend on how
+    the input is partitioned. The offsets (at most n_buckets per cut range)
+    are joined on the range.
     """
     o = col(order_col).cast("long")
-    d = df.withColumn("_o", o)
+    whole = F.xxhash64(*[col(c) for c in df.columns])
+    d = df.withColumn("_o", o).withColumn("_h", whole)
     lo, hi = d.agg(F.min("_o"), F.max("_o")).first()
+    none = F.struct(F.lit(n_buckets).cast("long").alias("b0"), F.pmod("_h", F.lit(n_buckets)).cast("long").alias("b1"))
     if lo is None:
-        return df.withColumn(out_col, F.lit(None).cast("long"))
-    w0 = (hi - lo) // n_buckets + 1
-    b0 = F.floor((F.col("_o") - F.lit(lo)) / F.lit(w0)).cast("long")
-    d = d.withColumn("_b0", b0)
-    counts0 = d.groupBy("_b0").agg(F.count(F.lit(1)).alias("_n")).collect()
-    heavy = [r["_b0"] for r in counts0 if r["_n"] > max_rows]
-    if heavy:
-        w1 = w0 // n_buckets + 1
-        inner = F.col("_o") - F.lit(lo) - F.col("_b0") * F.lit(w0)
-        b1 = F.when(F.col("_b0").isin(heavy), F.floor(inner / F.lit(w1))).otherwise(F.lit(0)).cast("long")
+        cell = none
     else:
-        b1 = F.lit(0).cast("long")
-    d = d.withColumn("_b1", b1)
+        w0 = (hi - lo) // n_buckets + 1
+        b0 = F.floor((F.col("_o") - F.lit(lo)) / F.lit(w0)).cast("long")
+        counts0 = d.where(F.col("_o").isNotNull()).groupBy(b0.alias("_b0")).agg(F.count(F.lit(1)).alias("_n")).collect()
+        heavy = [r["_b0"] for r in counts0 if r["_n"] > max_rows]
+        w1 = w0 // n_buckets + 1
+        inner = F.floor((F.col("_o") - F.lit(lo) - b0 * F.lit(w0)) / F.lit(w1))
+        b1 = (F.when(b0.isin(heavy), inner).otherwise(F.lit(0)) if heavy else F.lit(0)).cast("long")
+        cell = F.when(F.col("_o").isNull(), none).otherwise(F.struct(b0.alias("b0"), b1.alias("b1")))
+    d = d.withColumn("_c", cell).withColumns({"_b0": F.col("_c.b0"), "_b1": F.col("_c.b1")}).drop("_c")
     counts = d.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off",
         F.coalesce(F.sum("_n").over(Window.orderBy("_b0", "_b1").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)),
     ).select("_b0", "_b1", "_off")
-    rn = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy("_o"))
-    return (d.join(F.broadcast(offsets), ["_b0", "_b1"])
+    rn = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy("_o", "_h"))
+    return (d.join(offsets, ["_b0", "_b1"])
             .withColumn(out_col, F.col("_off") + rn - 1)
-            .drop("_b0", "_b1", "_off", "_o"))
+            .drop("_b0", "_b1", "_off", "_o", "_h"))
 
 
 def assign_regular_time(df: DataFrame, order_col: str, start: str = "2016-01-01 05:00:00",

@@ -61,13 +61,15 @@ def peak_and_min_points(series: DataFrame, value_col: str, at_col: str, keys=Non
 
 def site_summary(df: DataFrame, use_col: str = "use_kw", gen_col: str = "gen_kw", keys=None) -> DataFrame:
     """Sums of use, generation and net, and self-sufficiency in percent
-    (0 when total use is not positive). One aggregate pass."""
+    (0 when total use is not positive). A missing side of a row counts as 0,
+    so net is use minus generation whether or not they stand on the same rows.
+    One aggregate pass."""
     k = keys_list(keys)
     u, g = col(use_col), col(gen_col)
     aggs = [
         F.coalesce(F.sum(u), F.lit(0.0)).alias("total_use"),
         F.coalesce(F.sum(g), F.lit(0.0)).alias("total_gen"),
-        F.coalesce(F.sum(u - g), F.lit(0.0)).alias("total_net"),
+        F.coalesce(F.sum(F.coalesce(u, F.lit(0.0)) - F.coalesce(g, F.lit(0.0))), F.lit(0.0)).alias("total_net"),
     ]
     base = df.groupBy(*k).agg(*aggs) if k else df.agg(*aggs)
     return base.withColumn(

@@ -2,21 +2,21 @@
 (D1, D6).
 
 Plan shape for a sum roll-up: partial hash aggregate on (keys, bucket) before
-the shuffle, final aggregate after it. The calendar of buckets is generated
-per key from the aggregated span (a few rows per key, exploded), then left
-joined to the aggregate; both sides are already reduced, so the raw rows are
-shuffled once.
+the shuffle, final aggregate after it. Gaps are filled from the aggregate
+itself: every bucket is followed by the empty buckets up to its key's next
+one (``lead``), so the raw rows are read and shuffled once and no calendar is
+joined. A NULL key is a key like any other; rows without a time have no bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.energy import SAMPLES_PER_HOUR
-from meterlake.operators._util import col, keys_list
+from meterlake.operators._util import col, keys_list, null_safe_join
 
 STEP = {"minute": "INTERVAL 1 MINUTE", "hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY",
         "month": "INTERVAL 1 MONTH"}
@@ -55,6 +55,37 @@ def _span_calendar(agg: DataFrame, keys: list[str], bcol: str, freq: str,
     return span.select(*keys, F.explode(F.sequence("_lo", "_hi", step)).alias(bcol))
 
 
+def _before(b: Column, freq: str) -> Column:
+    """The bucket before ``b``."""
+    if freq == "day":
+        return F.date_sub(b, 1)
+    if freq == "month":
+        return F.add_months(b, -1)
+    return b - F.expr(STEP[freq])
+
+
+def _fill(agg: DataFrame, keys: list[str], bcol: str, freq: str, names: list[str], fill: float | None,
+          start=None, end=None) -> DataFrame:
+    """``agg`` with every bucket between a key's first and last one (or
+    ``start`` / ``end``); values of the new buckets are ``fill``."""
+    w = Window.partitionBy(*keys).orderBy(bcol)
+    lo, hi = F.col(bcol), F.col(bcol)
+    if start is not None:
+        first = bucket(F.lit(start).cast("timestamp_ntz"), freq)
+        lo = F.when(F.lag(bcol).over(w).isNull(), F.least(first, F.col(bcol))).otherwise(F.col(bcol))
+    if end is not None:
+        hi = F.greatest(bucket(F.lit(end).cast("timestamp_ntz"), freq), F.col(bcol))
+    # Everything after the aggregate is one row per key and bucket.
+    spans = agg.select(*keys, *[col(n) for n in names], F.col(bcol).alias("_own"), lo.alias("_lo"),
+                       F.coalesce(_before(F.lead(bcol).over(w), freq), hi).alias("_hi"))
+    every = spans.select("*", F.explode(F.sequence("_lo", "_hi", F.expr(STEP[freq]))).alias(bcol))
+    own = F.col(bcol) == F.col("_own")
+    empty = F.lit(None) if fill is None else F.lit(fill)
+    value = [(F.when(own, col(n)).otherwise(empty) if fill is None
+              else F.coalesce(F.when(own, col(n)), empty)).alias(n) for n in names]
+    return every.select(*keys, bcol, *value)
+
+
 def resample(df: DataFrame, value_cols: Sequence[str] | str, freq: str = "day", how: str = "sum",
              keys=None, ts_col: str = "ts", gap_fill: str | None = "zero", start=None, end=None,
              divisor: float | None = None, out_names: Sequence[str] | None = None,
@@ -86,11 +117,13 @@ def resample(df: DataFrame, value_cols: Sequence[str] | str, freq: str = "day",
     agg = src.groupBy(*k, bcol).agg(*aggs)
     if gap_fill is None:
         return agg
-    cal = _span_calendar(agg, k, bcol, freq, start, end)
-    out = cal.join(agg, on=[*k, bcol], how="left")
-    if gap_fill == "zero" and how == "sum":
-        out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names})
-    return out
+    agg = agg.where(F.col(bcol).isNotNull())
+    zero = gap_fill == "zero" and how == "sum"
+    if k or start is None or end is None:
+        return _fill(agg, k, bcol, freq, names, 0.0 if zero else None, start, end)
+    # One series over a stated range: the range alone gives the calendar, also where there are no readings.
+    out = _span_calendar(agg, k, bcol, freq, start, end).join(agg, on=bcol, how="left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in names}) if zero else out
 
 
 def energy(df: DataFrame, value_cols, freq: str, keys=None, ts_col: str = "ts",
@@ -165,7 +198,7 @@ def align_use_gen(df: DataFrame, use_col: str = "use_kw", gen_col: str = "gen_kw
 
 def align_two(left: DataFrame, right: DataFrame, on: list[str], left_val: str, right_val: str) -> DataFrame:
     """D1 for two separate tables: full outer join on the bucket, missing = 0."""
-    j = left.join(right, on=on, how="full")
+    j = null_safe_join(left, right, on, "full")
     return j.withColumns({left_val: F.coalesce(F.col(left_val), F.lit(0.0)),
                           right_val: F.coalesce(F.col(right_val), F.lit(0.0))})
 
@@ -177,7 +210,7 @@ def complete_calendar(series: DataFrame, start, end, keys=None, ds_col: str = "d
     k = keys_list(keys)
     cal = _span_calendar(series.withColumnRenamed(ds_col, "_b"), k, "_b", freq, start, end)
     cal = cal.withColumnRenamed("_b", ds_col)
-    return cal.join(series.select(*k, ds_col, value_col), on=[*k, ds_col], how="left")
+    return null_safe_join(cal, series.select(*k, ds_col, value_col), [*k, ds_col], "left")
 
 
 def align_devices_daily(df: DataFrame, device_col: str = "device", value_col: str = "kw",

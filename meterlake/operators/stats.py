@@ -17,7 +17,6 @@ from meterlake.functions.binning import bin_edges, bin_label, equal_width_bin
 from meterlake.functions.weather import WEATHER_GROUP_ORDER, weather_group, weather_group_ord
 from meterlake.operators._util import col, join_scalar_keys, keys_list
 from meterlake.operators.quantiles import exact_quantiles
-from meterlake.operators.sampling import sample_n
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -133,13 +132,15 @@ def ols(df: DataFrame, y: str, x: str, keys=None) -> DataFrame:
     return df.groupBy(*k).agg(*aggs) if k else df.agg(*aggs)
 
 
-def ols_trend_points(df: DataFrame, y: str, x: str, key_cols: list[str], n: int = 1000, seed: int = 42,
+def ols_trend_points(df: DataFrame, y: str, x: str, key_cols: list[str], keys=None,
                      extra: list[str] | None = None) -> DataFrame:
-    """H4: a repeatable sample of n points and the OLS line fitted on it."""
-    s = sample_n(df.select(*key_cols, col(x), col(y), *[col(e) for e in (extra or [])]).dropna(subset=[x, y]),
-                 n, key_cols, seed)
-    fit = ols(s, y, x)
-    return s.withColumn("yhat", fit.select("intercept").scalar() + fit.select("slope").scalar() * col(x))
+    """H4: every complete row with the OLS line's value, fitted on all
+    complete rows (of its series). The fit is one row per series."""
+    k = keys_list(keys)
+    s = df.select(*dict.fromkeys([*k, *key_cols]), col(x), col(y), *[col(e) for e in (extra or [])]).dropna(subset=[x, y])
+    fit = ols(s, y, x, k).select(*k, F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
+    return join_scalar_keys(s, fit, k).withColumn("yhat", F.col("_intercept") + F.col("_slope") * col(x)) \
+        .drop("_slope", "_intercept")
 
 
 def standard_scale(df: DataFrame, cols: list[str], keys=None, suffix: str = "") -> DataFrame:

@@ -162,7 +162,7 @@ def e07(spark, sf):
 
 
 @query("e08_site_summary", f"""select coalesce(sum(use_kw), 0) as total_use, coalesce(sum(gen_kw), 0) as total_gen,
-  coalesce(sum(use_kw - gen_kw), 0) as total_net,
+  coalesce(sum(coalesce(use_kw, 0) - coalesce(gen_kw, 0)), 0) as total_net,
   case when coalesce(sum(use_kw), 0) > 0 then coalesce(sum(gen_kw), 0) / sum(use_kw) * 100 else 0 end as self_sufficiency_pct
 from ({METER_WIDE})""")
 def e08(spark, sf):
@@ -384,16 +384,13 @@ def h03(spark, sf):
 
 @query("h04_ols_trend_points", f"""with c as ({COVARIATES}),
 s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, temperature, use_kw, hour(ts) as hour from c
-      where temperature is not null and use_kw is not null
-      order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' ||
-                   cast(l_partkey as varchar) || ':' || cast(l_suppkey as varchar)),
-               l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000),
+      where temperature is not null and use_kw is not null),
 f as (select regr_slope(use_kw, temperature) as slope, regr_intercept(use_kw, temperature) as intercept from s)
 select s.*, intercept + slope * temperature as yhat from s, f""")
 def h04(spark, sf):
-    """H4: OLS trend line of use on temperature fitted on a 1000-row sample."""
+    """H4: OLS trend line of use on temperature, fitted on and given for all complete rows."""
     c = fx.covariates(spark, sf).withColumn("hour", F.hour("ts"))
-    return stats.ols_trend_points(c, "use_kw", "temperature", ROW_KEY, 1000, extra=["hour"])
+    return stats.ols_trend_points(c, "use_kw", "temperature", ROW_KEY, extra=["hour"])
 
 
 @query("h08_standard_scale", f"""with c as ({COVARIATES}),

@@ -51,8 +51,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (tests, local runs) do we set
-    one of our own under the system temp folder.
+    The cluster names it; only in local mode (tests, benches), where it may be
+    unset, do we set one of our own under the system temp folder.
     """
     global _LOCAL_CHECKPOINT_ROOT
     sc = spark.sparkContext
@@ -63,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _LOCAL_CHECKPOINT_ROOT is None:
         _LOCAL_CHECKPOINT_ROOT = tempfile.mkdtemp(prefix="meterlake-ckpt-")
     sc.setCheckpointDir(_LOCAL_CHECKPOINT_ROOT)
@@ -75,7 +77,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -87,7 +89,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="meterlake-pkg-")
@@ -99,4 +101,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, fn)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zpath)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
