@@ -1,109 +1,122 @@
-"""Smoothers and densities (H5, H6, H7).
+"""Smoothers and densities over all rows (H5, H6, H7).
 
-The per-season distribution (H7) uses all rows. The smoother and the 2-D
-density draw the source's 2000 / 3000-row samples (I1), which are the only
-data gathered. Evaluation points are spread over tasks with ``mapInPandas``;
-every task evaluates its points against the broadcast sample with NumPy.
+Rows are counted into bins by map-side combined aggregates (``groupBy``); the
+binned sums, whose number is a parameter and does not grow with the rows, are
+what the smoother and the kernels are evaluated on. No rows are gathered or
+sampled and no row pairs are made.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meterlake.operators._util import col
 from meterlake.operators.quantiles import exact_quantiles
-from meterlake.operators.sampling import sample_n
 
 # Smoother and density settings of the source's charts.
 LOWESS_FRAC, LOWESS_ITER = 2.0 / 3.0, 3
 KDE_GRID, KDE_CUT, KDE_THRESH = 200, 3.0, 0.05
 
 
-def _bounded_sample(df: DataFrame, cols: list[str], key_cols: list[str], n: int, seed: int = 42):
-    s = sample_n(df.select(*key_cols, *[col(c) for c in cols]).dropna(subset=cols), n, key_cols, seed)
-    return s.toPandas()
+def _bin(value, lo: float, hi: float, bins: int):
+    """Number of the equal-width bin of [lo, hi]."""
+    if not hi > lo:
+        return F.lit(0)
+    return F.greatest(F.least(F.floor((value - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
-def lowess(df: DataFrame, y: str, x: str, key_cols: list[str], n: int = 2000, frac: float = LOWESS_FRAC,
-           iterations: int = LOWESS_ITER, seed: int = 42, partitions: int = 8) -> DataFrame:
-    """H5: locally weighted linear fit (tricube weights over the
-    ceil(frac * n) nearest x, then ``iterations`` robust re-fits with
-    bisquare weights on residuals / (6 * median |residual|)) at every sample
-    point."""
+def _local_lines(sums: list, frac: float) -> list[tuple[int, float, float]]:
+    """Per bin the local line (level at the bin's mean x, slope): tricube weights over the ceil(frac * n) nearest rows.
+
+    ``sums``: (bin, n, mean x, and the sums of w, w x, w y, w x^2, w x y about a common x), at most the number of bins."""
     import numpy as np
+    sums = sorted(sums)
+    n, at, w, wx, wy, wxx, wxy = (np.array([r[i] for r in sums], float) for i in range(1, 8))
+    k = max(2, min(int(n.sum()), math.ceil(frac * n.sum())))
+    out = []
+    for i, x0 in enumerate(at):
+        d = np.abs(at - x0)
+        order = np.argsort(d, kind="stable")
+        h = d[order[min(int(np.searchsorted(np.cumsum(n[order]), k)), len(order) - 1)]]
+        t = (1 - np.clip(d / h, 0, 1) ** 3) ** 3 if h > 0 else (d == 0).astype(float)
+        sw = (t * w).sum()
+        if sw <= 0:
+            out.append((sums[i][0], float("nan"), 0.0))
+            continue
+        mx, my = (t * wx).sum() / sw, (t * wy).sum() / sw
+        sxx = (t * wxx).sum() - sw * mx * mx
+        slope = ((t * wxy).sum() - sw * mx * my) / sxx if sxx > 1e-12 * max((t * wxx).sum(), 1e-300) else 0.0
+        out.append((sums[i][0], float(my - slope * mx), float(slope)))
+    return out
+
+
+def lowess(df: DataFrame, y: str, x: str, key_cols: list[str], frac: float = LOWESS_FRAC,
+           iterations: int = LOWESS_ITER, bins: int = 1024) -> DataFrame:
+    """H5: locally weighted linear fit of all complete rows: tricube weights
+    over the ceil(frac * n) nearest x, then ``iterations`` robust re-fits with
+    bisquare weights on residuals / (6 * median |residual|).
+
+    One pass sums n, x, y, xx and xy per bin of x (at most ``bins`` rows); a
+    line per bin follows from these; every row is fitted by its bin's line.
+    A robust pass weighs the rows by their residuals and sums again."""
     spark = df.sparkSession
-    pdf = _bounded_sample(df, [x, y], key_cols, n, seed)
-    xs = pdf[x].to_numpy(float)
-    ys = pdf[y].to_numpy(float)
-    m = len(xs)
-    k = max(2, min(m, int(math.ceil(frac * m))))
-    points = spark.createDataFrame(pdf.assign(_i=np.arange(m))).repartition(partitions)
-    robust = np.ones(m)
-    fitted = None
-    key_fields = [f for f in points.schema.fields if f.name in key_cols]
-    schema = T.StructType(key_fields + [T.StructField("_i", T.LongType()), T.StructField(x, T.DoubleType()),
-                                        T.StructField(y, T.DoubleType()), T.StructField("fitted", T.DoubleType())])
-    for _ in range(iterations + 1):
-        bc = spark.sparkContext.broadcast((xs, ys, robust))
-
-        def fit(it, bc=bc):
-            import numpy as np
-            xa, ya, rw = bc.value
-            for part in it:
-                out = np.empty(len(part))
-                for r, x0 in enumerate(part[x].to_numpy(float)):
-                    d = np.abs(xa - x0)
-                    h = np.partition(d, k - 1)[k - 1]
-                    if h > 0:
-                        u = np.clip(d / h, 0.0, 1.0)
-                        w = (1 - u ** 3) ** 3
-                    else:
-                        w = (d == 0).astype(float)
-                    w = w * rw
-                    sw = w.sum()
-                    if sw <= 0:
-                        out[r] = np.nan
-                        continue
-                    mx, my = (w * xa).sum() / sw, (w * ya).sum() / sw
-                    sxx = (w * (xa - mx) ** 2).sum()
-                    slope = (w * (xa - mx) * (ya - my)).sum() / sxx if sxx > 0 else 0.0
-                    out[r] = my + slope * (x0 - mx)
-                yield part.assign(fitted=out)[[*key_cols, "_i", x, y, "fitted"]]
-
-        fitted = points.mapInPandas(fit, schema).toPandas().sort_values("_i")
-        resid = ys - fitted["fitted"].to_numpy(float)
-        s = np.median(np.abs(resid))
-        if s <= 0:
+    d = df.select(*key_cols, col(x).cast("double").alias(x), col(y).cast("double").alias(y)).dropna(subset=[x, y])
+    lo, hi, mid = d.agg(F.min(x), F.max(x), F.avg(x)).first()
+    fitted = F.lit(None).cast("double")
+    if lo is None:
+        return d.withColumn("fitted", fitted)
+    d = d.withColumn("_b", _bin(col(x), lo, hi, bins))
+    u = col(x) - F.lit(mid)
+    rows, weight = d, F.lit(1.0)
+    for i in range(iterations + 1):
+        sums = rows.withColumn("_w", weight).groupBy("_b").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(u).alias("at"), F.sum("_w").alias("w"), F.sum(F.col("_w") * u).alias("wx"),
+            F.sum(F.col("_w") * col(y)).alias("wy"), F.sum(F.col("_w") * u * u).alias("wxx"),
+            F.sum(F.col("_w") * u * col(y)).alias("wxy")).collect()  # at most `bins` rows
+        lines = spark.createDataFrame(_local_lines([tuple(r) for r in sums], frac), "_b int, _a double, _s double")
+        rows = d.join(F.broadcast(lines), "_b").withColumn("fitted", F.col("_a") + F.col("_s") * u)
+        if i == iterations:
+            break
+        resid = F.abs(col(y) - F.col("fitted"))
+        s = exact_quantiles(rows.select(resid.alias("_r")), "_r", [0.5]).first()["q0"]
+        if not s > 0:
             break
-        u = np.clip(resid / (6.0 * s), -1.0, 1.0)
-        robust = (1 - u ** 2) ** 2
-    return spark.createDataFrame(fitted.drop(columns=["_i"]), T.StructType([f for f in schema.fields if f.name != "_i"]))
+        part = resid / F.lit(6.0 * s)
+        weight = F.when(part < 1, (1 - part * part) * (1 - part * part)).otherwise(F.lit(0.0))
+    return rows.select(*key_cols, x, y, F.when(~F.isnan("fitted"), F.col("fitted")).alias("fitted"))
+
 
+def kde2d(df: DataFrame, x: str, y: str, grid: int = KDE_GRID, cut: float = KDE_CUT,
+          thresh: float = KDE_THRESH, bins: int | None = None) -> DataFrame:
+    """H6: 2-D Gaussian density of all complete rows on a grid x grid lattice
+    (Scott bandwidth, full covariance), extended ``cut`` bandwidths beyond the
+    data, with the level below which ``thresh`` of the mass lies and a flag for
+    the cells drawn (density >= level).
 
-def kde2d(df: DataFrame, x: str, y: str, key_cols: list[str], n: int = 3000, grid: int = KDE_GRID,
-          cut: float = KDE_CUT, thresh: float = KDE_THRESH, seed: int = 42) -> DataFrame:
-    """H6: 2-D Gaussian density on a grid x grid lattice (Scott bandwidth,
-    full covariance), extended ``cut`` bandwidths beyond the data, with the
-    level below which ``thresh`` of the mass lies and a flag for the cells
-    drawn (density >= level)."""
+    The rows are counted into ``bins`` x ``bins`` cells (``grid`` unless given);
+    a cell's count stands at the mean of its rows. The cells are a broadcast
+    of at most ``bins``^2 rows; lattice points are spread over the tasks."""
     import numpy as np
     spark = df.sparkSession
-    pdf = _bounded_sample(df, [x, y], key_cols, n, seed)
-    data = pdf[[x, y]].to_numpy(float)
-    m = len(data)
-    factor = m ** (-1.0 / 6.0)
-    cov = np.cov(data.T) * factor ** 2
+    bins = bins or grid
+    d = df.select(col(x).cast("double").alias("_x"), col(y).cast("double").alias("_y")).dropna()
+    s = d.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"),
+              F.var_samp("_x").alias("vx"), F.var_samp("_y").alias("vy"), F.covar_samp("_x", "_y").alias("vxy")).first()
+    schema = "cell long, gx double, gy double, density double, mass double, in_contour boolean, level double"
+    if s["n"] < 2:
+        return spark.createDataFrame([], schema)
+    cells = d.groupBy(_bin(F.col("_x"), s["x0"], s["x1"], bins).alias("i"), _bin(F.col("_y"), s["y0"], s["y1"], bins).alias("j")).agg(
+        F.avg("_x").alias("x"), F.avg("_y").alias("y"), F.count(F.lit(1)).alias("w")).collect()  # at most bins^2 rows
+    data = np.array([(r["x"], r["y"], r["w"]) for r in cells], float)
+    cov = np.array([[s["vx"], s["vxy"]], [s["vxy"], s["vy"]]]) * s["n"] ** (-1.0 / 3.0)
     inv = np.linalg.pinv(cov)
-    norm = 1.0 / (2 * math.pi * math.sqrt(max(np.linalg.det(cov), 1e-300)) * m)
+    norm = 1.0 / (2 * math.pi * math.sqrt(max(np.linalg.det(cov), 1e-300)) * s["n"])
     bw = np.sqrt(np.diag(cov))
-    lo = data.min(axis=0) - cut * bw
-    hi = data.max(axis=0) + cut * bw
-    gx = np.linspace(lo[0], hi[0], grid)
-    gy = np.linspace(lo[1], hi[1], grid)
+    gx = np.linspace(s["x0"] - cut * bw[0], s["x1"] + cut * bw[0], grid)
+    gy = np.linspace(s["y0"] - cut * bw[1], s["y1"] + cut * bw[1], grid)
     bc = spark.sparkContext.broadcast((data, inv, norm, gx, gy))
 
     def dens(it):
@@ -114,29 +127,28 @@ def kde2d(df: DataFrame, x: str, y: str, key_cols: list[str], n: int = 3000, gri
             px = ax[ids // grid]
             py = ay[ids % grid]
             out = np.zeros(len(ids))
-            for start in range(0, len(ids), 512):
-                dx = px[start:start + 512, None] - pts[None, :, 0]
-                dy = py[start:start + 512, None] - pts[None, :, 1]
+            for start in range(0, len(ids), 128):
+                dx = px[start:start + 128, None] - pts[None, :, 0]
+                dy = py[start:start + 128, None] - pts[None, :, 1]
                 q = ainv[0, 0] * dx * dx + 2 * ainv[0, 1] * dx * dy + ainv[1, 1] * dy * dy
-                out[start:start + 512] = c * np.exp(-0.5 * q).sum(axis=1)
+                out[start:start + 128] = c * (np.exp(-0.5 * q) @ pts[:, 2])
             yield part.assign(gx=px, gy=py, density=out)
 
     from meterlake.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    cells = spark.range(grid * grid).mapInPandas(dens, "id long, gx double, gy double, density double") \
+    lattice = spark.range(grid * grid).mapInPandas(dens, "id long, gx double, gy double, density double") \
         .checkpoint(eager=True)
     cell_area = float((gx[1] - gx[0]) * (gy[1] - gy[0])) if grid > 1 else 1.0
     # Level: walking cells from the lowest density up, the density at which
     # the accumulated share of mass reaches ``thresh``. The lattice size is a
     # parameter (grid^2 rows), so this window is bounded.
-    from pyspark.sql import Window
-    total = cells.select(F.sum("density")).scalar()
+    total = lattice.select(F.sum("density")).scalar()
     w = Window.orderBy("density", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("_cum", F.sum("density").over(w) / total)
+    ranked = lattice.withColumn("_cum", F.sum("density").over(w) / total)
     level = ranked.where(F.col("_cum") >= thresh).select(F.min("density")).scalar()
-    return cells.select(F.col("id").alias("cell"), "gx", "gy", "density",
-                        (F.col("density") * cell_area).alias("mass"),
-                        (F.col("density") >= level).alias("in_contour"), level.alias("level"))
+    return lattice.select(F.col("id").alias("cell"), "gx", "gy", "density",
+                          (F.col("density") * cell_area).alias("mass"),
+                          (F.col("density") >= level).alias("in_contour"), level.alias("level"))
 
 
 def season_box(df: DataFrame, value_col: str, season_col: str = "season") -> DataFrame:

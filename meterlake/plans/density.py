@@ -18,16 +18,15 @@ def _cov(spark, sf):
 
 @query("h05_lowess")
 def h05(spark, sf):
-    """H5: LOWESS of use on temperature (frac 2/3, 3 robust passes) at the
-    points of a 2000-row sample."""
-    return density.lowess(_cov(spark, sf), "use_kw", "temperature", ROW_KEY, n=2000)
+    """H5: LOWESS of use on temperature (frac 2/3, 3 robust passes) over all rows."""
+    return density.lowess(_cov(spark, sf), "use_kw", "temperature", ROW_KEY)
 
 
 @query("h06_kde2d")
 def h06(spark, sf):
-    """H6: 2-D density of (temperature, use) from a 3000-row sample on a
-    200 x 200 grid, with the 5 % mass contour level."""
-    return density.kde2d(_cov(spark, sf), "temperature", "use_kw", ROW_KEY, n=3000)
+    """H6: 2-D density of (temperature, use) over all rows on a 200 x 200
+    grid, with the 5 % mass contour level."""
+    return density.kde2d(_cov(spark, sf), "temperature", "use_kw")
 
 
 _SEASON_SQL = f"""with c as ({COVARIATES}),

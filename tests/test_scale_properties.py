@@ -120,16 +120,23 @@ def test_lowess_matches_brute_force(spark):
     x = rnd.uniform(0, 10, 120)
     y = np.sin(x) + rnd.normal(0, 0.2, 120)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
-    got = density.lowess(df, "y", "x", ["id"], n=1000, iterations=0).toPandas().sort_values("id")
+    got = density.lowess(df, "y", "x", ["id"], iterations=0, bins=100_000).toPandas().sort_values("id")
     want = _lowess_brute(x, y, 2 / 3)
     assert np.allclose(got["fitted"].to_numpy(), want[got["id"].to_numpy()], atol=1e-8)
 
 
+def test_lowess_robust_passes_ignore_outliers(spark):
+    rows = [(i, i / 10.0, 2.0 * i / 10.0 + (500.0 if i % 40 == 7 else 0.0)) for i in range(800)]
+    got = density.lowess(spark.createDataFrame(rows, "id long, x double, y double"), "y", "x", ["id"]).toPandas()
+    assert len(got) == 800
+    assert (abs(got["fitted"] - 2 * got["x"]) < 0.5).all()
+
+
 def test_kde_matches_brute_force(spark):
     rnd = np.random.default_rng(5)
     pts = rnd.normal(size=(60, 2))
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id long, x double, y double")
-    out = density.kde2d(df, "x", "y", ["id"], grid=12).toPandas()
+    out = density.kde2d(df, "x", "y", grid=12, bins=4096).toPandas()
     cov = np.cov(pts.T) * len(pts) ** (-1 / 3)
     inv = np.linalg.inv(cov)
     for _, r in out.sample(5, random_state=1).iterrows():
