@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import filters
 from meterlake.operators import forecast as fc
+from meterlake.operators.resample import daily_energy
 from meterlake.plans.catalog import SERIES6, gapfilled_sql, query
 from meterlake.sources import fixtures as fx
 from meterlake.sources.tables import read_table
@@ -156,3 +157,97 @@ def j09(spark, sf):
     models, scoring, verdict) for every series in one job."""
     ch = _chain(spark, sf)
     return ch["gate"].join(ch["metrics"], KEYS, "left")
+
+
+# ---- The same operators on a forecast that SQL can express: the value of some days before. -------------------------------------
+
+HOLDOUT_DAYS = 30
+_SHIFTED = f"""h as (select series, day as ds, y from ({_DAILY_SPAN})),
+a as (select series, cast(ds + interval 7 day as date) as ds, y as yhat from h),
+b as (select series, cast(ds + interval 14 day as date) as ds, y as yhat from h),
+last as (select series, max(ds) as last_ds from h group by 1)"""
+
+
+def _shifted(spark, sf):
+    """Daily actual values of each series, and two models that repeat the value of 7 and of 14 days before."""
+    actual = daily_energy(fx.series6(spark, sf), "kw", keys=KEYS, out_names=["y"]).withColumnRenamed("day", "ds")
+
+    def model(days: int):
+        y = F.col("y")
+        return actual.select(*KEYS, F.date_add("ds", days).alias("ds"), y.alias("yhat"), y.alias("yhat_lower"), y.alias("yhat_upper"))
+
+    return actual, model(7), model(14)
+
+
+@query("c09s_after_history", f"""with {_SHIFTED}
+select b.series, ds, yhat, yhat as yhat_lower, yhat as yhat_upper from b join last using (series) where ds > last_ds""")
+def c09s(spark, sf):
+    """The days of a 14-day shift that lie after each series' last actual day."""
+    actual, _, b = _shifted(spark, sf)
+    return filters.after_history(b, actual, KEYS)
+
+
+@query("g01s_union_history_forecast", f"""with {_SHIFTED}
+select series, ds, y as yhat, y as yhat_lower, y as yhat_upper from h
+union all select series, ds, yhat, yhat, yhat from b""")
+def g01s(spark, sf):
+    """G1: history followed by the shifted forecast."""
+    actual, _, b = _shifted(spark, sf)
+    return fc.union_history_forecast(actual, b, KEYS)
+
+
+_PLOT_SQL = f"""select series, ds, y, cast(null as double) as yhat_lower, cast(null as double) as yhat_upper, 'Historical' as type from h
+union all select series, ds, yhat, yhat, yhat, '{fc.MODEL_A}' from a union all select series, ds, yhat, yhat, yhat, '{fc.MODEL_B}' from b"""
+
+
+@query("g02s_union_plot_frame", f"with {_SHIFTED} {_PLOT_SQL}")
+def g02s(spark, sf):
+    """Actual values and both shifted models in one long frame."""
+    return fc.union_plot_frame(*_shifted(spark, sf), KEYS)
+
+
+def _joined_sql(first: str) -> str:
+    return f"""j as (select h.series, h.ds, h.y, a.yhat as yhat_a, b.yhat as yhat_b from h join last using (series)
+  join a on a.series = h.series and a.ds = h.ds join b on b.series = h.series and b.ds = h.ds where h.ds >= {first})"""
+
+
+_REFERENCE = f"cast(last_ds - interval {HOLDOUT_DAYS} day as date)"
+_STRICT = f"cast(last_ds - interval {HOLDOUT_DAYS - 1} day as date)"
+_METRICS_SQL = """m as (select series, avg(abs(yhat_a - y)) as mae_a, sqrt(avg((yhat_a - y) * (yhat_a - y))) as rmse_a,
+  avg(abs(yhat_b - y)) as mae_b, sqrt(avg((yhat_b - y) * (yhat_b - y))) as rmse_b, count(*) as n_val from j group by 1)"""
+
+
+def _shifted_join(spark, sf, window: str = "reference"):
+    actual, a, b = _shifted(spark, sf)
+    holdout = actual.select(*KEYS).distinct().withColumn("holdout", F.lit(HOLDOUT_DAYS))
+    return fc.join_actual_and_models(actual, a, b, holdout, KEYS, window=window)
+
+
+@query("d03s_join_actual_and_models", f"with {_SHIFTED}, {_joined_sql(_REFERENCE)} select * from j")
+def d03s(spark, sf):
+    """D3: the validation days (one training day included) joined to both shifted models."""
+    return _shifted_join(spark, sf)
+
+
+@query("j06s_evaluate_forecasts_strict", f"with {_SHIFTED}, {_joined_sql(_STRICT)}, {_METRICS_SQL} select * from m")
+def j06s(spark, sf):
+    """MAE and RMSE of both shifted models on the held-out days alone."""
+    return fc.evaluate_forecasts(_shifted_join(spark, sf, "strict"), KEYS)
+
+
+@query("j07s_model_verdict", f"""with {_SHIFTED}, {_joined_sql(_REFERENCE)}, {_METRICS_SQL}
+select *, case when mae_a is null or rmse_a is null or mae_b is null or rmse_b is null then 'insufficient data'
+  when mae_a < mae_b and rmse_a < rmse_b then '{fc.MODEL_A} better' when mae_b < mae_a and rmse_b < rmse_a then '{fc.MODEL_B} better'
+  else 'mixed' end as verdict from m""")
+def j07s(spark, sf):
+    """Errors of both shifted models and the verdict per series."""
+    return fc.model_verdict(fc.evaluate_forecasts(_shifted_join(spark, sf), KEYS))
+
+
+@query("j08s_forecast_summary", f"""with {_SHIFTED}, p as ({_PLOT_SQL})
+select series, type, avg(y) as mean_yhat, sum(y) as sum_yhat, count(*) as n_days
+from p join last using (series) where type <> 'Historical' and ds > last_ds group by all""")
+def j08s(spark, sf):
+    """Mean and sum of the shifted models' future days."""
+    actual, a, b = _shifted(spark, sf)
+    return fc.forecast_summary(fc.union_plot_frame(actual, a, b, KEYS), actual, KEYS)
