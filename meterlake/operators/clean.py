@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.weather import to_numeric
-from meterlake.operators._util import col, join_scalar_keys, keys_list
+from meterlake.operators._util import col, join_scalar_keys, keys_list, null_safe_join
 from meterlake.operators.resample import bucket
 
 # Fixed value: the junk literal found in the cloudCover column.
@@ -51,10 +51,10 @@ def clean_backfill(df: DataFrame, value_col: str, order_cols: list[str], keys=No
     w_chunks = (Window.partitionBy(*k) if k else Window).orderBy(F.desc("_chunk")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = (d.select(*k, "_chunk").distinct()
-             .join(firsts, on=[*k, "_chunk"], how="left")
+             .transform(lambda c: null_safe_join(c, firsts, [*k, "_chunk"], "left"))
              .withColumn("_carry", F.last("_first", ignorenulls=True).over(w_chunks))
              .select(*k, "_chunk", "_carry"))
-    d = d.join(carry, on=[*k, "_chunk"], how="left")
+    d = null_safe_join(d, carry, [*k, "_chunk"], "left")
     filled = F.coalesce(F.col("_fill"), F.col("_carry")).getField("v")
     return d.withColumn(out_col, to_numeric(filled)).drop("_v", "_chunk", "_fill", "_carry")
 

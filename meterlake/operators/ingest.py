@@ -110,3 +110,17 @@ def distinct_periods(df: DataFrame, ts_col: str = "ts", period: str = "date") ->
     if period == "month":
         return df.select(F.date_format(ts, "yyyy-MM").alias("period")).distinct().orderBy("period")
     raise ValueError(period)
+
+
+def load_pipeline(raw: DataFrame, order_col: str = "row_order", use_col: str = "use_kw", gen_col: str = "gen_kw",
+                  junk_cols: tuple[str, ...] = ("cloudCover",)) -> DataFrame:
+    """The source's load: drop the final row, replace the times by a regular
+    axis, add calendar features, clean the junk columns, and add net energy
+    and the generation ratio of every row."""
+    from meterlake.functions.calendar import calendar_features
+    from meterlake.functions.energy import energy_ratio, net_energy
+    from meterlake.operators.clean import clean_backfill
+    d = calendar_features(assign_regular_time(drop_last_row(raw, order_col), order_col))
+    for c in junk_cols:
+        d = clean_backfill(d, c, ["ts"])
+    return d.withColumns({"net_kw": net_energy(use_col, gen_col), "ratio": energy_ratio(use_col, gen_col)})

@@ -16,7 +16,7 @@ from meterlake.operators.sampling import sample_n
 from meterlake.plans.catalog import (COVARIATES, JUNK_TEXT, METER_LONG, METER_WIDE, query)
 from meterlake.session import shared_dir
 from meterlake.sources import fixtures as fx
-from meterlake.sources.tables import read_csv_back, read_table, write_csv
+from meterlake.sources.tables import read_csv_back, read_silver, read_table, scan_meter_csv, write_csv, write_silver
 
 # ---------------------------------------------------------------- A: scans
 
@@ -103,6 +103,66 @@ def a09(spark, sf):
     return ingest.distinct_periods(read_table(spark, sf, "events"), period="date")
 
 
+@query("a09y_distinct_years", "select distinct year(ts) as period from events")
+def a09y(spark, sf):
+    """Distinct years (newest first)."""
+    return ingest.distinct_periods(read_table(spark, sf, "events"), period="year")
+
+
+@query("a09m_distinct_months", "select distinct strftime(l_shipdate, '%Y-%m') as period from lineitem")
+def a09m(spark, sf):
+    """Distinct months (oldest first)."""
+    return ingest.distinct_periods(read_table(spark, sf, "lineitem"), "l_shipdate", "month")
+
+
+# --------------------------------------------------------- load pipeline
+
+LOAD_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("use_kw", T.DoubleType()),
+                            T.StructField("gen_kw", T.DoubleType()), T.StructField("cloudCover", T.StringType())])
+
+
+def _load_input(spark, sf):
+    """The events as meter CSV files in ``event_id`` order: only rows in the schema that the scan expects."""
+    ev = read_table(spark, sf, "events")
+    junk = F.when(F.col("event_id") % 7 == 0, F.lit("cloudCover")).otherwise(F.col("value").cast("string"))
+    rows = ev.select("event_id", F.col("value").alias("use_kw"),
+                     F.when(F.col("event_type") == "signup", F.col("value")).alias("gen_kw"), junk.alias("cloudCover"))
+    return write_csv(rows.orderBy("event_id"), shared_dir(spark, f"exports/meter-{uuid.uuid4().hex}"))
+
+
+_LOAD_SQL = """e as (select event_id, value as use_kw, case when event_type = 'signup' then value end as gen_kw,
+  case when event_id % 7 <> 0 then value end as c, row_number() over (order by event_id) - 1 as p from events),
+f as (select *, timestamp '2016-01-01 05:00:00' + to_minutes(cast(p as bigint)) as ts,
+  first_value(c ignore nulls) over (order by event_id rows between current row and unbounded following) as cloud
+  from e where event_id < (select max(event_id) from events)),
+g as (select event_id, ts, use_kw, gen_kw, cloud as cloudCover, use_kw - gen_kw as net_kw,
+  case when use_kw > 0 then gen_kw / use_kw else 0 end as ratio, year(ts) as year, month(ts) as month, day(ts) as day,
+  dayname(ts) as day_name, weekofyear(ts) as weekofyear, hour(ts) as hour, minute(ts) as minute, cast(ts as date) as date,
+  isodow(ts) - 1 as day_of_week, strftime(ts, '%Y-%m') as year_month from f)"""
+
+
+def _silver(spark, sf):
+    raw = scan_meter_csv(spark, _load_input(spark, sf), LOAD_SCHEMA)
+    loaded = ingest.load_pipeline(raw).drop("row_order")
+    return write_silver(loaded, shared_dir(spark, f"silver/meter-{uuid.uuid4().hex}"))
+
+
+@query("m2_load_pipeline", f"with {_LOAD_SQL} select * from g")
+def m2(spark, sf):
+    """A1, A2, A3, B1, B5, B3 and B4 in a row: CSV scan, last row dropped, regular time axis, calendar, cleaning, net and
+    ratio of every row, written as Parquet by month and read back."""
+    return read_silver(spark, _silver(spark, sf)).withColumn("year_month", F.col("year_month").cast("string"))
+
+
+@query("m3_silver_month_energy", f"""with {_LOAD_SQL} select cast(ts as date) as day, sum(use_kw) / 60.0 as use_kwh
+from g where year_month = '2016-01' group by 1""")
+def m3(spark, sf):
+    """Daily use of one month from the monthly table's hourly roll-up; other months' folders are not read."""
+    month = read_silver(spark, _silver(spark, sf), "2016-01", "2016-01")
+    hourly = resample.hourly_energy(month, "use_kw", out_names=["use_kwh"])
+    return hourly.groupBy(F.to_date("hour").alias("day")).agg(F.sum("use_kwh").alias("use_kwh"))
+
+
 # --------------------------------------------------------- B: projections
 
 
@@ -135,6 +195,37 @@ def b03(spark, sf):
     return resample.align_use_gen(fx.meter_wide(spark, sf)).select("hour", "net_kwh")
 
 
+@query("b03d_net_energy_daily", f"""with w as ({METER_WIDE}),
+a as (select cast(ts as date) as day, sum(use_kw) / 60.0 as u, sum(gen_kw) / 60.0 as g from w group by all),
+cal as (select cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as day from a)
+select day, coalesce(u, 0) - coalesce(g, 0) as net_kwh from cal left join a using (day)""")
+def b03d(spark, sf):
+    """Daily net energy."""
+    return resample.align_use_gen(fx.meter_wide(spark, sf), freq="day").select("day", "net_kwh")
+
+
+@query("b03r_net_and_ratio_rows", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity - l_tax as net,
+  case when l_quantity > 0 then l_tax / l_quantity else 0 end as ratio from lineitem""")
+def b03r(spark, sf):
+    """B3 and B4 for every row."""
+    li = read_table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", en.net_energy("l_quantity", "l_tax").alias("net"),
+                     en.energy_ratio("l_quantity", "l_tax").alias("ratio"))
+
+
+@query("d01o_align_two_tables", """with u as (select date_trunc('hour', ts) as hour, sum(value) / 60.0 as use_kwh from events where event_type = 'view' group by 1),
+g as (select date_trunc('hour', ts) as hour, sum(value) / 60.0 as gen_kwh from events where event_type = 'signup' group by 1)
+select hour, coalesce(use_kwh, 0) as use_kwh, coalesce(gen_kwh, 0) as gen_kwh from u full join g using (hour)""")
+def d01o(spark, sf):
+    """D1 for two tables: hours of either side, missing = 0."""
+    ev = fx.meter_long(spark, sf)
+
+    def hours(device: str, name: str):
+        return resample.hourly_energy(ev.where(F.col("device") == device), "kw", gap_fill=None, out_names=[name])
+
+    return resample.align_two(hours("view", "use_kwh"), hours("signup", "gen_kwh"), ["hour"], "use_kwh", "gen_kwh")
+
+
 @query("b04_energy_ratio", _hourly_site_sql(
     "select hour, case when use_kwh > 0 then gen_kwh / use_kwh else 0 end as energy_ratio from h"))
 def b04(spark, sf):

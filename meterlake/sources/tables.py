@@ -98,6 +98,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_silver(df: DataFrame, path: str, ts_col: str = "ts", mode: str = "overwrite") -> str:
+    """The cleaned table as Parquet in one folder per month (``year_month``); rows are dealt by month and day first, so
+    that a month is a few files rather than one per task."""
+    d = df.withColumn("year_month", F.date_format(ts_col, "yyyy-MM"))
+    d.repartition("year_month", F.to_date(ts_col)).write.mode(mode).partitionBy("year_month").parquet(path)
+    return path
+
+
+def read_silver(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows of the months ``first`` to ``last`` (``yyyy-MM``); other months' folders are not read."""
+    d = spark.read.option("basePath", path).parquet(path)
+    month = F.col("year_month").cast("string")
+    if first is not None:
+        d = d.where(month >= first)
+    if last is not None:
+        d = d.where(month <= last)
+    return d
+
+
 def read_csv_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).options(**CSV_TIME_OPTIONS).csv(path)
 
