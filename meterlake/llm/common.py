@@ -7,16 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship_package
 
 #: Bytes of one text that are split into words at once, so that a very long text never becomes one long list.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 512
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -68,27 +69,8 @@ def pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield data[at:]
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit xxhash, remembered. Words are runs of bytes other than \\x20 and \\x09-\\x0D,
-    which is what bytes.split() gives."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, data: bytes) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = []
-        for piece in pieces(data):
-            words = piece.split()
-            out.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
-
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -100,15 +82,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, ``n`` at least."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _BACK)):
+            out = np.full(max(n, 1 << 16), base, np.uint64)
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of every run of ``n`` words, in order; none if there are fewer."""
+    """64-bit polynomial hashes of every run of ``n`` words, in order; none if there are fewer.
+
+    From the running sum of the words' hashes times the base's powers, so the cost does not depend on ``n``."""
     count = len(words) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = words[:count] * _MUL
-    for k in range(1, n):
-        out = (out + words[k : k + count]) * _MUL
-    return out
+    up, down = _powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return (total[n:] - total[:count]) * down[:count]
+
+
+_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)  # a fixed value for every byte
+_IS_WORD = np.array([b not in SPACES for b in range(256)])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order: polynomial hashes of their bytes, all at once."""
+    out = [np.empty(0, np.uint64)]
+    for piece in pieces(data):
+        a = np.frombuffer(piece, np.uint8)
+        edge = np.flatnonzero(np.diff(_IS_WORD[a].view(np.int8), prepend=0, append=0))
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers(len(a) + 1)
+        total = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(_BYTES[a] * up[: len(a)], out=total[1:])
+        out.append(mix64((total[end] - total[start]) * down[start]))
+    return out[-1] if len(out) < 3 else np.concatenate(out)
+
+
+def small(batches) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few hundred rows, so that only these become Python objects. The worker's Arrow memory goes back to the system when it is free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def text_batches(batch: pa.RecordBatch, column: str = "text") -> list:

@@ -21,18 +21,16 @@ import urllib.parse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, hold_out, lower_ascii, mix64, prepare, scratch_path, stored
+from .common import hold_out, lower_ascii, mix64, prepare, scratch_path, small, stored, word_hashes
 
-END = np.uint64(xxhash.xxh64_intdigest(b" end"))  # no word holds a space
+END = np.uint64(0x656E64206F662074)  # of no word in particular
 FLUSH_TOKENS = 1_500_000
 #: Counts in a vocabulary shard, one array each after the hashes.
 FIELDS = ("count", "before", "context", "once", "twice", "more")
-_HASHES = WordHashes()
 _PRESS, _OPEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
@@ -104,13 +102,13 @@ def map_arrays(path: str) -> list[np.ndarray]:
 
 def _tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words, then the end."""
-    return np.append(_HASHES.of(lower_ascii(text)) if text else np.empty(0, np.uint64), END)
+    return np.append(word_hashes(lower_ascii(text)) if text else np.empty(0, np.uint64), END)
 
 
 def _flushes(batches, column: int = 0):
     """Lists of token arrays of about FLUSH_TOKENS tokens."""
     held, n = [], 0
-    for batch in batches:
+    for batch in small(batches):
         for text in batch.column(column).to_pylist():
             held.append(_tokens(text))
             n += len(held[-1])
@@ -146,7 +144,7 @@ def _word_counter(bits: int):
 
 def _by_shard(batches):
     at, blobs = None, []
-    for batch in batches:
+    for batch in small(batches):
         for shard, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if shard != at and blobs:
                 yield at, blobs
@@ -378,7 +376,7 @@ def _scorer(model: Model):
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2]), pa.array(got[3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
         n = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(_tokens(text))
                 keys.append((doc_id, held_out))
@@ -430,7 +428,7 @@ def _hot_words(spark, folder: str, bits: int, starts: np.ndarray, tokens: int, t
     share = max(1, tokens // (16 * tasks))
 
     def find(batches):
-        for batch in batches:
+        for batch in small(batches):
             for k in batch.column(0).to_pylist():
                 arrays = map_arrays(f"{folder}/words-{k}")
                 if arrays:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, prepare, stored, window_hashes
+from .common import prepare, small, stored, window_hashes, word_hashes
 
 RISK, DELTA = 0.03, 0.1
 #: Good texts that a proposed cutoff may cost for each bad one it catches.
@@ -31,7 +31,6 @@ RULES = ("symbols", "upper", "marks", "repeats", "dup_lines", "one_word")
 BROADCAST_ROWS = 100_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
-_HASHES = WordHashes()
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols double, upper double, marks double, repeats double, dup_lines double, one_word double"
 
 
@@ -41,7 +40,7 @@ def measure(text: str | None) -> tuple:
     if not text:
         return 0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
     data = text.encode("utf-8", "replace")
-    words = _HASHES.of(data)
+    words = word_hashes(data)
     n = len(words)
     chars = len(text) - (len(data) - len(data.translate(None, _SPACES)))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
@@ -69,7 +68,7 @@ def measure(text: str | None) -> tuple:
 def _measurer(batches):
     names = ["doc_id", "text_key", "stratum", *(x.split()[0] for x in MEASURES.split(", "))]
     kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 6]
-    for batch in batches:
+    for batch in small(batches):
         doc_id, text_key, stratum, texts = (c.to_pylist() for c in batch.columns)
         rows = [(i, k, s, *measure(t)) for i, k, s, t in zip(doc_id, text_key, stratum, texts, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
