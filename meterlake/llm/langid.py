@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_out, prepare
+from .common import hold_out, mix64, prepare, small, window_hashes
 from .tokens import default_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -28,6 +28,8 @@ LONGEST = 24
 PRIOR = 0.05
 WORDS_HELD = 200_000
 PIECE_CHARS = 1 << 20
+#: Words that are segmented together.
+CHUNK = 8_192
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,6 +44,10 @@ def words_of(text: str):
         at = end
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    return mix64(np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1))
+
+
 class Pieces:
     """The vocabulary's pieces by text; a word starts with its border mark. Every character stands for itself at least."""
 
@@ -53,21 +59,69 @@ class Pieces:
         keep = dict.fromkeys(t for t in texts if all(c == "▁" or c.isalpha() for c in t))
         self.number = {t: i for i, t in enumerate(keep)}
         self.unknown = len(self.number)  # any character that is no piece
-        self.longest = max(map(len, self.number))
-
-    def table(self, words: list[str]) -> np.ndarray:
-        """Piece numbers [word, start, length - 1] of words of one length, borders included; -1 where there is none."""
-        n = len(words[0])
-        out = np.full((len(words), n, min(self.longest, n)), -1, np.int32)
-        get = self.number.get
-        for k, w in enumerate(words):
-            own = out[k]
-            for i in range(n):
-                for m in range(i + 1, min(i + self.longest, n) + 1):
-                    if (p := get(w[i:m])) is not None:
-                        own[i, m - i - 1] = p
-            own[:, 0][own[:, 0] < 0] = self.unknown
-        return out
+        self.by_length = {}
+        for n in sorted({len(t) for t in self.number}):
+            own = [t for t in self.number if len(t) == n]
+            hashes = window_hashes(_points(own), n)[:: n]
+            order = np.argsort(hashes)
+            self.by_length[n] = hashes[order], np.array([self.number[t] for t in own])[order]
+
+
+class Lattice:
+    """All pieces that stand in some words (borders included): edges from a place to a later one, in the order of their ends."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        self.count = len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = _points(words)
+        start = np.repeat(np.cumsum(size) - size, size)
+        word = np.repeat(np.arange(len(words)), size)
+        place = np.arange(len(points)) - start
+        left = np.repeat(size, size) - place
+        parts = []
+        for n, (hashes, numbers) in pieces.by_length.items():
+            at = np.flatnonzero(left >= n)
+            own = window_hashes(points, n)[at] if len(at) else np.empty(0, np.uint64)
+            i = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            found = hashes[i] == own
+            number = numbers[i]
+            if n == 1:
+                number = np.where(found, number, pieces.unknown)
+                found[:] = True
+            parts.append((word[at[found]], place[at[found]], place[at[found]] + n, number[found]))
+        self.word, self.start, self.end, self.piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((self.word, self.end))
+        self.word, self.start, self.end, self.piece = (x[order] for x in (self.word, self.start, self.end, self.piece))
+        self.size = size
+
+    def _steps(self, place: np.ndarray, order: np.ndarray):
+        """Edges grouped by a place, and by word within it: (place, edges, first edge of each word)."""
+        cuts = np.flatnonzero(np.diff(place[order])) + 1
+        for own in np.split(order, cuts) if len(order) else ():
+            yield int(place[own[0]]), own, np.flatnonzero(np.concatenate([[True], np.diff(self.word[own]) != 0]))
+
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations of each prefix, [word, place, language]. prob: [piece, language]."""
+        alpha = np.zeros((self.count, int(self.size.max()) + 1, prob.shape[1]))
+        alpha[:, 0] = 1
+        for j, own, first in self._steps(self.end, np.arange(len(self.end))):
+            alpha[self.word[own[first]], j] = np.add.reduceat(alpha[self.word[own], self.start[own]] * prob[self.piece[own]], first, axis=0)
+        return alpha
+
+    def totals(self, prob: np.ndarray) -> np.ndarray:
+        return self.forward(prob)[np.arange(self.count), self.size]
+
+    def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The pieces' expected numbers, [piece, language], if the words stand ``counts`` [word, language] times."""
+        alpha = self.forward(prob)
+        beta = np.zeros_like(alpha)
+        rows = np.arange(self.count)
+        beta[rows, self.size] = counts / np.maximum(alpha[rows, self.size], 1e-300)
+        order = np.lexsort((self.word, self.start))
+        for i, own, first in reversed(list(self._steps(self.start, order))):
+            beta[self.word[own[first]], i] += np.add.reduceat(beta[self.word[own], self.end[own]] * prob[self.piece[own]], first, axis=0)
+        share = alpha[self.word, self.start] * prob[self.piece] * beta[self.word, self.end]
+        return np.stack([np.bincount(self.piece, share[:, k], len(prob)) for k in range(prob.shape[1])], 1)
 
 
 def parts_of(word: str) -> list[str]:
@@ -75,83 +129,37 @@ def parts_of(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
-def forward(table: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations of each prefix, [word, place, language]. prob: [piece, language], a row of zeros at the end."""
-    count, n, widest = table.shape
-    alpha = np.zeros((count, n + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(1, n + 1):
-        for m in range(1, min(widest, j) + 1):
-            alpha[:, j] += alpha[:, j - m] * prob[table[:, j - m, m - 1]]
-    return alpha
-
-
-def expected(table: np.ndarray, prob: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
-    """Add the pieces' expected numbers, by language, of words that stand ``counts`` [word, language] times."""
-    alpha = forward(table, prob)
-    count, n, widest = table.shape
-    beta = np.zeros_like(alpha)
-    beta[:, n] = counts / np.maximum(alpha[:, n], 1e-300)
-    for i in range(n - 1, -1, -1):
-        for m in range(1, min(widest, n - i) + 1):
-            p = prob[table[:, i, m - 1]]
-            beta[:, i] += p * beta[:, i + m]
-            got = alpha[:, i] * p * beta[:, i + m]
-            for k in range(prob.shape[1]):
-                into[:, k] += np.bincount(table[:, i, m - 1] % len(into), got[:, k], len(into))
-
-
 @dataclass
 class Model:
     languages: list[str]
-    prob: np.ndarray  # [piece, language]; the last row, for no piece, is 0
+    prob: np.ndarray  # [piece, language]
     prior: np.ndarray  # log
     path: str
 
 
-def _by_length(parts) -> dict[int, list[str]]:
-    groups: dict[int, list[str]] = {}
-    for p in parts:
-        groups.setdefault(len(p), []).append(p)
-    return groups
-
-
-def _chunks(parts: list[str], size: int = 4096):
-    for group in _by_length(parts).values():
-        for k in range(0, len(group), size):
-            yield group[k : k + size]
-
-
 def train(counts: dict[str, dict[str, int]], texts: dict[str, int], path: str, rounds: int = ROUNDS) -> Model:
     """Fit from each language's word counts. ``texts``: numbers of texts, for the prior."""
     languages = sorted(texts)
     pieces = Pieces(path)
-    rows = len(pieces.number) + 2  # unknown, none
     seen: dict[str, np.ndarray] = {}
     for k, language in enumerate(languages):
         for word, n in counts.get(language, {}).items():
             for p in parts_of(word):
                 seen.setdefault(p, np.zeros(len(languages)))[k] += n
-    tables = [(pieces.table(chunk), np.array([seen[p] for p in chunk])) for chunk in _chunks(list(seen))]
-    # The first probabilities: as often as a piece stands anywhere in the words, less for longer pieces.
-    prob = np.zeros((rows, len(languages)))
-    for table, n in tables:
-        for m in range(table.shape[2]):
-            for k in range(len(languages)):
-                prob[:, k] += np.bincount((table[:, :, m] % rows).ravel(), np.repeat(n[:, k], table.shape[1]), rows)
+    words = list(seen)
+    chunks = [(Lattice(words[k : k + CHUNK], pieces), np.array([seen[w] for w in words[k : k + CHUNK]])) for k in range(0, len(words), CHUNK)]
 
     def settled(expectation: np.ndarray) -> np.ndarray:
-        expectation[-1] = 0
-        out = expectation + PRIOR
-        out[-1] = 0
-        return out / out.sum(0)
-
-    prob = settled(prob)
+        return (expectation + PRIOR) / (expectation + PRIOR).sum(0)
+
+    # The first probabilities: as often as a piece stands anywhere in the words.
+    first = np.zeros((len(pieces.number) + 1, len(languages)))
+    for lattice, n in chunks:
+        for k in range(len(languages)):
+            first[:, k] += np.bincount(lattice.piece, n[lattice.word, k], len(first))
+    prob = settled(first)
     for _ in range(rounds):
-        into = np.zeros_like(prob)
-        for table, n in tables:
-            expected(table, prob, n, into)
-        prob = settled(into)
+        prob = settled(sum((lattice.expected(prob, n) for lattice, n in chunks), np.zeros_like(prob)))
     total = sum(texts.values())
     return Model(languages, prob, np.log(np.array([texts[x] / total for x in languages])), path)
 
@@ -164,34 +172,30 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.logs = np.empty((0, len(model.languages)))
 
-    def learn(self, words: set[str]) -> None:
-        parts = list({p for w in words for p in parts_of(w)})
-        logs: dict[str, np.ndarray] = {}
-        for chunk in _chunks(parts):
-            ends = forward(self.pieces.table(chunk), self.model.prob)[:, len(chunk[0])]
-            logs.update(zip(chunk, np.log(np.maximum(ends, 1e-300)), strict=True))
-        new = list(words)
-        got = np.array([logs[p[0]] if len(p) == 1 else sum(logs[x] for x in p) for p in map(parts_of, new)])
-        start = len(self.at)
-        self.at.update((w, start + i) for i, w in enumerate(new))
-        self.logs = np.concatenate([self.logs, got])
-
-    def text(self, text: str) -> tuple[np.ndarray, int]:
-        """The languages' log probabilities of a text, and its number of words."""
-        total, n = np.zeros(len(self.model.languages)), 0
-        for words in words_of(text):
-            if len(self.at) > WORDS_HELD:
-                self.at, self.logs = {}, self.logs[:0]
-            if new := set(words) - self.at.keys():
-                self.learn(new)
-            if words:
-                total += self.logs[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
-                n += len(words)
-        return total, n
+    def learn(self, words: list[str]) -> None:
+        each = [parts_of(w) for w in words]
+        flat = [p for parts in each for p in parts]
+        logs = np.concatenate([np.log(np.maximum(Lattice(flat[k : k + CHUNK], self.pieces).totals(self.model.prob), 1e-300)) for k in range(0, len(flat), CHUNK)])
+        starts = np.cumsum([0, *(len(p) for p in each[:-1])])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.logs = np.concatenate([self.logs, np.add.reduceat(logs, starts)])
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The languages' log probabilities of texts; None for a text without a letter. The texts' new words are learnt together."""
+        if len(self.at) > WORDS_HELD:
+            self.at, self.logs = {}, self.logs[:0]
+        each = [list(words_of(t)) if t else [] for t in texts]
+        if new := {w for text in each for words in text for w in words} - self.at.keys():
+            self.learn(list(new))
+        out = []
+        for text in each:
+            at = np.fromiter((self.at[w] for words in text for w in words), np.int64)
+            out.append(self.logs[at].sum(0) if len(at) else None)
+        return out
 
 
 def _counter(batches):
-    for batch in batches:
+    for batch in small(batches):
         counts: dict[tuple[str, str], int] = {}
         for language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for words in words_of(text or ""):
@@ -203,14 +207,13 @@ def _counter(batches):
 def _predictor(model):
     def run(batches):
         scorer = None
-        for batch in batches:
+        for batch in small(batches):
             scorer = scorer or Scorer(model.value)
             languages, prior = model.value.languages, model.value.prior
             doc_id, held_out, texts = (c.to_pylist() for c in batch.columns)
             predicted, scores = [], []
-            for text in texts:
-                logs, n = scorer.text(text) if text else (None, 0)
-                if not n or not languages:
+            for logs in scorer.texts(texts) if languages else [None] * len(texts):
+                if logs is None:
                     predicted.append("und")
                     scores.append(0.0)
                     continue

@@ -9,6 +9,7 @@ remember words.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, hold_out, pieces, prepare
+from .common import CACHE_WORDS, hold_out, mix64, pieces, prepare, small, window_hashes
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
 #: Labelled texts of either class in the training sample (as many are expected at most; all rows are scored).
-SAMPLE_TOXIC, SAMPLE_OTHER = 2_000, 4_000
+SAMPLE_TOXIC, SAMPLE_OTHER = 1_500, 2_500
 STEPS, MIN_EPOCHS, MAX_EPOCHS, BATCH, RATE = 1_200, 10, 40, 64, 1.0
 #: Norm to which the sample's texts are scaled.
 SCALE = 10.0
@@ -30,42 +31,49 @@ THRESHOLD = 0.7
 _EDGE = b".,;:!?\"'()[]{}<>|*&$%#"
 
 
-def subwords(word: bytes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of a word's character n-grams, with its borders marked, and of the word itself."""
-    s = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [s, *(s[i : i + n] for n in SIZES for i in range(len(s) - n + 1) if n < len(s))]
-    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams], np.int64)
+def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character n-grams, with the words' borders marked, and of the words themselves; and the word of each."""
+    points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    values = mix64(points + np.uint64(1))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    number = np.arange(len(words))
+    whole = np.add.reduceat(window_hashes(values, 1) * (np.arange(len(values), dtype=np.uint64) - np.repeat(start, size).astype(np.uint64) + np.uint64(7)), start)
+    hashes, of = [mix64(whole + size.astype(np.uint64))], [number]
+    for n in SIZES:
+        count = np.where(size > n, size - n + 1, 0)
+        at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+        hashes.append(mix64(window_hashes(values, n)[at] + np.uint64(n)))
+        of.append(np.repeat(number, count))
+    return (np.concatenate(hashes) % np.uint64(buckets)).astype(np.int64), np.concatenate(of)
 
 
 def _words(text: str | None):
     """Lower-cased words of a text without punctuation at their ends, piece by piece."""
     if text:
         for piece in pieces(text.lower().encode("utf-8", "replace")):
-            yield [w for w in (x.strip(_EDGE) for x in piece.split()) if w]
+            yield [w.decode("utf-8", "replace") for w in (x.strip(_EDGE) for x in piece.split()) if w]
 
 
 def _bagger(buckets: int):
     """Each text's subwords and their weights, which sum to 1 (none for a text without words)."""
 
     def run(batches):
-        known: dict[bytes, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(known) > CACHE_WORDS // 4:
-                    known = {}
-                at, weights, n = [], [], 0
+                index, value, n = [], [], 0
                 for words in _words(text):
+                    if not words:
+                        continue
                     n += len(words)
-                    values, counts = np.unique(np.array(words, object), return_counts=True) if words else ((), ())
-                    for w, c in zip(values, counts, strict=True):
-                        if w not in known:
-                            known[w] = subwords(w, buckets)
-                        at.append(known[w])
-                        weights.append(np.full(len(known[w]), c / len(known[w])))
-                index = np.concatenate(at) if at else np.empty(0, np.int64)
-                index, back = np.unique(index, return_inverse=True)
-                value = np.bincount(back, np.concatenate(weights) / n, len(index)) if n else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([index.astype(np.int32)], pa.list_(pa.int32())), pa.array([value.astype(np.float32)], pa.list_(pa.float32()))], ["label", "index", "value"])
+                    counts = Counter(words)
+                    bucket, of = subwords(list(counts), buckets)
+                    share = np.fromiter(counts.values(), float, len(counts)) / np.bincount(of)
+                    index.append(bucket)
+                    value.append(share[of])
+                at, back = np.unique(np.concatenate(index) if n else np.empty(0, np.int64), return_inverse=True)
+                weight = np.bincount(back, np.concatenate(value) / n, len(at)) if n else np.empty(0)
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([weight.astype(np.float32)], pa.list_(pa.float32()))], ["label", "index", "value"])
 
     return run
 
@@ -90,6 +98,7 @@ def train(labels: np.ndarray, index: list[np.ndarray], value: list[np.ndarray],
     every = np.concatenate(index)
     keep = np.bincount(every, minlength=buckets) >= 2
     square = np.bincount(every, np.concatenate(value) ** 2, buckets) / n
+    del every
     factor = np.where(keep, np.maximum(square, 1e-12) ** -0.25, 0)
     used = np.flatnonzero(keep)
     factor *= SCALE / max(np.sqrt((square * factor**2).sum()), 1e-12)
@@ -102,7 +111,7 @@ def train(labels: np.ndarray, index: list[np.ndarray], value: list[np.ndarray],
         kept = [index[i][keep[index[i]]] for i in rows]
         column, back = np.unique(np.concatenate(kept), return_inverse=True)
         values = np.concatenate([value[i][keep[index[i]]] for i in rows])
-        batches.append((labels[rows].astype(int), np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.searchsorted(used, column), back.astype(np.int32), values * factor[column][back]))
+        batches.append((labels[rows].astype(int), np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.searchsorted(used, column), back.astype(np.int32), (values * factor[column][back]).astype(np.float32)))
     epochs = max(MIN_EPOCHS, min(MAX_EPOCHS, steps // len(batches)))
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
@@ -128,36 +137,41 @@ def train(labels: np.ndarray, index: list[np.ndarray], value: list[np.ndarray],
 class _Scores(dict):
     """Margins of words, remembered; NaN for what is punctuation alone."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, model: Model):
+        self.model = model
 
-    def __missing__(self, word: bytes) -> float:
-        core = word.strip(_EDGE)
-        self[word] = value = float(self.weights[subwords(core, len(self.weights))].mean()) if core else np.nan
-        return value
+    def _learn(self, words: list[bytes]) -> None:
+        core = [w.strip(_EDGE).decode("utf-8", "replace") for w in words]
+        real = [c for c in core if c]
+        means = iter(())
+        if real:
+            bucket, of = subwords(real, len(self.model.weights))
+            means = iter((np.bincount(of, self.model.weights[bucket]) / np.bincount(of)).tolist())
+        self.update((w, next(means) if c else np.nan) for w, c in zip(words, core, strict=True))
 
-    def text(self, text: str | None, bias: float) -> float:
-        """The score of a whole text."""
+    def texts(self, texts: list[str | None]) -> list[float]:
+        """The scores of whole texts; their new words are learnt together."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        total, n = 0.0, 0
-        if text:
-            for piece in pieces(text.lower().encode("utf-8", "replace")):
-                words = piece.split()
-                got = np.fromiter(map(self.__getitem__, words), float, len(words))
-                total += float(np.nansum(got))
-                n += len(got) - int(np.isnan(got).sum())
-        margin = bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
+        each = [[piece.split() for piece in pieces(t.lower().encode("utf-8", "replace"))] if t else [] for t in texts]
+        new = {w for text in each for words in text for w in words} - self.keys()
+        if new:
+            self._learn(list(new))
+        out = []
+        for text in each:
+            got = np.fromiter((self[w] for words in text for w in words), float)
+            got = got[~np.isnan(got)]
+            margin = self.model.bias + (float(got.mean()) if len(got) else 0.0)
+            out.append(float(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
+        return out
 
 
 def _scorer(model):
     def run(batches):
-        scores = _Scores(model.value.weights)
-        for batch in batches:
+        scores = _Scores(model.value)
+        for batch in small(batches):
             doc_id, held_out, texts = (c.to_pylist() for c in batch.columns)
-            out = [scores.text(t, model.value.bias) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(scores.texts(texts), pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
 
@@ -177,9 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     lists = lambda col, kind: [np.asarray(x.values, kind) for x in col]
     if not bags.num_rows:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    index, value, label = lists(index, np.int64), lists(value, np.float64), np.array(bags.column("label").to_pylist())
+    index, value, label = lists(index, np.int32), lists(value, np.float32), np.array(bags.column("label").to_pylist())
     order = sorted(range(len(label)), key=lambda i: (label[i], len(index[i]), zlib.crc32(index[i].tobytes())))  # the fit doesn't depend on the order of arrival
     share = count.get(1, 0) / sum(count.values())
+    del bags
     return train(label[order], [index[i] for i in order], [value[i] for i in order], share=share, **options)
 
 
@@ -201,9 +216,9 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: fl
     table = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scores = _Scores(table.value.weights)
-        for batch in batches:
+        scores = _Scores(table.value)
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([scores.text(t, table.value.bias) < threshold for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in scores.texts(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
