@@ -33,7 +33,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Of each component of linked documents the one with the smallest id; of rows that are equal in id and text, one."""
+    """Of each component of linked documents (five-word shingles, similarity 0.8) the one with the smallest id; of rows that are equal in id and text, one."""
     groups = stored(jaccard.similarity_components(docs), "groups")
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = _without(docs, gone)
