@@ -112,3 +112,12 @@ def test_unset_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_silver_reads_only_its_months(spark, tmp_path):
+    from meterlake.sources.tables import read_silver, write_silver
+    rows = [(dt.datetime(2020, m, 3), float(m)) for m in range(1, 7)]
+    path = write_silver(spark.createDataFrame(rows, "ts timestamp_ntz, kw double"), str(tmp_path / "silver"))
+    got = read_silver(spark, path, "2020-02", "2020-03")
+    assert sorted(r["kw"] for r in got.collect()) == [2.0, 3.0]
+    assert "PartitionFilters: [isnotnull(year_month" in got._jdf.queryExecution().executedPlan().toString()
