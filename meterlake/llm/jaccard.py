@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_ascii, mix64, prepare, stored, window_hashes
+from .common import lower_ascii, mix64, prepare, small, stored, window_hashes, word_hashes
 from .components import components
 
-N = 4
-PERCENT = 85
+N = 5
+PERCENT = 80
 #: Rows of one verification block.
 BLOCK = 256
 #: Rows of one side of a block of the product.
 SIDE = 1024
 #: Entries of the tables of frequent words and shingles that are broadcast, at most.
-WORDS, SHINGLES = 1 << 16, 1 << 20
+WORDS, SHINGLES = 1 << 14, 1 << 20
 #: Entries of a column that one task pairs in the first round.
 COLUMN = 100_000
 #: Documents that are broadcast for verification, at most; more are joined by shuffle.
@@ -37,12 +37,11 @@ BROADCAST_ROWS = 300_000
 FLUSH_BYTES = 8 << 20
 #: Pairs that a task holds before it passes on their counts.
 PAIRS = 200_000
-_HASHES = WordHashes()
 
 
 def shingle_set(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, sorted distinct hashes of the n-word shingles, and the first window of each. A shorter text is one shingle."""
-    words = _HASHES.of(data)
+    words = word_hashes(data)
     grams = mix64(window_hashes(words, min(n, len(words)))) if len(words) else words
     grams, at = np.unique(grams, return_index=True)
     return words, grams, at
@@ -89,7 +88,7 @@ def _surveyor(n: int, seed: int):
                     rows += [(kind, None, None, None, None, None, v, c) for v, c in zip(values[keep].view(np.int64).tolist(), counts[keep].tolist(), strict=True)]
             return rows
 
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = lower_ascii(text) if text else b""
@@ -133,7 +132,7 @@ def _entries(n: int, percent: int, seed: int, tables):
     def run(batches):
         common_words, weights, common_grams, grams_df = tables.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             h, node, size, pos, salt = [], [], [], [], []
             for _id, _key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, grams, at = shingle_set(lower_ascii(text) if text else b"", n)
@@ -266,7 +265,7 @@ def _products(percent: int):
 
 def _set_sender(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for node, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grams = shingle_set(lower_ascii(text), n)[1].tobytes()
@@ -282,7 +281,7 @@ def _verifier(percent: int):
 
     def run(batches):
         at, pivot = None, None
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for p, salt, member, node, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(grams, np.uint64)
@@ -401,5 +400,5 @@ def similarity_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document."""
-    return similarity_components(docs).drop("text_key")
+    """``doc_id, n_shingles, component_id`` of each document, for four-word shingles and a similarity of 0.85."""
+    return similarity_components(docs, n=4, percent=85).drop("text_key")
