@@ -5,11 +5,12 @@ that follows from the two sizes, so only the columns of a row's prefix, in one o
 rows share. The order puts shingles of rare words first and shingles that many documents hold last; both are estimated by a counting
 pass over all documents, and any order gives the same links.
 
-Prefix columns are dealt by shingle. A column is not multiplied out: its most central row is paired with the others (a star), and the
-pairs are verified over the whole sets, in blocks of at most ``BLOCK`` rows beside one pivot. Components are then known, the most
-central row of each component in a column is paired likewise, and what is left are the products of rows of one column in different
-components: these are multiplied out in blocks, their overlap counts are accumulated over all columns, pairs below the bound from their sizes
-are discarded, and the rest is verified. So every candidate pair is either verified or lies in one component already.
+Prefix columns are dealt by shingle. Two cheap rounds find most links: in every column the most central row is the pivot of the others, every
+row is verified over the whole sets against the pivot that it shares most columns with, in blocks of at most ``BLOCK`` rows; then the most
+central row of each component in a column likewise. What is left are columns with rows of several components. Rows that may link there
+are gathered into clusters, and each cluster's incidence matrix is multiplied by its transpose in blocks of ``SIDE`` rows, chunk of columns by chunk,
+accumulating overlap counts; pairs below the bound from their sizes are discarded. So every pair that can be linked lies in one
+component already or is counted exactly, and no pairs leave a task but links that join components.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ PERCENT = 80
 #: Rows of one verification block.
 BLOCK = 256
 #: Rows of one side of a block of the product.
-SIDE = 1024
+SIDE = 512
+#: Columns of the incidence matrix that are multiplied at once.
+CHUNK = 2_048
 #: Entries of the tables of frequent words and shingles that are broadcast, at most.
 WORDS, SHINGLES = 1 << 14, 1 << 20
 #: Entries of a column that one task pairs in the first round.
@@ -35,8 +38,8 @@ COLUMN = 100_000
 #: Documents that are broadcast for verification, at most; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 FLUSH_BYTES = 8 << 20
-#: Pairs that a task holds before it passes on their counts.
-PAIRS = 200_000
+#: Rows of a column that are compared with each other to form clusters; a longer column is chained in the order of size.
+NARROW = 64
 
 
 def shingle_set(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +189,8 @@ def _may_link(n1, p1, n2, p2, percent):
 
 
 def _stars(percent: int):
-    """For each column: pairs of its most central row with the rows it may link to, and so on with what is left."""
+    """For each column: pairs of its most central row with the rows it may link to, and so on with what is left (kind 0, with the number of
+    columns of the batch in ``size_pos``); and the entries of columns with several rows (kind 1)."""
     names = ["kind", "a", "b", "h", "size_pos"]
 
     def run(batches):
@@ -214,51 +218,112 @@ def _stars(percent: int):
                     a.append(np.full(int(ok.sum()), node[pivot]))
                     b.append(node[others[ok]])
                     at = others[~ok]
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = pairs[:, 0], pairs[:, 1]
+            pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0, return_counts=True)
             k = int(keep.sum())
-            if len(a) + k:
-                none = np.zeros(len(a), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(a), k]).astype(np.int32)), pa.array(np.concatenate([a, node[keep]])), pa.array(np.concatenate([b, np.zeros(k, np.int64)])), pa.array(np.concatenate([none, h[keep]])), pa.array(np.concatenate([none, size_pos[keep]]))], names)
+            if len(pairs) + k:
+                none = np.zeros(len(pairs), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(pairs), k]).astype(np.int32)), pa.array(np.concatenate([pairs[:, 0], node[keep]])), pa.array(np.concatenate([pairs[:, 1], np.zeros(k, np.int64)])), pa.array(np.concatenate([none, h[keep]])), pa.array(np.concatenate([count, size_pos[keep]]))], names)
 
     return run
 
 
-def _products(percent: int):
-    """Overlap counts, over the columns of a task, of rows of one block in different components."""
-
-    def summed(got):
-        pairs, counts = np.unique(np.concatenate(got), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(4)), pa.array(counts.astype(np.int64))], ["a", "b", "na", "nb", "c"])
+def _cluster_edges(percent: int):
+    """Edges, fewer than entries, that connect the rows of a column which may link although their components differ."""
 
     def run(batches):
-        for arrays, cuts in _columns(batches, 3):
-            _h, _r, _s, side, node, label, size_pos = arrays
-            n = size_pos >> 32
-            ends = np.append(cuts[1:], len(node))
-            got, held = [], 0
-            for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
-                if e - s < 2:
+        for (_h, node, label, size_pos), cuts in _columns(batches, 1):
+            n, p = size_pos >> 32, size_pos & 0xFFFFFFFF
+            a, b = [], []
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)], strict=True):
+                at = s + np.lexsort((node[s:e], n[s:e]))
+                if len(at) > NARROW:
+                    near = 100 * n[at[:-1]] >= percent * n[at[1:]]
+                    a.append(node[at[:-1][near]])
+                    b.append(node[at[1:][near]])
                     continue
-                left = np.flatnonzero(side[s:e] == 0) + s
-                other = np.flatnonzero(side[s:e] == 1) + s
-                within = not len(other)
-                for k, i in enumerate(left):
-                    js = left[k + 1 :] if within else other
-                    js = js[(label[js] != label[i]) & (100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js]))]
-                    held += len(js)
-                    if len(js):
-                        low = np.minimum(node[js], node[i])
-                        high = np.maximum(node[js], node[i])
-                        small = node[js] < node[i]
-                        got.append(np.stack([low, high, np.where(small, n[js], n[i]), np.where(small, n[i], n[js])], 1))
-                    if held > PAIRS:
-                        yield summed(got)
-                        got, held = [], 0
-            if got:
-                yield summed(got)
+                i, j = np.triu_indices(len(at), 1)
+                i, j = at[i], at[j]
+                ok = (label[i] != label[j]) & _may_link(n[i], p[i], n[j], p[j], percent)
+                joined = {}
+                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    while x in joined:
+                        x = joined[x]
+                    while y in joined:
+                        y = joined[y]
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                a.append(node[np.fromiter(joined, np.int64, len(joined))])
+                b.append(node[np.fromiter(joined.values(), np.int64, len(joined))])
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _block_sender(n: int):
+    def run(batches):
+        for batch in small(batches):
+            rows = []
+            for node, text, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = shingle_set(lower_ascii(text), n)[1].tobytes()
+                rows += [(x["cluster"], x["r"], x["s"], x["side"], node, x["label"], grams) for x in blocks]
+            for i in range(0, len(rows), 1024):
+                yield _batch(rows[i : i + 1024], [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64(), pa.binary()], ["cluster", "r", "s", "side", "node", "label", "grams"])
+
+    return run
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the rows of one block of the product, by overlap counts over all shingles."""
+    rows = list({r[1]: r for r in rows}.values())  # a row that stands twice in the table is one
+    side = np.array([r[0] for r in rows])
+    label = np.array([r[2] for r in rows])
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    size = np.array([len(x) for x in sets])
+    grams, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    del grams
+    row = np.repeat(np.arange(len(rows)), size)
+    shared = df[column] > 1  # a shingle of one row adds nothing
+    rank = np.cumsum(df > 1) - 1
+    row, column = row[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    count = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, CHUNK):
+        lo, hi = np.searchsorted(column, [at, at + CHUNK])
+        part = np.zeros((len(rows), CHUNK), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        count += part[left] @ part[right].T
+    union = size[left][:, None] + size[right][None, :] - count
+    i, j = np.nonzero((100 * count >= percent * union) & (label[left][:, None] != label[right][None, :]))
+    joined: dict[int, int] = {}
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        a, b = int(label[x]), int(label[y])
+        while a in joined:
+            a = joined[a]
+        while b in joined:
+            b = joined[b]
+        if a != b:
+            joined[max(a, b)] = min(a, b)
+            out.append((rows[x][1], rows[y][1]))
+    return out
+
+
+def _blocks(percent: int):
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for cluster, r, s, side, node, label, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (cluster, r, s) and rows:
+                    yield _batch(_block_links(rows, percent), [pa.int64(), pa.int64()], ["a", "b"])
+                    rows = []
+                at = (cluster, r, s)
+                rows.append((side, node, label, grams))
+        if rows:
+            yield _batch(_block_links(rows, percent), [pa.int64(), pa.int64()], ["a", "b"])
 
     return run
 
@@ -299,16 +364,21 @@ def _verifier(percent: int):
     return run
 
 
+def _texts_of(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text, blocks`` of the wanted nodes, from their representatives; few are broadcast, more are joined by shuffle."""
+    wanted = stored(wanted.join(classes, "node").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"), "node", "blocks"), "wanted")
+    rows = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()
+    side = F.broadcast(wanted) if rows[0] + rows[1] <= BROADCAST_ROWS else wanted
+    return keyed.join(side, keyed.doc_id.eqNullSafe(side.r_id) & (keyed.text_key == side.r_key)).select("node", "text", "blocks")
+
+
 def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
     """The links among ``pairs`` (pivot a, row b)."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.col("a").alias("p"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("salt"))
     pivots = blocks.select(F.col("a").alias("node"), F.col("a").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
     wanted = dealt.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("p", "salt")).alias("blocks"))
-    wanted = stored(wanted.join(classes, "node").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"), "node", "blocks"), "wanted")
-    rows = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()
-    side = F.broadcast(wanted) if rows[0] + rows[1] <= BROADCAST_ROWS else wanted
-    sent = keyed.join(side, keyed.doc_id.eqNullSafe(side.r_id) & (keyed.text_key == side.r_key)).select("node", "text", "blocks")
+    sent = _texts_of(keyed, classes, wanted)
     sets = sent.mapInArrow(_set_sender(n), "p long, salt int, member int, node long, grams binary")
     return stored(sets.repartition(tasks, "p", "salt").sortWithinPartitions("p", "salt", "member").mapInArrow(_verifier(percent), "a long, b long"), "links")
 
@@ -352,34 +422,32 @@ def similarity_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         dealt = of.select("h", "salt", "node", "size_pos").repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt")
         return stored(dealt.mapInArrow(_stars(percent), "kind int, a long, b long, h long, size_pos long"), "stars")
 
-    def pairs_of(found: DataFrame) -> DataFrame:
-        return found.where("kind = 0").select("a", "b").distinct()
+    def best_pivots(found: DataFrame) -> DataFrame:
+        counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("size_pos").alias("c"))
+        return counted.groupBy("b").agg(F.max(F.struct("c", "a")).alias("p")).select("p.a", "b")
 
     found = stars(entries)
-    links = _verify(keyed, classes, pairs_of(found), n, percent, tasks)
+    links = _verify(keyed, classes, best_pivots(found), n, percent, tasks)
     labels = components(links)
-    # Columns that still hold rows of several components.
     kept = found.where("kind = 1").select("h", F.col("a").alias("node"), "size_pos").distinct()
     marked = kept.join(labels, "node", "left").select("h", "node", "size_pos", F.coalesce("label", "node").alias("label"))
     place = F.struct(F.col("size_pos").bitwiseAND(0xFFFFFFFF).alias("p"), "node", "size_pos")
     heads = marked.groupBy("h", "label").agg(F.min(place).alias("r"))
     found2 = stars(heads.select("h", F.lit(-1).alias("salt"), "r.node", "r.size_pos"))
-    tested = pairs_of(found)
-    pairs2 = stored(pairs_of(found2).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verify(keyed, classes, pairs2, n, percent, tasks))
+    links = links.unionByName(_verify(keyed, classes, best_pivots(found2), n, percent, tasks))
     labels = components(links)
 
-    marked = stored(kept.join(labels, "node", "left").select("h", "node", "size_pos", F.coalesce("label", "node").alias("label")), "marked")
-    mixed = marked.groupBy("h").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h", F.ceil(F.col("rows") / SIDE).cast("int").alias("sides"))
-    cells = marked.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = cells.select("h", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label", "size_pos")
-    counted = cells.repartition(tasks, "h", "r", "s").sortWithinPartitions("h", "r", "s").mapInArrow(_products(percent), "a long, b long, na long, nb long, c long")
-    rest = lambda c: F.floor(F.col(c) * percent / 100)  # noqa: E731  columns beyond the prefix, rounded up below
-    bound = F.col("c") + F.greatest(rest("na"), rest("nb")) + 1 >= F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    survivors = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(bound).select("a", "b")
-    done = tested.unionByName(pairs2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    survivors = stored(survivors.join(done, ["a", "b"], "left_anti"), "survivors")
-    links = links.unionByName(_verify(keyed, classes, survivors, n, percent, tasks))
+    marked = stored(kept.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"), "size_pos"), "marked")
+    mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
+    edges = marked.join(mixed, "h", "left_semi").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_cluster_edges(percent), "a long, b long")
+    cluster = components(edges).withColumnRenamed("label", "cluster")
+    cluster = stored(cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "clusters")
+    sides = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("cluster", "sides")
+    cells = cluster.join(sides, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    block = F.struct("cluster", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label")
+    sent = _texts_of(keyed, classes, cells.groupBy("node").agg(F.collect_list(block).alias("blocks")))
+    sets = sent.mapInArrow(_block_sender(n), "cluster long, r int, s int, side int, node long, label long, grams binary")
+    links = links.unionByName(stored(sets.repartition(tasks, "cluster", "r", "s").sortWithinPartitions("cluster", "r", "s").mapInArrow(_blocks(percent), "a long, b long"), "links"))
     members = survey.where("kind = 0").select("doc_id", "text_key", "n", "node")
     return members, classes, links
 

@@ -81,10 +81,11 @@ def test_jaccard_finds_links_that_no_star_sees(spark, monkeypatch):
         texts.append(" ".join(chain))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     groups = frames.components({i: frames.shingles(t) for i, t in enumerate(texts)})
-    for block, side, column in ((256, 1024, 100_000), (3, 2, 7)):
+    for block, side, column, narrow in ((256, 512, 100_000, 64), (3, 5, 7, 4)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         monkeypatch.setattr(jaccard, "SIDE", side)
         monkeypatch.setattr(jaccard, "COLUMN", column)
+        monkeypatch.setattr(jaccard, "NARROW", narrow)
         got = {r["doc_id"]: r["component_id"] for r in jaccard.digest(docs).collect()}
         assert got == {i: min(g) for i, g in groups.items()}
 
