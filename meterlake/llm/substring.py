@@ -17,23 +17,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, prepare, stored, window_hashes
+from .common import mix64, prepare, small, stored, window_hashes, word_hashes
 
 WINDOW = 20
 MINIMISER = 6
 #: Bytes of packed strings that a task gathers before it ships them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
+#: Strings of a bucket whose words are objects at a time.
+STRINGS = 8_192
 #: Windows in one packed string at most; longer runs are cut into several strings.
 RUN = 256
 #: Distinct strings of a minimiser that a task reports as possibly hot.
 LOCAL_HOT = 16
 BUCKETS_PER_TASK = 8
 SPANS = "doc_id long, text_key long, start int, end int"
-_HASHES = WordHashes()
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -76,7 +78,7 @@ class _Task:
         self.bytes = 0
 
     def add(self, doc_id, text_key, data: bytes, window: int, m: int, expand: int = 3) -> None:
-        hashes = _HASHES.of(data)
+        hashes = word_hashes(data)
         if len(hashes) < window:
             return
         first, size, low = _runs(hashes, window, m)
@@ -122,7 +124,7 @@ def _hot_counter(window: int, m: int):
             n, values, counts = got
             return pa.RecordBatch.from_arrays([pa.array([None, *values.view(np.int64).tolist()], pa.int64()), pa.array([n, *counts.tolist()], pa.int64())], ["minimiser", "n"])
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text_key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if data:
                     task.add(doc_id, text_key, data, window, m)
@@ -153,14 +155,14 @@ def _join_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 def _shipper(window: int, m: int, buckets: int, hot):
-    """Rows for the buckets (``blob`` set) and spans that are already known to be removed (``blob`` null)."""
+    """Rows for the buckets (``blob`` set) and spans that are already known to be removed (``blob`` null, dealt like the others)."""
     names = ["bucket", "blob", "doc_id", "text_key", "start", "end"]
     kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def flush(task: _Task):
         doc, first, size, low, is_first = task.distinct()
         known = ~is_first
-        rows = [(-1, None, *task.docs[d][:2], int(s), int(e)) for d, s, e in zip(*(x.tolist() for x in _join_spans(doc[known], first[known], (first + size + window - 1)[known])), strict=True)]
+        rows = [(d % buckets, None, *task.docs[d][:2], int(s), int(e)) for d, s, e in zip(*(x.tolist() for x in _join_spans(doc[known], first[known], (first + size + window - 1)[known])), strict=True)]
         doc, first, size, low = (x[is_first] for x in (doc, first, size, low))
         place = (mix64(low) % np.uint64(buckets)).astype(np.int64)
         if len(hot.value):  # windows of hot minimisers go one by one, dealt by their own hash
@@ -168,8 +170,9 @@ def _shipper(window: int, m: int, buckets: int, hot):
             d, f = np.repeat(doc[single], size[single]), np.repeat(first[single], size[single])
             f = f + np.arange(len(f)) - np.repeat(np.cumsum(size[single]) - size[single], size[single])
             own = np.empty(len(d), np.uint64)
-            for i in np.unique(d):
-                own[d == i] = window_hashes(task.docs[i][3], window)[f[d == i]]
+            by = np.argsort(d, kind="stable")
+            for at in np.split(by, np.flatnonzero(np.diff(d[by])) + 1) if len(by) else ():
+                own[at] = window_hashes(task.docs[d[at[0]]][3], window)[f[at]]
             place = np.concatenate([place[~single], (mix64(own) % np.uint64(buckets)).astype(np.int64)])
             doc, first, size = np.concatenate([doc[~single], d]), np.concatenate([first[~single], f]), np.concatenate([size[~single], np.ones(len(d), size.dtype)])
         strings: list[bytes] = []
@@ -188,7 +191,7 @@ def _shipper(window: int, m: int, buckets: int, hot):
             if not len(own):
                 continue
             d = doc[own].tolist()
-            head = pa.record_batch([pa.array([task.docs[i][0] for i in d], pa.int64()), pa.array([task.docs[i][1] for i in d], pa.int64()), pa.array(first[own].astype(np.int32)), pa.array([strings[back[i]] for i in own], pa.binary())], names=["doc_id", "text_key", "start", "words"])
+            head = pa.record_batch([pa.array([task.docs[i][0] for i in d], pa.int64()), pa.array([task.docs[i][1] for i in d], pa.int64()), pa.array(first[own].astype(np.int32)), pa.array(size[own].astype(np.int32)), pa.array([strings[back[i]] for i in own], pa.binary())], names=["doc_id", "text_key", "start", "size", "words"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
@@ -198,7 +201,7 @@ def _shipper(window: int, m: int, buckets: int, hot):
 
     def run(batches):
         task = _Task()
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text_key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if data:
                     task.add(doc_id, text_key, data, window, m)
@@ -215,35 +218,41 @@ def _judge(blobs: list[bytes], window: int):
     """Spans of the windows of one bucket that start earlier elsewhere."""
     table = pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in blobs])
     table = table.sort_by([("doc_id", "ascending"), ("text_key", "ascending"), ("start", "ascending")])
-    doc_id, text_key, start = (table.column(c).to_pylist() for c in ("doc_id", "text_key", "start"))
-    keys, records, places = [], [], []
-    for i, words in enumerate(table.column("words").to_pylist()):
-        got = window_hashes(_HASHES.of(words), window)
-        keys.append(got)
-        records.append(np.full(len(got), i, np.int64))
-        places.append(start[i] + np.arange(len(got)))
-    key, record, place = (np.concatenate(x) for x in (keys, records, places))
+    doc_id, text_key = (table.column(c).to_pylist() for c in ("doc_id", "text_key"))
+    names: dict[tuple, int] = {}
+    doc = np.array([names.setdefault(x, len(names)) for x in zip(doc_id, text_key, strict=True)], np.int64)
+    who = list(names)
+    start, size = (np.asarray(table.column(c)).astype(np.int64) for c in ("start", "size"))
+    keys = []
+    for at in range(0, len(start), STRINGS):  # the strings' words in a row; windows that lie in two strings are left out
+        words = word_hashes(b" ".join(table.column("words").slice(at, STRINGS).to_pylist()))
+        n = size[at : at + STRINGS]
+        first = np.cumsum(n + window - 1) - (n + window - 1)
+        keys.append(window_hashes(words, window)[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    key = np.concatenate(keys)
+    del table, keys
+    record = np.repeat(np.arange(len(size)), size)
+    place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(record))
     by = np.argsort(key, kind="stable")
-    sorted_key = key[by]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    key = key[by]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
     # A group's first is its earliest start; the same row twice is no earlier start.
-    names = {}
-    own = np.array([names.setdefault((a, b), len(names)) for a, b in zip(doc_id, text_key, strict=True)], np.int64)
-    later = (own[record[by]] != own[record[head]]) | (place[by] != place[head])
-    gone = by[later]
-    who = [(None, None)] * len(names)
-    for name, i in names.items():
-        who[i] = name
-    doc, s, e = _join_spans(own[record[gone]], place[gone], place[gone] + window)
-    return [(*who[d], a, b) for d, a, b in zip(doc.tolist(), s.tolist(), e.tolist(), strict=True)]
+    gone = by[(doc[record[by]] != doc[record[head]]) | (place[by] != place[head])]
+    d, s, e = _join_spans(doc[record[gone]], place[gone], place[gone] + window)
+    return [(*who[i], a, b) for i, a, b in zip(d.tolist(), s.tolist(), e.tolist(), strict=True)]
 
 
 def _judges(window: int):
     def run(batches):
         at, blobs = None, []
         for batch in batches:
-            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = batch.filter(pc.is_null(batch.column(1)))
+            if known.num_rows:
+                yield known.select(["doc_id", "text_key", "start", "end"])
+            for bucket, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                if blob is None:
+                    continue
                 if bucket != at and blobs:
                     if rows := _judge(blobs, window):
                         yield _spans_batch(rows)
@@ -277,9 +286,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     share = max(LOCAL_HOT, total // (8 * tasks))
     hot = [r[0] for r in counts.where((F.col("n") > share) & F.col("minimiser").isNotNull()).select("minimiser").collect()]
     hot_values = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
-    shipped = stored(keyed.mapInArrow(_shipper(window, m, BUCKETS_PER_TASK * tasks, hot_values), "bucket int, blob binary, doc_id long, text_key long, start int, end int"), "superkmers")
-    judged = shipped.where("blob is not null").select("bucket", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_judges(window), SPANS)
-    return shipped.where("blob is null").select("doc_id", "text_key", "start", "end").unionByName(judged)
+    shipped = keyed.mapInArrow(_shipper(window, m, BUCKETS_PER_TASK * tasks, hot_values), "bucket int, blob binary, " + SPANS)
+    return stored(shipped.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_judges(window), SPANS), "spans")
 
 
 def _kept(data: bytes | None, spans) -> tuple[int, int, bytes]:
@@ -294,7 +302,7 @@ def _kept(data: bytes | None, spans) -> tuple[int, int, bytes]:
 
 
 def _keeper(batches):
-    for batch in batches:
+    for batch in small(batches):
         out = [(doc_id, text_key, *_kept(data, spans)) for doc_id, text_key, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
@@ -319,7 +327,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names, kinds = docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             at = names.index(text_col)
             texts, keep, lengths = batch.column(at).to_pylist(), [], {}
             for i, spans in enumerate(batch.column(len(names)).to_pylist()):
