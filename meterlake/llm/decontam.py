@@ -82,9 +82,10 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     start = F.col("pos") - F.col("offset")
     candidates = found.join(checked(prefixes, BROADCAST_ROWS), "h").where((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "len", "w", "items")).alias("candidates"))  # bounded by the document's words
     candidates = stored(candidates.select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), "candidates"), "candidates")
-    size = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()
-    side = F.broadcast(candidates) if sum(size) <= BROADCAST_ROWS // 4 else candidates
-    joined = own.join(side, own.doc_id.eqNullSafe(side.c_id) & (own.text_key == side.c_key), "left")
+    # The texts are dealt by document at every size; words are cut again behind the shuffle, which moves the plain text.
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("text_key"), text.alias("text"))
+    side = candidates.hint("merge")
+    joined = texts.join(side, texts.doc_id.eqNullSafe(side.c_id) & (texts.text_key == side.c_key), "left").select("doc_id", "text_key", words(F.col("text")).alias("words"), "candidates")
     same = F.filter(F.coalesce("candidates", F.array()), lambda c: F.slice("words", c["start"] + 1, c["len"]) == c["w"])
     return joined.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.transform(same, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))).alias("hits"))
 
