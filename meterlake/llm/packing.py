@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, text_batches
+from .common import prepare, small, stored, text_batches
 from .tokens import default_path, tokenizer
 
 WINDOW = 2048
@@ -89,10 +89,10 @@ def _cutter(path: str, end_id: int, window: int):
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         encode = tokenizer(path)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), text_batches(batch), strict=True):
-                ids = np.append(encode.encode([text])[0], np.uint32(end_id)).astype("<u4")
+            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(text_batches(batch)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     rows.append((key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, int(seen[len(piece)])))
