@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, scratch_path, text_batches
+from .common import prepare, scratch_path, small, text_batches
 from .tokens import default_path, tokenizer
 
 END_ID = 2
@@ -42,9 +42,9 @@ def _encoder(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([part] * len(keys), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), ids], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
 
         held = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), text_batches(batch), strict=True):
-                ids = np.append(encode.encode([text])[0], np.uint32(end_id))
+        for batch in small(batches):
+            for key, ids in zip(batch.column(0).to_pylist(), encode.encode(text_batches(batch)), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 out.append((key, start, ids))
                 start += len(ids)
                 held += len(ids)
