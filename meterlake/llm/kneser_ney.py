@@ -1,14 +1,19 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark over all training texts.
+"""Interpolated modified Kneser-Ney model of any order from 2, counted in Spark over all training texts.
 
 The model is a folder of shards below the shared folder. A vocabulary shard holds the sorted 64-bit hashes of its words with, for each word, its count,
-the number of different words before it, and what its contexts need (total and the numbers of followers seen once, twice and more often). A
-pair shard holds sorted pairs of word numbers with their counts. Workers map the shards into memory and look a batch's distinct words
-and pairs up in sorted order; nothing is collected but one line of totals per shard.
+the number of different words before it, and what its contexts need (total and the numbers of followers seen once, twice and more often). A shard
+of n-grams holds their sorted keys with their counts; below the highest order, with the number of different words before them and what they need as
+contexts. Workers map the shards into memory and look a batch's distinct words and n-grams up in sorted order; nothing is collected but one
+line of totals per shard.
 
-    p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3+(v)) / c(v) * p(w)
-    p(w)     = max(N(*w) - E(N(*w)), 0) / N(**) + (E1 M1 + E2 M2 + E3 M3+) / N(**) / (V + 1)
+    p(w | u v) = max(c(uvw) - D(c(uvw)), 0) / c(uv) + (D1 N1(uv) + D2 N2(uv) + D3 N3+(uv)) / c(uv) * p(w | v)
+    p(w)       = max(N(*w) - E(N(*w)), 0) / N(**) + (E1 M1 + E2 M2 + E3 M3+) / N(**) / (V + 1)
 
-Pairs are dealt by their first word; those of words with more than their share of all tokens are dealt by both words, so that no shard is hot.
+At the highest order c counts places; below it c(vw) is N(*vw), the number of different words before vw, and c(v) their sum over w. Each order has its own D.
+A text has order - 1 starts before it, so each of its words has a context of that length; the start is never predicted.
+
+Every order is counted from the one above: a shard's n-grams give their contexts' and their last n - 1 words' counts. N-grams are dealt by their middle words, or
+where all of these have more than their share of all tokens, by the first or the last word also, so that no shard is hot.
 """
 
 from __future__ import annotations
@@ -61,19 +66,20 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_arrays(path: str, arrays: list[np.ndarray]) -> None:
-    """One file with the arrays' lengths in front; written aside and moved, so a task that runs again leaves the same file."""
+    """One file with the arrays' lengths and bytes a value in front; written aside and moved, so a task that runs again leaves the same file."""
     fs, at = _filesystem(path)
     fs.create_dir(os.path.dirname(at), recursive=True)
     aside = f"{at}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}"
     with fs.open_output_stream(aside) as f:
-        f.write(np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes())
+        f.write(np.array([len(arrays), *(len(a) for a in arrays), *(a.itemsize for a in arrays)], np.int64).tobytes())
         for a in arrays:
             f.write(np.ascontiguousarray(a).tobytes())
+            f.write(bytes(-a.nbytes % 8))
     fs.move(aside, at)
 
 
 def map_arrays(path: str) -> list[np.ndarray]:
-    """The uint64 arrays of a file, mapped into memory. A store without paths is copied to an unnamed local file first."""
+    """The unsigned arrays of a file, mapped into memory. A store without paths is copied to an unnamed local file first."""
     fs, at = _filesystem(path)
     if fs.get_file_info(at).type == pafs.FileType.NotFound:
         return []
@@ -92,9 +98,30 @@ def map_arrays(path: str) -> list[np.ndarray]:
         except TypeError:  # before Python 3.13
             held = mmap.mmap(f.fileno(), size, access=mmap.ACCESS_READ)
     n = int(np.frombuffer(held, np.int64, 1)[0])
-    lengths = np.frombuffer(held, np.int64, n, 8)
-    starts = 8 * (1 + n) + 8 * np.concatenate([[0], np.cumsum(lengths)])
-    return [np.frombuffer(held, np.uint64, int(k), int(s)) for k, s in zip(lengths, starts, strict=False)]
+    lengths, sizes = np.frombuffer(held, np.int64, 2 * n, 8).reshape(2, n)
+    starts = 8 * (1 + 2 * n) + np.concatenate([[0], np.cumsum((lengths * sizes + 7) // 8 * 8)])
+    return [np.frombuffer(held, f"u{size}", int(k), int(s)) for k, size, s in zip(lengths, sizes, starts, strict=False)]
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in 1, 4 or 8 bytes each."""
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _compact(counts: np.ndarray) -> list[np.ndarray]:
+    """The counts in a byte each; 255 is in the list of places and counts that follows."""
+    over = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8), over.astype(np.uint64), counts[over].astype(np.uint64)]
+
+
+def _expand(compact: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The counts at some places of what ``_compact`` gave."""
+    byte, places, counts = compact
+    out = byte[at].astype(np.uint64)
+    over = out == 255
+    out[over] = counts[np.searchsorted(places, at[over].astype(np.uint64))]
+    return out
 
 
 # ---- words -------------------------------------------------------------------------------------------------------------------
@@ -105,14 +132,14 @@ def _tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(lower_ascii(text)) if text else np.empty(0, np.uint64), END)
 
 
-def _flushes(batches, column: int = 0):
-    """Lists of token arrays of about FLUSH_TOKENS tokens."""
+def _flushes(batches, column: int = 0, size: int = FLUSH_TOKENS):
+    """Lists of token arrays of about ``size`` tokens."""
     held, n = [], 0
     for batch in small(batches):
         for text in batch.column(column).to_pylist():
             held.append(_tokens(text))
             n += len(held[-1])
-            if n >= FLUSH_TOKENS:
+            if n >= size:
                 yield held
                 held, n = [], 0
     if held:
@@ -218,56 +245,141 @@ def _words(folder: str, bits: int, starts: np.ndarray, name: str) -> Words:
     return _OPENED[key]
 
 
-# ---- pairs -------------------------------------------------------------------------------------------------------------------
+# ---- n-grams -----------------------------------------------------------------------------------------------------------------
+
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+
+
+def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The columns of words' numbers two by two, the middle words first: what n-grams are sorted by."""
+    c = [x.astype(np.uint64) for x in ([*columns[1:-1], columns[0], columns[-1]] if len(columns) > 2 else columns)]
+    return [*(a << _HALF | b for a, b in zip(c[::2], c[1::2], strict=False)), *c[len(c) // 2 * 2 :]]
+
+
+def _columns(packed: list[np.ndarray], n: int) -> list[np.ndarray]:
+    c = [x for p in packed[: n // 2] for x in (p >> _HALF, p & _LOW)] + packed[n // 2 :]
+    return [c[-2], *c[:-2], c[-1]] if n > 2 else c
+
+
+def _gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """64 evenly spread bits: both numbers of a pair scrambled, a hash of more words."""
+    key = mix64(columns[0] << _HALF | columns[1])
+    for c in columns[2:]:
+        key = mix64(key ^ mix64(c + np.uint64(0x9E3779B97F4A7C15)))
+    return key
+
 
+def _key_arrays(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted scrambled keys in six bytes each: how many have each of the upper 16 bits, then the next 32 bits and the lower 16 of each key."""
+    return [*_compact(np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=1 << 16)), (keys >> np.uint64(16)).astype(np.uint32), keys.astype(np.uint16)]
 
-def _place(key: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """The shard of pairs (first word's number in the high half)."""
-    first = key >> np.uint64(32)
-    own = mix64(np.where(np.isin(first, hot), key + np.uint64(1), first << np.uint64(32)))
-    return (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
 
+def _find(arrays: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of sorted keys in what ``_key_arrays`` gave, and whether they are there."""
+    upper, lower = arrays[3:]
+    sizes = arrays[0].astype(np.int64)
+    sizes[arrays[1].astype(np.int64)] = arrays[2].astype(np.int64)
+    head = (keys >> np.uint64(48)).astype(np.int64)
+    end = np.cumsum(sizes)[head]
+    lo, hi = end - sizes[head], end
+    want = keys & np.uint64((1 << 48) - 1)
+    at = lambda i: upper[i].astype(np.uint64) << np.uint64(16) | lower[i]
+    while (on := lo < hi).any():
+        mid = np.where(on, (lo + hi) // 2, 0)
+        less = at(mid) < want
+        lo, hi = np.where(on & less, mid + 1, lo), np.where(on & ~less, mid, hi)
+    here = np.flatnonzero(lo < end)
+    found = np.zeros(len(keys), bool)
+    found[here] = at(lo[here]) == want[here]
+    return lo, found
 
-def _pair_keys(held: list[np.ndarray], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The known pairs' keys, for each token the number of its word, and of the word before it (the start is the vocabulary's size)."""
+
+def _place(columns: list[np.ndarray], hot: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of n-grams: by the middle words, and where these are all hot, by the first word, the last word if the first is hot, or both if both are."""
+    if not bits:
+        return np.zeros(len(columns[0]), np.int64)
+    own, loose = np.zeros(len(columns[0]), np.uint64), np.ones(len(columns[0]), bool)
+    for c in columns[1:-1]:
+        own = mix64(own ^ mix64(c + np.uint64(1)))
+        loose &= np.isin(c, hot)
+    first, last = np.isin(columns[0], hot), np.isin(columns[-1], hot)
+    own = np.where(loose & (last | ~first), mix64(own ^ mix64(columns[0] + np.uint64(1 << 33))), own)
+    own = np.where(loose & first, mix64(own ^ mix64(columns[-1] + np.uint64(1 << 34))), own)
+    return (mix64(own) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _merged_grams(packed: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams in order, and the sums of their counts."""
+    if not len(packed[0]):
+        return packed, counts
+    by = np.lexsort(packed[::-1])
+    packed = [p[by] for p in packed]
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in packed])
+    at = np.flatnonzero(new)
+    return [p[at] for p in packed], [_narrow(np.add.reduceat(c[by].astype(np.uint64), at)) for c in counts]
+
+
+def _gram_blobs(n: int, shard: np.ndarray, packed: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple]:
+    k, odd = len(packed), n % 2 and n > 1  # an odd column stands alone and has 32 bits
+    return [(at, _pack(_delta(own[0]), *own[1 : k - 1], *([own[k - 1].astype(np.uint32) if odd else own[k - 1]] if k > 1 else []), *own[k:])) for at, own in _split(shard, *packed, *counts)]
+
+
+def _grams_of(blobs: list[bytes], n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    got, k = _keys_of(blobs), (n + 1) // 2
+    return [x.astype(np.uint64) for x in got[:k]], got[k:]
+
+
+def _numbers(held: list[np.ndarray], words: Words, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all texts' words (-1 where unknown), each text behind ``pad`` starts (the vocabulary's size); and the places of the words."""
     distinct, at = np.unique(np.concatenate(held), return_inverse=True)
-    number = words.numbers(distinct)[at]
-    before = np.concatenate([[0], number[:-1]])
-    before[np.cumsum([0, *(len(x) for x in held[:-1])])] = words.starts[-1]
-    known = (number >= 0) & (before >= 0)
-    return (before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64) & np.uint64(0xFFFFFFFF))[known], number, before
+    places = np.arange(len(at)) + np.repeat(np.arange(1, len(held) + 1) * pad, [len(x) for x in held])
+    flat = np.full(len(at) + pad * len(held), words.starts[-1], np.int64)
+    flat[places] = words.numbers(distinct)[at]
+    return flat, places
 
 
-def _pair_counter(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray):
+def _gram_counter(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray, order: int):
     def run(batches):
         words = None
-        for held in _flushes(batches):
+        for held in _flushes(batches, size=2 * FLUSH_TOKENS // order):
             words = words or _words(folder, bits, starts, "words")
-            keys, counts = np.unique(_pair_keys(held, words)[0], return_counts=True)
-            yield _blob_batch([(k, _pack(_delta(x), c.astype(np.uint32))) for k, (x, c) in _split(_place(keys, hot, bits), keys, counts)])
+            flat, at = _numbers(held, words, order - 1)
+            packed, counts = _merged_grams(_packed([flat[at - k] for k in range(order - 1, -1, -1)]), [np.ones(len(at), np.uint8)])
+            yield _blob_batch(_gram_blobs(order, _place(_columns(packed, order), hot, bits), packed, counts))
 
     return run
 
 
-def _pair_writer(folder: str, bits: int, starts: np.ndarray):
-    """Writes the pair shards; passes on what the words' shards need, and counts of counts (shard -1)."""
+def _gram_writer(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray, n: int):
+    """Writes the shards of n-grams; passes on what the order below needs, and counts of counts (shard -n)."""
 
     def run(batches):
         sums, counts_of = [], np.zeros(4, np.int64)
         for shard, blobs in _by_shard(batches):
-            keys, counts = _merged(*_keys_of(blobs))
-            write_arrays(f"{folder}/pairs-{shard}", [keys, counts])
+            if shard < 0:  # of an order above
+                yield _blob_batch([(shard, b) for b in blobs])
+                continue
+            packed, fields = _merged_grams(*_grams_of(blobs, n))
+            columns = _columns(packed, n)
+            keys = _gram_key(columns)
+            by = np.argsort(keys)
+            write_arrays(f"{folder}/grams-{n}-{shard}", [*_key_arrays(keys[by]), *(x for f in fields for x in _compact(f[by]))])
+            seen = fields[0] > 0  # others are contexts only
+            columns, counts = [c[seen] for c in columns], fields[0][seen]
             counts_of += np.array([(counts == k).sum() for k in (1, 2, 3, 4)])
-            first, second = (keys >> np.uint64(32)), keys & np.uint64(0xFFFFFFFF)
-            one, two = (counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64)
-            more = np.uint64(1) - one - two
-            zero = np.zeros(len(keys), np.uint64)
-            sums.append(_merged(np.concatenate([first, second]), *(np.concatenate(x) for x in ((zero, zero + np.uint64(1)), (counts, zero), (one, zero), (two, zero), (more, zero)))))
+            one, two = (counts == 1).astype(np.uint8), (counts == 2).astype(np.uint8)
+            more = np.uint8(1) - one - two
+            zero = np.zeros(len(counts), np.uint8)
+            below = [np.concatenate(x) for x in zip(_packed(columns[:-1]), _packed(columns[1:]), strict=True)]
+            sums.append(_merged_grams(below, [np.concatenate(x) for x in ((zero, zero + np.uint8(1)), (counts, zero), (one, zero), (two, zero), (more, zero))]))
         if sums:
-            got = _merged(*(np.concatenate([s[i] for s in sums]) for i in range(6)))
-            shard = np.minimum(np.searchsorted(starts, got[0].astype(np.int64), side="right") - 1, len(starts) - 1)
-            rows = [(k, _pack(_delta(own[0]), *(x.astype(np.uint32) if x.max() < 1 << 32 else x for x in own[1:]))) for k, own in _split(shard, *got)]
-            yield _blob_batch([*rows, (-1, _pack(counts_of))])
+            packed, fields = _merged_grams(*([np.concatenate(x) for x in zip(*(s[k] for s in sums), strict=True)] for k in (0, 1)))
+            if n > 2:
+                shard = _place(_columns(packed, n - 1), hot, bits)
+            else:
+                shard = np.minimum(np.searchsorted(starts, packed[0].astype(np.int64), side="right") - 1, len(starts) - 1)
+            yield _blob_batch([*_gram_blobs(n - 1, shard, packed, fields), (-n, _pack(counts_of))])
 
     return run
 
@@ -277,9 +389,9 @@ def _stats_writer(folder: str, bits: int, starts: np.ndarray):
 
     def run(batches):
         for shard, blobs in _by_shard(batches):
-            if shard == -1:
+            if shard < 0:
                 n = np.sum([_unpack([b])[0] for b in blobs], axis=0)
-                yield _totals(-1, [*n, 0, 0])
+                yield _totals(shard, [*n, 0, 0])
                 continue
             got = _merged(*_keys_of(blobs))
             if shard == 1 << bits:  # the start has no shard of words
@@ -309,48 +421,58 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What a worker needs beside the shards."""
+    """What a worker needs beside the shards. ``gram_discounts`` by order."""
 
-    def __init__(self, folder, bits, starts, hot, tokens, pair_discounts, word_discounts, pairs, word_mass, start):
+    def __init__(self, folder, bits, starts, hot, tokens, gram_discounts, word_discounts, pairs, word_mass, start):
         self.folder, self.bits, self.starts, self.hot, self.tokens = folder, bits, starts, hot, tokens
-        self.pair_discounts, self.word_discounts, self.pairs, self.word_mass, self.start = pair_discounts, word_discounts, pairs, word_mass, start
+        self.gram_discounts, self.word_discounts, self.pairs, self.word_mass, self.start = gram_discounts, word_discounts, pairs, word_mass, start
 
     @property
     def vocabulary(self) -> int:
         return int(self.starts[-1])
 
-    def _counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        out = np.zeros(len(keys))
-        for k, (at, own) in _split(_place(keys, self.hot, self.bits), np.arange(len(keys)), keys):
-            arrays = _mapped(f"{self.folder}/pairs-{k}")
-            if arrays and len(arrays[0]):
-                i = np.minimum(np.searchsorted(arrays[0], own), len(arrays[0]) - 1)
-                out[at] = np.where(arrays[0][i] == own, arrays[1][i], 0)
-        return out
+    @property
+    def order(self) -> int:
+        return max(self.gram_discounts)
+
+    def _grams(self, flat: np.ndarray, n: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the n-grams that end at some places, a row for each field and a column for each n-gram; and by place the column (the last: unknown)."""
+        places = places[places >= n - 1]
+        places = places[np.logical_and.reduce([flat[places - k] >= 0 for k in range(n)])]
+        columns = [flat[places - k].astype(np.uint64) for k in range(n - 1, -1, -1)]
+        keys, first, inverse = np.unique(_gram_key(columns), return_index=True, return_inverse=True)
+        out = np.zeros((1 if n == self.order else len(FIELDS) - 1, len(keys) + 1))
+        for k, (at, own) in _split(_place([c[first] for c in columns], self.hot, self.bits), np.arange(len(keys)), keys):
+            arrays = _mapped(f"{self.folder}/grams-{n}-{k}")
+            if arrays:
+                i, hit = _find(arrays[:5], own)
+                for f in range(len(out)):
+                    out[f, at[hit]] = _expand(arrays[5 + 3 * f : 8 + 3 * f], i[hit])
+        column = np.full(len(flat), len(keys))
+        column[places] = inverse
+        return out, column
 
     def score(self, held: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """Tokens, known tokens, base score and score of each text."""
         words = _words(self.folder, self.bits, self.starts, "model")
-        _keys, number, before = _pair_keys(held, words)
-        distinct = np.unique(np.concatenate([number[number >= 0], before[(before >= 0) & (before < self.vocabulary)]]))
+        flat, at = _numbers(held, words, self.order - 1)
+        distinct = np.unique(flat[(flat >= 0) & (flat < self.vocabulary)])
         fields = np.zeros((len(FIELDS), len(distinct) + 2))  # at the end: unknown, start
         fields[:, : len(distinct)] = words.fields(distinct)
         fields[2:, -1] = self.start
-        at = np.where(number >= 0, np.searchsorted(distinct, number), len(distinct))
-        of = np.where(before < 0, len(distinct), np.where(before == self.vocabulary, len(distinct) + 1, np.searchsorted(distinct, before)))
-        count, continued = fields[0][at], fields[1][at]
+        column = np.where(flat < 0, len(distinct), np.where(flat == self.vocabulary, len(distinct) + 1, np.searchsorted(distinct, flat)))
+        count, continued = fields[0][column[at]], fields[1][column[at]]
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         low = lambda c, d: np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))
         p = np.maximum(continued - low(continued, self.word_discounts), 0) / max(self.pairs, 1) + self.word_mass / (self.vocabulary + 1)
-        known = (number >= 0) & (before >= 0)
-        keys, inverse = np.unique((before.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64) & np.uint64(0xFFFFFFFF))[known], return_inverse=True)
-        c = np.zeros(len(number))
-        c[known] = self._counts(keys)[inverse]
-        total, once, twice, more = (fields[k][of] for k in (2, 3, 4, 5))
-        d = self.pair_discounts
-        safe = np.maximum(total, 1)
-        p = np.where(total > 0, np.maximum(c - low(c, d), 0) / safe + (d[0] * once + d[1] * twice + d[2] * more) / safe * p, p)
+        fields = fields[1:]
+        for n in range(2, self.order + 1):
+            total, once, twice, more = (fields[k][column[at - 1]] for k in (1, 2, 3, 4))
+            d, safe = self.gram_discounts[n], np.maximum(total, 1)
+            left = (d[0] * once + d[1] * twice + d[2] * more) / safe
+            fields, column = self._grams(flat, n, at if n == self.order else np.arange(len(flat)))
+            c = fields[0][column[at]]
+            p = np.where(total > 0, np.maximum(c - low(c, d), 0) / safe + left * p, p)
         ends = np.cumsum([len(x) for x in held])
         starts = ends - [len(x) for x in held]
         return list(zip((ends - starts).tolist(), np.add.reduceat(count > 0, starts, dtype=np.int64).tolist(), np.add.reduceat(base, starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist(), strict=True))
@@ -381,7 +503,7 @@ def _scorer(model: Model):
                 held.append(_tokens(text))
                 keys.append((doc_id, held_out))
                 n += len(held[-1])
-                if n >= FLUSH_TOKENS:
+                if n >= 2 * FLUSH_TOKENS // model.value.order:
                     yield flush()
                     held, keys, n = [], [], 0
         if held:
@@ -390,8 +512,21 @@ def _scorer(model: Model):
     return run
 
 
-def fit(texts: DataFrame) -> Model:
+def _stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; the shuffle files behind it go when it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(key) if was is None else conf.set(key, was)
+
+
+def fit(texts: DataFrame, order: int = 2) -> Model:
     """Count all texts (one string column; null is an empty text, which has the end alone) and write the model below the shared folder."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = texts.sparkSession
     prepare(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -402,7 +537,7 @@ def fit(texts: DataFrame) -> Model:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, "shard").sortWithinPartitions("shard")
 
-    words = stored(dealt(texts.mapInArrow(_word_counter(bits), blobs)).mapInArrow(_word_writer(folder), "shard int, words long, tokens long"), "words").collect()  # one row per shard
+    words = _stored_alone(dealt(texts.mapInArrow(_word_counter(bits), blobs)).mapInArrow(_word_writer(folder), "shard int, words long, tokens long"), "words").collect()  # one row per shard
     sizes = np.zeros(1 << bits, np.int64)
     for r in words:
         sizes[r["shard"]] = r["words"]
@@ -411,11 +546,13 @@ def fit(texts: DataFrame) -> Model:
     if starts[-1] >= 1 << 32:
         raise ValueError("word numbers of 32 bits are too few for this vocabulary")
     hot = _hot_words(spark, folder, bits, starts, tokens, tasks)
-    pairs = stored(dealt(texts.mapInArrow(_pair_counter(folder, bits, starts, hot), blobs)).mapInArrow(_pair_writer(folder, bits, starts), blobs), "pairs")
-    totals = {r["shard"]: np.array(r["totals"]) for r in stored(dealt(pairs).mapInArrow(_stats_writer(folder, bits, starts), "shard int, totals array<long>"), "totals").collect()}
+    grams = texts.mapInArrow(_gram_counter(folder, bits, starts, hot, order), blobs)
+    for n in range(order, 1, -1):
+        grams = _stored_alone(dealt(grams).mapInArrow(_gram_writer(folder, bits, starts, hot, n), blobs), f"grams-{n}")
+    totals = {r["shard"]: np.array(r["totals"]) for r in stored(dealt(grams).mapInArrow(_stats_writer(folder, bits, starts), "shard int, totals array<long>"), "totals").collect()}
     zero = np.zeros(6, np.int64)
     start = totals.pop(1 << bits, zero)[2:]
-    d = discounts(totals.pop(-1, zero)[:4])
+    d = {n: discounts(totals.pop(-n, zero)[:4]) for n in range(2, order + 1)}
     n = sum(totals.values(), zero)
     e = discounts(n[:4])
     number_of_pairs = int(n[5])
@@ -438,14 +575,14 @@ def _hot_words(spark, folder: str, bits: int, starts: np.ndarray, tokens: int, t
     return np.array([*sorted(r["number"] for r in rows), int(starts[-1])], np.uint64)
 
 
-def perplexity_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0) -> DataFrame:
+def perplexity_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, fold: int = 0, order: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row per row of ``docs``.
 
-    The model is learnt from the rows whose crc32(id as text) modulo ``folds`` is not ``fold``. Null texts are empty: one end token. A null id is
+    A word's context is the ``order`` - 1 words before it. The model is learnt from the rows whose crc32(id as text) modulo ``folds`` is not ``fold``. Null texts are empty: one end token. A null id is
     not held out; repeated rows count as often as they stand; other columns are not read. Where no row is left to learn from, all
     words are unknown and ``score`` is 0 for each token, V + 1 being 1."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), hold_out(F.col(id_col), folds, fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = fit(own.where("not held_out").select("text"))
+    model = fit(own.where("not held_out").select("text"), order)
     held = docs.sparkSession.sparkContext.broadcast(model)
     scored = own.mapInArrow(_scorer(held), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontam, jaccard, kneser_ney, langid, oracles, packing, quality, substring, token_files, toxicity, url_cascade
 
 DOCS = "documents"
+NGRAM_ORDER = 3  # two words of context
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.perplexity_scores(_read(spark, sf_dir, DOCS))
+    return kneser_ney.perplexity_scores(_read(spark, sf_dir, DOCS), order=NGRAM_ORDER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op7_language_id, op8_toxicity, op9_jaccard_join, op10_kneser_ney)}

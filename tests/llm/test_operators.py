@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontam, jaccard, kneser_ney, langid, packing, quality, substring, token_files, tokens, toxicity, url_cascade
+from meterlake.llm import decontam, jaccard, kneser_ney, langid, packing, quality, queries, substring, token_files, tokens, toxicity, url_cascade
 from meterlake.llm.components import components
 
 from . import frames
@@ -324,6 +324,67 @@ def test_kneser_ney_against_plain_counts(spark, docs, rows, empty):
     assert kneser_ney.perplexity_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_order_against_plain_counts(docs, rows, empty, order):
+    every = [(r[0], frames.lower(r[1]).encode().split() + ["</s>"]) for r in rows]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    padded = lambda w: ["<s>"] * (order - 1) + w
+    grams = {n: Counter() for n in range(1, order + 1)}
+    uni = Counter()
+    for i, w in every:
+        if not held(i):
+            uni.update(w)
+            x = padded(w)
+            grams[order].update(tuple(x[k : k + order]) for k in range(len(w)))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    v = len(uni)
+    d = {n: kneser_ney.discounts(np.array([sum(c == k for c in grams[n].values()) for k in (1, 2, 3, 4)])) for n in grams}
+    low = lambda c, x: x[min(c, 3) - 1] if c else 0
+    total, left = {n: Counter() for n in grams}, {n: Counter() for n in grams}
+    for n in grams:
+        for g, c in grams[n].items():
+            total[n][g[:-1]] += c
+            left[n][g[:-1]] += low(c, d[n])
+
+    def p(n, g):
+        lower = p(n - 1, g[1:]) if n > 1 else 1 / (v + 1)
+        t = total[n][g[:-1]]
+        return max(grams[n][g] - low(grams[n][g], d[n]), 0) / t + left[n][g[:-1]] / t * lower if t else lower
+
+    want = Counter()
+    for i, w in every:
+        x = padded(w)
+        s = sum(math.log10(p(order, tuple(x[k : k + order]))) for k in range(len(w)))
+        want[i, held(i), len(w), round(s, 6)] += 1
+    got = kneser_ney.perplexity_scores(docs, order=order).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], round(r["score"], 6)) for r in got) == want
+    assert kneser_ney.perplexity_scores(empty, order=order).count() == 0
+
+
+def test_kneser_ney_query_uses_two_words_of_context(spark, docs, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "_read", lambda *_: docs)
+    monkeypatch.setattr(kneser_ney, "perplexity_scores", lambda _docs, **kw: asked.update(kw))
+    queries.op10_kneser_ney(spark, "")
+    assert asked == {"order": 3}
+
+
+def test_kneser_ney_counts_above_a_byte():
+    counts = np.array([0, 1, 254, 255, 256, 70_000, 1 << 40], np.uint64)
+    at = np.array([6, 3, 0, 2, 5, 4, 1, 3])
+    assert (kneser_ney._expand(kneser_ney._compact(counts), at) == counts[at]).all()
+
+
+def test_kneser_ney_keys_are_found():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, 30_000, np.uint64), np.uint64(7 << 48) + np.arange(0, 900, 3, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    asked = np.unique(np.concatenate([keys[::3], keys + np.uint64(1), keys - np.uint64(1)]))
+    at, found = kneser_ney._find(kneser_ney._key_arrays(keys), asked)
+    assert (found == np.isin(asked, keys)).all()
+    assert (keys[at[found]] == asked[found]).all()
+
+
 def test_url_cascade(spark):
     urls = ["https://www.example.com/en/1", "http://a.example.com/en/x?y#z", "http://EXAMPLE.com/EN/", "http://x.net/es/", "http://x.net/e", "net://net/fr/?q", "http://com", "http://com/", "http://casino.org/a", "http://a.casino-b.com/", "nothing", "", None, "http://", "a://b://c/d", "http://xnet/es/", "http://É.net/es/ü", "http://x.net/es", "http://a.com/\nb"]
     pages = spark.createDataFrame([(i % 17, u, "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, host string")
