@@ -18,6 +18,8 @@ from meterlake.operators.quantiles import exact_quantiles
 
 # Smoother and density settings of the source's charts.
 LOWESS_FRAC, LOWESS_ITER = 2.0 / 3.0, 3
+# Times that LOWESS cuts bins with too many rows again; each time into at least two.
+LOWESS_CUTS = 8
 KDE_GRID, KDE_CUT, KDE_THRESH = 200, 3.0, 0.05
 
 
@@ -28,13 +30,43 @@ def _bin(value, lo: float, hi: float, bins: int):
     return F.greatest(F.least(F.floor((value - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)), F.lit(0)).cast("int")
 
 
-def _local_lines(sums: list, frac: float) -> list[tuple[int, float, float]]:
-    """Per bin the local line (level at the bin's mean x, slope): tricube weights over the ceil(frac * n) nearest rows.
+def _place(df: DataFrame, x: str, edges: list[float]) -> DataFrame:
+    """``_b``: the number of the bin, which begins at its edge and ends below the next one."""
+    if len(edges) < 2:
+        return df.withColumn("_b", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+    out = Bucketizer(splits=[-math.inf, *edges[1:], math.inf], inputCol=x, outputCol="_b").transform(df)
+    return out.withColumn("_b", F.col("_b").cast("int"))
 
-    ``sums``: (bin, n, mean x, and the sums of w, w x, w y, w x^2, w x y about a common x), at most the number of bins."""
+
+def _edges(d: DataFrame, x: str, n: int, lo: float, hi: float, bins: int) -> list[float]:
+    """The smallest x of each bin: ``bins`` equal parts of the range, and those with more than 2 n / bins rows cut
+    again by the same rule between their smallest and largest x, until they are small or hold one value.
+
+    Each cut adds at most 1.5 x ``bins`` bins, so their number does not grow with the rows."""
+    import numpy as np
+    placed = d.withColumn("_b", _bin(col(x), lo, hi, bins))
+    for i in range(LOWESS_CUTS + 1):
+        got = placed.groupBy("_b").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        edges = {r["lo"] for r in got}
+        dense = [r for r in got if r["n"] > max(1, 2 * n / bins) and r["lo"] < r["hi"]]
+        if not dense or i == LOWESS_CUTS:
+            return sorted(edges)
+        for r in dense:
+            edges.update(np.linspace(r["lo"], r["hi"], max(2, math.ceil(r["n"] * bins / n)) + 1)[1:-1].tolist())
+        placed = _place(d, x, sorted(edges))
+
+
+def _local_lines(sums: list, edges: list[float], frac: float) -> list[tuple[int, float, float]]:
+    """Per bin the local line (level at the bin's edge, slope): tricube weights over the ceil(frac * n) nearest rows.
+
+    ``sums``: (bin, n, mean u, and the sums of w, w u, w y, w u^2, w u y) with u = x - the bin's edge. For each line they are
+    shifted to the bin's mean x, so that rows far away, whose weight is 0, cost no digits."""
     import numpy as np
     sums = sorted(sums)
-    n, at, w, wx, wy, wxx, wxy = (np.array([r[i] for r in sums], float) for i in range(1, 8))
+    n, mean, w, wu, wy, wuu, wuy = (np.array([r[i] for r in sums], float) for i in range(1, 8))
+    edge = np.array([edges[r[0]] for r in sums], float)
+    at = edge + mean
     k = max(2, min(int(n.sum()), math.ceil(frac * n.sum())))
     out = []
     for i, x0 in enumerate(at):
@@ -46,10 +78,12 @@ def _local_lines(sums: list, frac: float) -> list[tuple[int, float, float]]:
         if sw <= 0:
             out.append((sums[i][0], float("nan"), 0.0))
             continue
-        mx, my = (t * wx).sum() / sw, (t * wy).sum() / sw
-        sxx = (t * wxx).sum() - sw * mx * mx
-        slope = ((t * wxy).sum() - sw * mx * my) / sxx if sxx > 1e-12 * max((t * wxx).sum(), 1e-300) else 0.0
-        out.append((sums[i][0], float(my - slope * mx), float(slope)))
+        far = edge - x0
+        mx, my = (t * (wu + w * far)).sum() / sw, (t * wy).sum() / sw
+        xx = (t * (wuu + 2 * far * wu + far * far * w)).sum()
+        sxx = xx - sw * mx * mx
+        slope = ((t * (wuy + far * wy)).sum() - sw * mx * my) / sxx if sxx > 1e-12 * max(xx, 1e-300) else 0.0
+        out.append((sums[i][0], float(my + slope * (far[i] - mx)), float(slope)))
     return out
 
 
@@ -59,24 +93,27 @@ def lowess(df: DataFrame, y: str, x: str, key_cols: list[str], frac: float = LOW
     over the ceil(frac * n) nearest x, then ``iterations`` robust re-fits with
     bisquare weights on residuals / (6 * median |residual|).
 
-    One pass sums n, x, y, xx and xy per bin of x (at most ``bins`` rows); a
+    One pass sums n, x, y, xx and xy per bin of x (narrow in x and, but for
+    ties, of at most 2 n / ``bins`` rows, also where a few x lie far outside); a
     line per bin follows from these; every row is fitted by its bin's line.
     A robust pass weighs the rows by their residuals and sums again."""
     spark = df.sparkSession
     d = df.select(*key_cols, col(x).cast("double").alias(x), col(y).cast("double").alias(y)).dropna(subset=[x, y])
-    lo, hi, mid = d.agg(F.min(x), F.max(x), F.avg(x)).first()
+    n, lo, hi = d.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
     fitted = F.lit(None).cast("double")
     if lo is None:
         return d.withColumn("fitted", fitted)
-    d = d.withColumn("_b", _bin(col(x), lo, hi, bins))
-    u = col(x) - F.lit(mid)
+    edges = _edges(d, x, n, lo, hi, bins)
+    starts = spark.createDataFrame(list(enumerate(edges)), "_b int, _e double")
+    d = _place(d, x, edges).join(F.broadcast(starts), "_b").withColumn("_u", col(x) - F.col("_e"))
+    u = F.col("_u")
     rows, weight = d, F.lit(1.0)
     for i in range(iterations + 1):
         sums = rows.withColumn("_w", weight).groupBy("_b").agg(
-            F.count(F.lit(1)).alias("n"), F.avg(u).alias("at"), F.sum("_w").alias("w"), F.sum(F.col("_w") * u).alias("wx"),
-            F.sum(F.col("_w") * col(y)).alias("wy"), F.sum(F.col("_w") * u * u).alias("wxx"),
-            F.sum(F.col("_w") * u * col(y)).alias("wxy")).collect()  # at most `bins` rows
-        lines = spark.createDataFrame(_local_lines([tuple(r) for r in sums], frac), "_b int, _a double, _s double")
+            F.count(F.lit(1)).alias("n"), F.avg(u).alias("at"), F.sum("_w").alias("w"), F.sum(F.col("_w") * u).alias("wu"),
+            F.sum(F.col("_w") * col(y)).alias("wy"), F.sum(F.col("_w") * u * u).alias("wuu"),
+            F.sum(F.col("_w") * u * col(y)).alias("wuy")).collect()  # one row per bin
+        lines = spark.createDataFrame(_local_lines([tuple(r) for r in sums], edges, frac), "_b int, _a double, _s double")
         rows = d.join(F.broadcast(lines), "_b").withColumn("fitted", F.col("_a") + F.col("_s") * u)
         if i == iterations:
             break

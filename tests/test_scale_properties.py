@@ -125,6 +125,25 @@ def test_lowess_matches_brute_force(spark):
     assert np.allclose(got["fitted"].to_numpy(), want[got["id"].to_numpy()], atol=1e-8)
 
 
+def test_lowess_keeps_its_resolution_beside_extreme_x(spark):
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.uniform(0, 10, 300), [500.0, 1e9]])
+    y = np.concatenate([np.sin(x[:300]), [0.0, 0.0]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    got = density.lowess(df, "y", "x", ["id"], frac=0.2, iterations=0).toPandas().sort_values("id")
+    want = _lowess_brute(x[:301], y[:301], 61 / 301)  # as many neighbours without the far row
+    assert np.allclose(got["fitted"].to_numpy()[:300], want[:300], atol=1e-4)
+
+
+def test_lowess_bins_are_small_in_dense_regions(spark):
+    far = "case when id % 5000 = 0 then 1e12 * (id + 1) when id % 100 = 0 then 1e5 * rand(2) else rand(1) end"
+    df = spark.range(100_000).selectExpr(f"{far} as x")
+    n, lo, hi = df.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    edges = density._edges(df, "x", n, lo, hi, 1024)
+    sizes = [r["count"] for r in density._place(df, "x", edges).groupBy("_b").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n / 1024 and len(edges) == len(sizes) < 4096
+
+
 def test_lowess_robust_passes_ignore_outliers(spark):
     rows = [(i, i / 10.0, 2.0 * i / 10.0 + (500.0 if i % 40 == 7 else 0.0)) for i in range(800)]
     got = density.lowess(spark.createDataFrame(rows, "id long, x double, y double"), "y", "x", ["id"]).toPandas()
