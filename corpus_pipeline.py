@@ -33,9 +33,12 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Of each component of linked documents (five-word shingles, similarity 0.8) the one with the smallest id; of rows that are equal in id and text, one."""
-    groups = stored(jaccard.similarity_components(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of each component of linked documents (five-word shingles, similarity 0.8) the one with the smallest id, null ids last, and
+    of those with that id the one with the smallest text key; of rows that are equal in id and text, one. Texts without words stay."""
+    groups = stored(jaccard.labelled_components(docs), "groups")
+    linked = groups.where("label is not null").withColumn("none", F.col("doc_id").isNull())
+    first = linked.groupBy("label").agg(F.min(F.struct("none", "doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
+    gone = linked.join(first, linked["doc_id"].eqNullSafe(first["_id"]) & (linked["text_key"] == first["_key"]), "left_anti")
     kept = _without(docs, gone)
     if groups.groupBy("doc_id", "text_key").count().where("count > 1").head(1):
         kept = kept.dropDuplicates(["doc_id", "text"])
@@ -59,7 +62,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", one_of_each_group), ("substring dedup", remove_repeats), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: The toxicity model and the packing plan are not SQL; tests/llm holds the stages against brute force.
+#: The toxicity model and the packing plan are not SQL; tests/llm holds the operators and tests/test_corpus_pipeline.py the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -457,13 +457,18 @@ def similarity_components(docs: DataFrame, **options) -> DataFrame:
 
     ``component_id`` is the smallest id reachable by links. Texts without words and null texts have no shingles and only their own id;
     shorter texts are one shingle. Rows with equal sets are linked; null ids take part, but are never the smallest."""
+    return labelled_components(docs, **options).drop("label")
+
+
+def labelled_components(docs: DataFrame, **options) -> DataFrame:
+    """``similarity_components`` with a ``label`` that differs from component to component, also where ids are null or repeat; null without shingles."""
     members, classes, links = similarity_links(docs, **options)
     labels = components(links)
     placed = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = placed.groupBy("label").agg(F.min("rep.doc_id").alias("component_id"))
-    of_node = placed.join(smallest, "label").select("node", "component_id")
-    linked = members.where("node is not null").join(of_node, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = members.where("node is null").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_node = placed.join(smallest, "label").select("node", "component_id", "label")
+    linked = members.where("node is not null").join(of_node, "node").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id", "label")
+    alone = members.where("node is null").select("doc_id", "text_key", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
     return linked.unionByName(alone)
 
 
