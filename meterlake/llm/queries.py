@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, kneser_ney, langid, oracles, packing, quality, substring, token_files, toxicity, url_cascade
+from . import decontam, jaccard, kneser_ney, langid, lines, oracles, packing, periodic, quality, spelling, substring, token_files, toxicity, url_cascade
 
 DOCS = "documents"
 NGRAM_ORDER = 3  # two words of context
@@ -56,5 +56,26 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity_scores(_read(spark, sf_dir, DOCS), order=NGRAM_ORDER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op7_language_id, op8_toxicity, op9_jaccard_join, op10_kneser_ney)}
-SQL: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING, "op4_url_cascade": oracles.URLS, "op5_decontaminate": oracles.CONTAMINATION, "op9_jaccard_join": oracles.JACCARD}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(_read(spark, sf_dir, DOCS))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_read(spark, sf_dir, DOCS))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_read(spark, sf_dir, DOCS))
+
+
+_ALL = (op1_quality_rules, op2_substring_dedup, op3_token_files, op4_url_cascade, op5_decontaminate, op6_pack, op7_language_id, op8_toxicity, op9_jaccard_join, op10_kneser_ney, op11_periodic_runs, op12_spelling_variants, op13_line_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING,
+    "op4_url_cascade": oracles.URLS,
+    "op5_decontaminate": oracles.CONTAMINATION,
+    "op9_jaccard_join": oracles.JACCARD,
+    "op11_periodic_runs": oracles.RUNS,
+    "op12_spelling_variants": oracles.VARIANTS,
+    "op13_line_dedup": oracles.LINES,
+}
