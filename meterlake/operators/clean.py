@@ -1,21 +1,19 @@
 """Cleaning (B5, B6, B7).
 
 B5 needs "the next valid value in time order", a fill across the whole
-series. A window over the whole series would put it in one task, so the fill
-is done in two levels: inside a time chunk (hour by default) with a running
-window, then across chunks with a table of one row per (key, chunk) holding
-the chunk's first valid value. That table is bounded by the time span / chunk,
-not by the number of readings.
+series. A window over the whole series would put it in one task; an ordered
+scan (``scan.ordered_scan``) runs through ranges of the order instead, and only one
+state a range goes from range to range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions.weather import to_numeric
-from meterlake.operators._util import col, join_scalar_keys, keys_list, null_safe_join
-from meterlake.operators.resample import bucket
+from meterlake.operators._util import col, join_scalar_keys, keys_list
+from meterlake.operators.scan import ordered_scan
 
 # Fixed value: the junk literal found in the cloudCover column.
 JUNK_LITERAL = "cloudCover"
@@ -25,38 +23,26 @@ FAHRENHEIT_COLUMNS = ("temperature", "apparentTemperature", "dewPoint")
 FAHRENHEIT_THRESHOLD = 80.0
 
 
+def valid_reading(value_col: str, junk: str = JUNK_LITERAL) -> Column:
+    """A non-junk reading (NULL included) in a struct, so "no value yet" (NULL struct) differs from "the reading is NULL"."""
+    raw = col(value_col)
+    return F.when(raw.isNull() | (raw != F.lit(junk)), F.struct(raw.alias("v")))
+
+
+def filled_number(reading: Column) -> Column:
+    return to_numeric(reading.getField("v"))
+
+
 def clean_backfill(df: DataFrame, value_col: str, order_cols: list[str], keys=None,
-                   junk: str = JUNK_LITERAL, ts_col: str = "ts", chunk: str = "hour",
-                   out_col: str | None = None) -> DataFrame:
+                   junk: str = JUNK_LITERAL, out_col: str | None = None) -> DataFrame:
     """Replace the junk literal by the next valid value in time order and
-    cast to double. A trailing junk run has no successor and becomes NULL."""
-    k = keys_list(keys)
-    out_col = out_col or value_col
-    raw = col(value_col)
-    # A non-junk reading (NULL included) is wrapped in a struct so "no value
-    # yet" (NULL struct) differs from "the next reading is NULL".
-    valid = F.when(raw.isNull() | (raw != F.lit(junk)), F.struct(raw.alias("v")))
-    d = df.withColumns({"_v": valid, "_chunk": bucket(col(ts_col), chunk)})
-    desc = [F.desc(c) for c in order_cols]
-    # Level 1: inside (key, chunk), a running "last non-null" over the reversed
-    # order is the next valid value (an O(n) running frame, not an
-    # unbounded-following frame).
-    w_in = Window.partitionBy(*k, "_chunk").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_fill", F.last("_v", ignorenulls=True).over(w_in))
-    # Level 2: first valid value of every chunk, then for each chunk the first
-    # valid value of the nearest later chunk that has one.
-    firsts = (d.where(F.col("_v").isNotNull())
-              .groupBy(*k, "_chunk")
-              .agg(F.min_by("_v", F.struct(*[col(c) for c in order_cols])).alias("_first")))
-    w_chunks = (Window.partitionBy(*k) if k else Window).orderBy(F.desc("_chunk")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry = (d.select(*k, "_chunk").distinct()
-             .transform(lambda c: null_safe_join(c, firsts, [*k, "_chunk"], "left"))
-             .withColumn("_carry", F.last("_first", ignorenulls=True).over(w_chunks))
-             .select(*k, "_chunk", "_carry"))
-    d = null_safe_join(d, carry, [*k, "_chunk"], "left")
-    filled = F.coalesce(F.col("_fill"), F.col("_carry")).getField("v")
-    return d.withColumn(out_col, to_numeric(filled)).drop("_v", "_chunk", "_fill", "_carry")
+    cast to double. A trailing junk run has no successor and becomes NULL.
+
+    The next valid value is the last one of a scan that runs backwards; rows without a time stand first in time. Rows that
+    tie in ``order_cols`` stand in the order of a hash of the row."""
+    order = [col(c).desc_nulls_last() for c in order_cols]
+    d = ordered_scan(df, order, keys_list(keys), last_valid={"_next": valid_reading(value_col, junk)})
+    return d.withColumn(out_col or value_col, filled_number(F.col("_next"))).drop("_next")
 
 
 def fahrenheit_to_celsius(df: DataFrame, keys=None, threshold: float = FAHRENHEIT_THRESHOLD,

@@ -1,152 +1,58 @@
 """Boosted-tree usage model and exact per-row feature attribution.
 
-J10 fits MLlib's ``GBTRegressor`` (distributed). J11 computes exact
-path-dependent Shapley values of that ensemble:
-
-* the fitted model is saved to the shared folder and its node table
-  (``data``: treeID, nodeData{id, prediction, rawCount, leftChild, rightChild,
-  split}) and tree weights (``treesMetadata``) are read back with Spark. The
-  model is bounded (trees x 2^(depth+1) nodes), so its root-to-leaf paths are
-  built on the driver;
-* for one leaf the conditional-expectation game is a product over the
-  features on its path: a feature in the coalition follows the row
-  (1/0 whether the row takes the path's branches), a feature outside it
-  takes the cover fraction of the path's branches. Shapley values of a
-  product game over m <= depth features are exact with 2^(m-1) subsets per
-  feature, and the ensemble's values are the sum over leaves;
-* rows are processed per Arrow batch in ``mapInPandas`` (NumPy over the
-  batch), so the work is spread over all tasks and nothing is gathered.
+J10 is the second-order boosting of ``boost`` on all complete rows. J11 are the path-dependent Shapley values of that
+ensemble, with cover = training rows of a node, by the extend / unwind recursion over each tree; rows are
+worked out per Arrow batch on all tasks and nothing is gathered. sum(shap) + base_value is the model's prediction.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlake.operators import boost
 from meterlake.operators._util import col
-from meterlake.session import shared_dir
-
-# The boosted model's settings in the source.
-GBT_TREES, GBT_DEPTH, GBT_RATE, GBT_SEED = 50, 4, 0.1, 42
-#: Rows of the repeatable sample that the model is fitted on; all rows are predicted.
-SAMPLE_ROWS = 3000
-
-
-def fit_gbt(df: DataFrame, features: list[str], label: str, seed: int = GBT_SEED):
-    """Boosted regression trees (50 trees, depth 4, rate 0.1)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-    gbt = GBTRegressor(featuresCol="_features", labelCol=label, maxIter=GBT_TREES, maxDepth=GBT_DEPTH,
-                       stepSize=GBT_RATE, seed=seed, predictionCol="prediction")
-    return gbt.fit(va.transform(df)), va
-
-
-def predict(model, va, df: DataFrame) -> DataFrame:
-    return model.transform(va.transform(df)).drop("_features")
-
-
-def model_paths(spark, model) -> tuple[list[dict], float]:
-    """Root-to-leaf paths of every tree: per leaf the weighted value and, per
-    split on the path, (feature, threshold, goes_left, cover fraction)."""
-    path = shared_dir(spark, f"models/gbt-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).collect()
-    meta = spark.read.parquet(f"{path}/treesMetadata")
-    tid_col, w_col = ("treeID", "weights") if "treeID" in meta.columns else (meta.columns[0], meta.columns[-1])
-    weights = {r[0]: r[1] for r in meta.select(tid_col, w_col).collect()}
-    by_tree: dict[int, dict[int, object]] = {}
-    for r in nodes:
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves = []
-    base = 0.0
-    for tid, tree in by_tree.items():
-        w = float(weights[tid])
-        stack = [(0, [])]
-        while stack:
-            nid, steps = stack.pop()
-            nd = tree[nid]
-            if nd["leftChild"] < 0:
-                leaves.append({"value": w * float(nd["prediction"]), "steps": steps})
-                continue
-            parent = float(nd["rawCount"])
-            thr = float(nd["thr"][0])
-            for child, left in ((nd["leftChild"], True), (nd["rightChild"], False)):
-                cover = float(tree[child]["rawCount"]) / parent if parent > 0 else 0.0
-                stack.append((child, steps + [(int(nd["feature"]), thr, left, cover)]))
-    for lf in leaves:
-        frac = 1.0
-        for _, _, _, cover in lf["steps"]:
-            frac *= cover
-        base += lf["value"] * frac
-    return leaves, base
-
-
-def _shap_batch(features: list[str], key_cols: list[str], leaves: list[dict], base: float):
-    import numpy as np
-    import pandas as pd
-
-    nfeat = len(features)
-    # Per leaf: features on the path with the row test and cover product.
-    prepared = []
-    for lf in leaves:
-        feats = sorted({s[0] for s in lf["steps"]})
-        prepared.append((lf["value"], feats, lf["steps"]))
-    weights = {m: [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
-               for m in range(1, GBT_DEPTH + 2)}
-
-    def run(it):
-        for pdf in it:
-            X = pdf[features].to_numpy(dtype=float)
-            n = X.shape[0]
-            phi = np.zeros((n, nfeat))
-            for value, feats, steps in prepared:
-                m = len(feats)
-                a = {f: np.ones(n) for f in feats}
-                b = {f: 1.0 for f in feats}
-                for f, thr, left, cover in steps:
-                    go = X[:, f] <= thr
-                    a[f] = a[f] * (go if left else ~go)
-                    b[f] = b[f] * cover
-                for i in feats:
-                    others = [f for f in feats if f != i]
-                    acc = np.zeros(n)
-                    for size in range(len(others) + 1):
-                        wgt = weights[m][size]
-                        for sub in itertools.combinations(others, size):
-                            term = np.full(n, wgt)
-                            for f in others:
-                                term = term * (a[f] if f in sub else b[f])
-                            acc += term
-                    phi[:, i] += value * (a[i] - b[i]) * acc
-            out = pd.DataFrame({c: np.repeat(pdf[c].to_numpy(), nfeat) for c in key_cols})
-            out["feature"] = np.tile(np.array(features, dtype=object), n)
-            out["value"] = X.ravel()
-            out["shap"] = phi.ravel()
-            out["base_value"] = base
-            yield out
+from meterlake.sources.tables import WEATHER_COLUMNS
+
+
+def weather_features(df: DataFrame) -> list[str]:
+    """The weather columns that are present and numeric, in the source's order."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [c for c in WEATHER_COLUMNS if isinstance(kinds.get(c), T.NumericType)]
+
+
+def fit_gbt(df: DataFrame, features: list[str], label: str, **settings) -> boost.Boosted:
+    """Boosted regression trees (50 trees, depth 4, rate 0.1) on all complete rows."""
+    return boost.fit(df, features, label, **settings)
+
+
+def predict(model: boost.Boosted, df: DataFrame) -> DataFrame:
+    return boost.predict(model, df)
+
+
+def _shap_batch(model: boost.Boosted, key_cols: list[str]):
+    features = model.features
+
+    def run(batches):
+        for rows in batches:
+            values = rows[features].to_numpy(dtype=float)
+            phi, base = boost.attribution(model, model.codes(values))
+            n = len(rows)
+            out = {c: np.repeat(rows[c].to_numpy(), len(features)) for c in key_cols}
+            yield pd.DataFrame(out | {"feature": np.tile(np.array(features, dtype=object), n), "value": values.ravel(), "shap": phi.ravel(), "base_value": base})
+
     return run
 
 
-def shap_attribution(spark, model, df: DataFrame, features: list[str], key_cols: list[str]) -> DataFrame:
-    """One row per (row, feature) with the feature's value and its
-    Shapley contribution; sum(shap) + base_value = the model's prediction."""
-    leaves, base = model_paths(spark, model)
-    key_fields = [f for f in df.schema.fields if f.name in key_cols]
-    schema = T.StructType(key_fields + [T.StructField("feature", T.StringType()),
-                                        T.StructField("value", T.DoubleType()),
-                                        T.StructField("shap", T.DoubleType()),
-                                        T.StructField("base_value", T.DoubleType())])
-    rows = df.select(*key_cols, *[col(f).cast("double").alias(f) for f in features])
-    return rows.mapInPandas(_shap_batch(features, key_cols, leaves, base), schema)
+def shap_attribution(model: boost.Boosted, df: DataFrame, key_cols: list[str]) -> DataFrame:
+    """One row per (row, feature) with the feature's value and its Shapley contribution, for rows with every feature."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name in key_cols]
+    fields += [T.StructField("feature", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("value", "shap", "base_value")]]
+    rows = df.select(*[col(k) for k in key_cols], *[col(f).cast("double").alias(f) for f in model.features]).dropna(subset=model.features)
+    return rows.mapInPandas(_shap_batch(model, [f.name for f in fields[: len(key_cols)]]), T.StructType(fields))
 
 
 def shap_ranking(shap: DataFrame, top: int = 10) -> DataFrame:

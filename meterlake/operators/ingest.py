@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlake.operators._util import col, keys_list
+from meterlake.operators.scan import ordered_scan
 
 
 def drop_last_row(df: DataFrame, order_col: str) -> DataFrame:
@@ -19,61 +20,25 @@ def drop_last_row(df: DataFrame, order_col: str) -> DataFrame:
     return df.where(col(order_col).isNull() | (col(order_col) < last))
 
 
-def row_position(df: DataFrame, order_col: str, out_col: str = "pos",
-                 n_buckets: int = 1024, max_rows: int = 5_000_000) -> DataFrame:
-    """0-based position of each row in ``order_col`` (integer) order, without
-    a global (single-partition) window.
-
-    The key range is cut into ``n_buckets`` fixed-width ranges; the count per
-    range (at most ``n_buckets`` rows, read on the driver) gives every range
-    its starting offset, and ``row_number`` runs inside one range only. A
-    range holding more than ``max_rows`` rows (a dense cluster of keys) is
-    cut again into ``n_buckets`` finer ranges. For distinct integer keys a
-    window partition then holds at most max(max_rows, key range /
-    n_buckets^2) rows. Rows with a key come first; rows without one follow,
-    dealt over ``n_buckets`` ranges by a hash of the row. Rows of one key, and
-    rows without one, stand in the order of a hash of all their columns, so
-    equal rows alone are interchangeable. The answer does not depend on how
-    the input is partitioned. The offsets (at most n_buckets per cut range)
-    are joined on the range.
-    """
-    o = col(order_col).cast("long")
-    whole = F.xxhash64(*[col(c) for c in df.columns])
-    d = df.withColumn("_o", o).withColumn("_h", whole)
-    lo, hi = d.agg(F.min("_o"), F.max("_o")).first()
-    none = F.struct(F.lit(n_buckets).cast("long").alias("b0"), F.pmod("_h", F.lit(n_buckets)).cast("long").alias("b1"))
-    if lo is None:
-        cell = none
-    else:
-        w0 = (hi - lo) // n_buckets + 1
-        b0 = F.floor((F.col("_o") - F.lit(lo)) / F.lit(w0)).cast("long")
-        counts0 = d.where(F.col("_o").isNotNull()).groupBy(b0.alias("_b0")).agg(F.count(F.lit(1)).alias("_n")).collect()
-        heavy = [r["_b0"] for r in counts0 if r["_n"] > max_rows]
-        w1 = w0 // n_buckets + 1
-        inner = F.floor((F.col("_o") - F.lit(lo) - b0 * F.lit(w0)) / F.lit(w1))
-        b1 = (F.when(b0.isin(heavy), inner).otherwise(F.lit(0)) if heavy else F.lit(0)).cast("long")
-        cell = F.when(F.col("_o").isNull(), none).otherwise(F.struct(b0.alias("b0"), b1.alias("b1")))
-    d = d.withColumn("_c", cell).withColumns({"_b0": F.col("_c.b0"), "_b1": F.col("_c.b1")}).drop("_c")
-    counts = d.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_b0", "_b1").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)),
-    ).select("_b0", "_b1", "_off")
-    rn = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy("_o", "_h"))
-    return (d.join(offsets, ["_b0", "_b1"])
-            .withColumn(out_col, F.col("_off") + rn - 1)
-            .drop("_b0", "_b1", "_off", "_o", "_h"))
+def row_position(df: DataFrame, order_col: str, out_col: str = "pos", n_buckets: int | None = None) -> DataFrame:
+    """0-based position of each row in ``order_col`` (integer) order, by an ordered scan over ``n_buckets`` ranges (default: the
+    session's shuffle partitions); no window over the table.
+
+    Rows with a key come first; rows without one follow. Rows of one key, and rows without one, stand in the order of a hash of all
+    their columns, so equal rows alone are interchangeable. The answer does not depend on how the input is partitioned."""
+    return ordered_scan(df, [col(order_col).cast("long").asc_nulls_last()], position=out_col, ranges=n_buckets)
 
 
 def assign_regular_time(df: DataFrame, order_col: str, start: str = "2016-01-01 05:00:00",
                         step_seconds: int = 60, out_col: str = "ts") -> DataFrame:
     """A3: ``ts = start + position * step``; the row's own time is replaced."""
     p = row_position(df, order_col, "_pos")
-    t0 = F.to_timestamp_ntz(F.lit(start))
-    return p.withColumn(
-        out_col, t0 + F.make_dt_interval(secs=(F.col("_pos") * step_seconds).cast("decimal(18,6)"))
-    ).drop("_pos")
+    return p.withColumn(out_col, regular_time(F.col("_pos"), start, step_seconds)).drop("_pos")
+
+
+def regular_time(position: Column, start: str = "2016-01-01 05:00:00", step_seconds: int = 60) -> Column:
+    """The time of a 0-based position on the regular axis."""
+    return F.to_timestamp_ntz(F.lit(start)) + F.make_dt_interval(secs=(position * step_seconds).cast("decimal(18,6)"))
 
 
 def select_numeric(df: DataFrame) -> DataFrame:
@@ -119,8 +84,22 @@ def load_pipeline(raw: DataFrame, order_col: str = "row_order", use_col: str = "
     and the generation ratio of every row."""
     from meterlake.functions.calendar import calendar_features
     from meterlake.functions.energy import energy_ratio, net_energy
-    from meterlake.operators.clean import clean_backfill
-    d = calendar_features(assign_regular_time(drop_last_row(raw, order_col), order_col))
+    from meterlake.operators.clean import filled_number, valid_reading
+    o = col(order_col)
+    # One scan from the last row to the first gives positions and next valid values together. A valid value of the last row
+    # itself, which goes, is told by its key; then only rows without a key, which stand behind it, can give a value.
+    seen = {}
+    for c in junk_cols:
+        seen[f"_with_{c}"] = F.when(o.isNotNull() & valid_reading(c).isNotNull(), F.struct(valid_reading(c).alias("r"), o.alias("o")))
+        seen[f"_without_{c}"] = F.when(o.isNull(), valid_reading(c))
+    d = ordered_scan(raw, [o.desc_nulls_first()], position="_back", last_valid=seen)
+    last = d.agg(F.max(F.struct(o.alias("o"), "_back")).alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(o.isNull()).alias("none"))
+    last = last.select(F.col("last.o").alias("_last"), "n", "none", F.when(F.col("last.o").isNull(), 0).otherwise(F.col("last._back") + 1 - F.col("none")).alias("_gone"))
+    d = d.join(F.broadcast(last)).where(o.isNull() | (o < F.col("_last")))
+    back = F.col("_back") - F.when(o.isNull(), 0).otherwise(F.col("_gone"))
+    d = d.withColumn("ts", regular_time(F.col("n") - F.col("_gone") - 1 - back))
     for c in junk_cols:
-        d = clean_backfill(d, c, ["ts"])
+        value, none = F.col(f"_with_{c}"), F.col(f"_without_{c}")
+        d = d.withColumn(c, filled_number(F.when(value["o"] < F.col("_last"), value["r"]).otherwise(none)))
+    d = calendar_features(d.drop("_back", "_last", "n", "none", "_gone", *seen))
     return d.withColumns({"net_kw": net_energy(use_col, gen_col), "ratio": energy_ratio(use_col, gen_col)})

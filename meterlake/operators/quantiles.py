@@ -19,6 +19,21 @@ from pyspark.sql import functions as F
 from meterlake.operators._util import col, keys_list
 
 
+def value_cells(df: DataFrame, value_col: str, keys: list[str], bits: int = 10) -> DataFrame:
+    """Fine counts of the values of each key: ``*keys, cell, c, lo, hi`` (count, least and largest value of the cell).
+
+    A cell is an octave cut into ``2 ** bits`` parts, so its number grows with the value and needs no range beforehand. Counts of any parts of
+    the table merge exactly, and a key has at most ``2 ** bits`` cells an octave of its values."""
+    v = col(value_col).cast("double")
+    size = F.abs(v)
+    octave = F.floor(F.least(F.log2(size), F.lit(1024.0))).cast("long")
+    part = F.when(size < float("inf"), F.floor((size / F.pow(F.lit(2.0), octave) - 1) * (1 << bits)).cast("long")).otherwise(0)
+    cell = (octave + 2_000) * (1 << bits) + part  # above 0 for every double
+    cell = F.when(v > 0, cell).when(v < 0, -cell).otherwise(F.lit(0).cast("long"))
+    return (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*[col(k) for k in keys], cell.alias("cell"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], keys=None,
                     bins: int = 1024, max_exact: int = 200_000, max_levels: int = 8,
                     materialize: bool = True) -> DataFrame:

@@ -7,32 +7,30 @@ from pyspark.sql import functions as F
 
 from meterlake.operators import anomaly, explain
 from meterlake.operators.filters import drop_incomplete
-from meterlake.operators.sampling import sample_n
-from meterlake.plans.catalog import query
+from meterlake.plans.catalog import COVARIATES, query
 from meterlake.sources import fixtures as fx
 
-FEATURES = ["temperature", "humidity", "windSpeed"]
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _fitted(spark, sf):
-    """All complete rows, and the model fitted on a sample of them (seed 42, ``explain.SAMPLE_ROWS`` rows)."""
-    c = drop_incomplete(fx.covariates(spark, sf).select(*KEYS, "use_kw", *FEATURES), ["use_kw", *FEATURES])
-    model, va = explain.fit_gbt(sample_n(c, explain.SAMPLE_ROWS, KEYS, 42).checkpoint(eager=True), FEATURES, "use_kw")
-    return c, model, va
+    """All complete rows, and the model fitted on them."""
+    c = fx.covariates(spark, sf)
+    features = explain.weather_features(c)
+    c = drop_incomplete(c.select(*KEYS, "use_kw", *features), ["use_kw", *features])
+    return c, explain.fit_gbt(c, features, "use_kw")
 
 
 @query("j10_gbt_usage_model")
 def j10(spark, sf):
-    """Boosted trees (50 x depth 4, rate 0.1, seed 42) of use on the
-    weather columns, fitted on a 3000-row sample; predictions of all complete rows."""
-    c, model, va = _fitted(spark, sf)
-    return explain.predict(model, va, c)
+    """Boosted trees (50 x depth 4, rate 0.1) of use on every present weather column, fitted on and predicting all complete rows."""
+    c, model = _fitted(spark, sf)
+    return explain.predict(model, c)
 
 
 def _shap(spark, sf):
-    c, model, _ = _fitted(spark, sf)
-    return explain.shap_attribution(spark, model, c, FEATURES, KEYS)
+    c, model = _fitted(spark, sf)
+    return explain.shap_attribution(model, c, KEYS)
 
 
 @query("j11_shap_attribution")
@@ -41,6 +39,19 @@ def j11(spark, sf):
     return _shap(spark, sf)
 
 
+@query("j11s_shap_additivity", f"""select count(*) as n_values, count(*) / 3 as n_rows, 0 as n_off
+from ({COVARIATES}), unnest(['temperature', 'humidity', 'windSpeed']) as _f(feature)
+where use_kw is not null and temperature is not null and humidity is not null and windSpeed is not null""")
+def j11s(spark, sf):
+    """Every value of every complete row is attributed, and contributions and base add up to the model's prediction."""
+    c, model = _fitted(spark, sf)
+    total = explain.shap_attribution(model, c, KEYS).groupBy(*KEYS, "base_value").agg(F.sum("shap").alias("phi"), F.count(F.lit(1)).alias("n"))
+    predicted = explain.predict(model, c).groupBy(*KEYS).agg(F.sum("prediction").alias("p"), F.count(F.lit(1)).alias("rows"))
+    both = predicted.join(total, KEYS, "left")
+    off = F.coalesce(F.abs(F.col("phi") + F.col("base_value") * F.col("rows") - F.col("p")) > 1e-9 * F.abs("p"), F.lit(True))
+    return both.agg(F.sum("n").alias("n_values"), F.sum("rows").cast("double").alias("n_rows"), F.count_if(off).alias("n_off"))
+
+
 @query("j12_shap_ranking")
 def j12(spark, sf):
     """Features ranked by mean |Shapley value| over all complete rows, with direction."""

@@ -154,13 +154,13 @@ def m2(spark, sf):
     return read_silver(spark, _silver(spark, sf)).withColumn("year_month", F.col("year_month").cast("string"))
 
 
-@query("m3_silver_month_energy", f"""with {_LOAD_SQL} select cast(ts as date) as day, sum(use_kw) / 60.0 as use_kwh
-from g where year_month = '2016-01' group by 1""")
+@query("m3_silver_month_energy", f"""with {_LOAD_SQL} select year_month, cast(ts as date) as day, sum(use_kw) / 60.0 as use_kwh
+from g group by all""")
 def m3(spark, sf):
-    """Daily use of one month from the monthly table's hourly roll-up; other months' folders are not read."""
-    month = read_silver(spark, _silver(spark, sf), "2016-01", "2016-01")
-    hourly = resample.hourly_energy(month, "use_kw", out_names=["use_kwh"])
-    return hourly.groupBy(F.to_date("hour").alias("day")).agg(F.sum("use_kwh").alias("use_kwh"))
+    """Daily use of every month from the monthly table's hourly roll-up; the hours of a month are filled within the month."""
+    silver = read_silver(spark, _silver(spark, sf)).withColumn("year_month", F.col("year_month").cast("string"))
+    hourly = resample.hourly_energy(silver, "use_kw", keys=["year_month"], out_names=["use_kwh"])
+    return hourly.groupBy("year_month", F.to_date("hour").alias("day")).agg(F.sum("use_kwh").alias("use_kwh"))
 
 
 # --------------------------------------------------------- B: projections

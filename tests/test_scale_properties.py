@@ -92,10 +92,10 @@ def test_shapley_values_add_up(spark):
                                                "use_kw", "temperature", "humidity", "windSpeed")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     s = sample_n(c, 400, keys).cache()
-    model, va = explain.fit_gbt(s, ["temperature", "humidity", "windSpeed"], "use_kw")
-    shap = explain.shap_attribution(spark, model, s, ["temperature", "humidity", "windSpeed"], keys)
+    model = explain.fit_gbt(s, ["temperature", "humidity", "windSpeed"], "use_kw")
+    shap = explain.shap_attribution(model, s, keys)
     tot = shap.groupBy(*keys).agg(F.sum("shap").alias("phi"), F.first("base_value").alias("base"))
-    pred = explain.predict(model, va, s).select(*keys, "prediction")
+    pred = explain.predict(model, s).select(*keys, "prediction")
     err = pred.join(tot, keys).select(F.max(F.abs(F.col("phi") + F.col("base") - F.col("prediction")))).first()[0]
     assert err < 1e-6
 
@@ -226,11 +226,10 @@ def test_csv_scan_order_key_drives_regular_time(spark, tmp_path):
 
 
 def test_row_position_splits_dense_key_cluster(spark):
-    # A third of the rows sit in a narrow key range; with a tiny max_rows the
-    # dense bucket is cut again, and positions stay exact.
+    # A third of the rows sit in a narrow key range; positions stay exact.
     ids = list(range(0, 2000)) + list(range(10**9, 10**9 + 1000))
     df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(5)
-    got = {r["k"]: r["pos"] for r in ingest.row_position(df, "k", n_buckets=16, max_rows=100).collect()}
+    got = {r["k"]: r["pos"] for r in ingest.row_position(df, "k", n_buckets=16).collect()}
     assert [got[k] for k in sorted(ids)] == list(range(len(ids)))
 
 
