@@ -32,6 +32,8 @@ TREES, DEPTH, RATE = 50, 4, 0.1
 L2, LEAST_CHILD, LEAST_GAIN, BINS = 1.0, 1, 1e-6, 256
 #: Cells that are fetched and summed on the driver, at most; more are summed by grouped aggregates.
 LOCAL_CELLS = 250_000
+#: Rows that are predicted or attributed together.
+GATHERED_ROWS = 1 << 17
 
 
 @dataclass
@@ -66,13 +68,25 @@ class Boosted:
     def codes(self, values: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, values[:, k], side="left") for k, e in enumerate(self.edges)], 1).astype(np.int32)
 
-    def margins(self, codes: np.ndarray) -> np.ndarray:
-        """Predictions in units."""
-        out = np.full(len(codes), self.base, np.int64)
-        for t in self.trees:
-            out += np.array(t.value, np.int64)[t.leaf_of(codes)]
+    def margins(self, codes: np.ndarray, known: np.ndarray | None = None, trees: int = 0) -> np.ndarray:
+        """Predictions in units; ``known`` are those of the first ``trees`` trees."""
+        out = np.full(len(codes), self.base, np.int64) if known is None else known
+        for t in self.trees[trees:]:
+            out = out + np.array(t.value, np.int64)[t.leaf_of(codes)]
         return out
 
+    def distinct(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows of codes, and which of them each row is."""
+        widths = [len(e) + 1 for e in self.edges]
+        if math.prod(widths) < 1 << 62:
+            key = np.zeros(len(codes), np.int64)
+            for k, w in enumerate(widths):
+                key = key * w + codes[:, k]
+            _own, first, which = np.unique(key, return_index=True, return_inverse=True)
+            return codes[first], which
+        own, which = np.unique(codes, axis=0, return_inverse=True)
+        return own, which.ravel()
+
 
 def bin_edges(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
     """For each feature the upper ends of its bins, but for the last bin's; values that differ lie in one bin only where there are more than ``bins``."""
@@ -105,8 +119,7 @@ def _cells(model: Boosted):
                 continue
             values = np.stack([np.asarray(c, float) for c in batch.columns], 1)
             label = np.rint(values[:, 0] / model.unit).astype(np.int64)
-            code, which = np.unique(model.codes(values[:, 1:]), axis=0, return_inverse=True)
-            which = which.ravel()
+            code, which = model.distinct(model.codes(values[:, 1:]))
             total = np.zeros(len(code), np.int64)
             np.add.at(total, which, label)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(code[:, k])) for k in range(code.shape[1])), pa.array(np.bincount(which, minlength=len(code)).astype(np.int64)), pa.array(total)], names)
@@ -114,10 +127,10 @@ def _cells(model: Boosted):
     return run
 
 
-def level_sums(model: Boosted, tree: Tree, codes: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def level_sums(model: Boosted, tree: Tree, codes: np.ndarray, n: np.ndarray, s: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, feature, bin) of cells in open nodes, and sums of gradients and curvatures there; gradients in units."""
     node = tree.leaf_of(codes)
-    gradient = n * model.margins(codes) - s
+    gradient = n * margin - s
     width = max(len(e) for e in model.edges) + 1
     shape = (len(tree.feature), len(model.features), width)
     sums = np.zeros((2, math.prod(shape)), np.int64)
@@ -134,7 +147,8 @@ def _partial_sums(model: Boosted, tree: Tree):
         for batch in batches:
             if batch.num_rows:
                 *codes, n, s = (np.asarray(c) for c in batch.columns)
-                at, (g, h) = level_sums(model, tree, np.stack(codes, 1), n, s)
+                codes = np.stack(codes, 1)
+                at, (g, h) = level_sums(model, tree, codes, n, s, model.margins(codes))
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g), pa.array(h)], ["at", "g", "h"])
 
     return run
@@ -203,8 +217,12 @@ def fit(df: DataFrame, features: list[str], label: str, *, trees: int = TREES, d
     if count_cells <= (LOCAL_CELLS if local_cells is None else local_cells):
         fetched = cells.toArrow()
         *columns, n, s = (c.to_numpy() for c in fetched.columns)
-        codes_n_s = np.stack(columns, 1), n, s
-        sums = lambda m, t: level_sums(m, t, *codes_n_s)
+        held = np.stack(columns, 1)
+        state = [None, 0]  # margins of so many trees
+
+        def sums(m, t):
+            state[:] = m.margins(held, *state), len(m.trees)
+            return level_sums(m, t, held, n, s, state[0])
     else:
         def sums(m, t):
             got = cells.mapInArrow(_partial_sums(m, t), "at long, g long, h long").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
@@ -221,15 +239,34 @@ def predict(model: Boosted, df: DataFrame) -> DataFrame:
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields), T.StructField("prediction", T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
-            given = [batch.column(names.index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in model.features]
-            values = np.stack(given, 1) if given else np.empty((batch.num_rows, 0))
-            out = model.margins(model.codes(values)) * model.unit
+        for batch in gathered(batches):
+            values = feature_values(model, batch)
+            codes, which = model.distinct(model.codes(values))
+            out = (model.margins(codes) * model.unit)[which]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64(), mask=np.isnan(values).any(1))], [*names, "prediction"])
 
     return df.mapInArrow(run, schema)
 
 
+def gathered(batches, rows: int = GATHERED_ROWS):
+    """The batches joined to about ``rows`` rows each, so that equal rows meet."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def feature_values(model: Boosted, batch: pa.RecordBatch) -> np.ndarray:
+    """The rows' features as floats, NaN where missing."""
+    given = [batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in model.features]
+    return np.stack(given, 1) if given else np.empty((batch.num_rows, 0))
+
+
 # ---- attribution -------------------------------------------------------------------------------------------------------------
 
 
@@ -281,10 +318,10 @@ def tree_attribution(tree: Tree, codes: np.ndarray, phi: np.ndarray) -> None:
 
 def attribution(model: Boosted, codes: np.ndarray) -> tuple[np.ndarray, float]:
     """Shapley values of each row and feature, and the value without any feature; equal rows are worked out once."""
-    own, which = np.unique(codes, axis=0, return_inverse=True)
+    own, which = model.distinct(codes)
     phi = np.zeros(own.shape)
     base = float(model.base)
     for t in model.trees:
         tree_attribution(t, own, phi)
         base += sum(v * c for v, c, f in zip(t.value, t.cover, t.feature, strict=True) if f < 0) / max(t.cover[0], 1)
-    return (phi * model.unit)[which.ravel()], base * model.unit
+    return (phi * model.unit)[which], base * model.unit

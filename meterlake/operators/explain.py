@@ -8,7 +8,7 @@ worked out per Arrow batch on all tasks and nothing is gathered. sum(shap) + bas
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,26 +33,27 @@ def predict(model: boost.Boosted, df: DataFrame) -> DataFrame:
     return boost.predict(model, df)
 
 
-def _shap_batch(model: boost.Boosted, key_cols: list[str]):
-    features = model.features
-
+def _shap_batch(model: boost.Boosted, keys: int):
     def run(batches):
-        for rows in batches:
-            values = rows[features].to_numpy(dtype=float)
+        features = pa.array(model.features, pa.string())
+        for rows in boost.gathered(batches):
+            values = boost.feature_values(model, rows)
             phi, base = boost.attribution(model, model.codes(values))
-            n = len(rows)
-            out = {c: np.repeat(rows[c].to_numpy(), len(features)) for c in key_cols}
-            yield pd.DataFrame(out | {"feature": np.tile(np.array(features, dtype=object), n), "value": values.ravel(), "shap": phi.ravel(), "base_value": base})
+            row = pa.array(np.repeat(np.arange(rows.num_rows), len(features)))
+            feature = features.take(pa.array(np.tile(np.arange(len(features)), rows.num_rows)))
+            out = [*(c.take(row) for c in rows.columns[:keys]), feature, pa.array(values.ravel()), pa.array(phi.ravel()), pa.array(np.full(phi.size, base))]
+            yield pa.RecordBatch.from_arrays(out, [*rows.schema.names[:keys], "feature", "value", "shap", "base_value"])
 
     return run
 
 
 def shap_attribution(model: boost.Boosted, df: DataFrame, key_cols: list[str]) -> DataFrame:
     """One row per (row, feature) with the feature's value and its Shapley contribution, for rows with every feature."""
-    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name in key_cols]
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [T.StructField(k, kinds[k], True) for k in key_cols]
     fields += [T.StructField("feature", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("value", "shap", "base_value")]]
     rows = df.select(*[col(k) for k in key_cols], *[col(f).cast("double").alias(f) for f in model.features]).dropna(subset=model.features)
-    return rows.mapInPandas(_shap_batch(model, [f.name for f in fields[: len(key_cols)]]), T.StructType(fields))
+    return rows.mapInArrow(_shap_batch(model, len(key_cols)), T.StructType(fields))
 
 
 def shap_ranking(shap: DataFrame, top: int = 10) -> DataFrame:
