@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -110,21 +111,36 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return (total[n:] - total[:count]) * down[:count]
 
 
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)  # a fixed value for every byte
 _IS_WORD = np.array([b not in SPACES for b in range(256)])
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+#: Bytes of a word up to which its blocks are mixed together with the other words'; longer words are hashed one by one.
+LONG_WORD = 128
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order: polynomial hashes of their bytes, all at once."""
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order.
+
+    Every block of eight bytes goes through a round of multiplications and shifts, all words' first blocks at once, then their second ones and so
+    on, so no two words share a hash by their structure (as polynomial hashes modulo 2^64 do, whatever their base)."""
     out = [np.empty(0, np.uint64)]
     for piece in pieces(data):
         a = np.frombuffer(piece, np.uint8)
         edge = np.flatnonzero(np.diff(_IS_WORD[a].view(np.int8), prepend=0, append=0))
-        start, end = edge[::2], edge[1::2]
-        up, down = _powers(len(a) + 1)
-        total = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTES[a] * up[: len(a)], out=total[1:])
-        out.append(mix64((total[end] - total[start]) * down[start]))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(a),), np.uint64, piece + bytes(8), 0, (1,))  # the eight bytes from each place on
+        value = size.astype(np.uint64) * _M1 + _M2
+        left, at, rest = np.arange(len(start)), start, size
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            keep = size <= LONG_WORD
+            left, at, rest = left[keep], at[keep], rest[keep]
+        while len(left):
+            value[left] = mix64(value[left] ^ (eight[at] & _TAIL[np.minimum(rest, 8)]))
+            more = rest > 8
+            left, at, rest = left[more], at[more] + 8, rest[more] - 8
+        for i in long.tolist():
+            value[i] = int.from_bytes(hashlib.blake2b(piece[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+        out.append(value)
     return out[-1] if len(out) < 3 else np.concatenate(out)
 
 

@@ -22,8 +22,10 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Texts of a language that the sample is expected to hold at most (all texts are predicted).
 SAMPLE = 600
 ROUNDS = 3
-#: Characters of a word that are segmented as one; a longer word is segmented part by part.
-LONGEST = 24
+#: Characters of a word up to which probabilities are multiplied as they are; those of longer words would underflow, so their logarithms are added.
+PLAIN = 24
+#: Cells of the table of prefixes of words that are segmented together, at most (one word at least).
+CELLS = 1 << 20
 #: Added to every expected count.
 PRIOR = 0.05
 WORDS_HELD = 200_000
@@ -40,7 +42,9 @@ def words_of(text: str):
         end = at + PIECE_CHARS
         while end < len(text) and text[end - 1].isalnum():
             end += 1
-        yield _LETTERS.findall(text[at:end].lower())
+        found = _LETTERS.findall(text[at:end].lower())
+        # The pattern takes numeric signs such as a half for letters; they end a run.
+        yield found if all(map(str.isalpha, found)) else [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run)).split()]
         at = end
 
 
@@ -108,25 +112,67 @@ class Lattice:
             alpha[self.word[own[first]], j] = np.add.reduceat(alpha[self.word[own], self.start[own]] * prob[self.piece[own]], first, axis=0)
         return alpha
 
+    def forward_logs(self, log_prob: np.ndarray) -> np.ndarray:
+        """``forward`` in logarithms."""
+        alpha = np.full((self.count, int(self.size.max()) + 1, log_prob.shape[1]), -np.inf)
+        alpha[:, 0] = 0
+        for j, own, first in self._steps(self.end, np.arange(len(self.end))):
+            alpha[self.word[own[first]], j] = _sum_logs(alpha[self.word[own], self.start[own]] + log_prob[self.piece[own]], first)
+        return alpha
+
     def totals(self, prob: np.ndarray) -> np.ndarray:
         return self.forward(prob)[np.arange(self.count), self.size]
 
+    def log_totals(self, prob: np.ndarray) -> np.ndarray:
+        """Log probabilities of the words, over all their segmentations."""
+        if self.size.max() <= PLAIN:
+            return np.log(np.maximum(self.totals(prob), 1e-300))
+        return self.forward_logs(np.log(prob))[np.arange(self.count), self.size]
+
     def expected(self, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The pieces' expected numbers, [piece, language], if the words stand ``counts`` [word, language] times."""
-        alpha = self.forward(prob)
-        beta = np.zeros_like(alpha)
-        rows = np.arange(self.count)
-        beta[rows, self.size] = counts / np.maximum(alpha[rows, self.size], 1e-300)
-        order = np.lexsort((self.word, self.start))
-        for i, own, first in reversed(list(self._steps(self.start, order))):
-            beta[self.word[own[first]], i] += np.add.reduceat(beta[self.word[own], self.end[own]] * prob[self.piece[own]], first, axis=0)
-        share = alpha[self.word, self.start] * prob[self.piece] * beta[self.word, self.end]
+        rows, order = np.arange(self.count), np.lexsort((self.word, self.start))
+        if self.size.max() <= PLAIN:
+            alpha = self.forward(prob)
+            beta = np.zeros_like(alpha)
+            beta[rows, self.size] = counts / np.maximum(alpha[rows, self.size], 1e-300)
+            for i, own, first in reversed(list(self._steps(self.start, order))):
+                beta[self.word[own[first]], i] += np.add.reduceat(beta[self.word[own], self.end[own]] * prob[self.piece[own]], first, axis=0)
+            share = alpha[self.word, self.start] * prob[self.piece] * beta[self.word, self.end]
+        else:
+            logs = np.log(prob)
+            alpha = self.forward_logs(logs)
+            beta = np.full_like(alpha, -np.inf)
+            beta[rows, self.size] = 0
+            for i, own, first in reversed(list(self._steps(self.start, order))):
+                beta[self.word[own[first]], i] = _sum_logs(beta[self.word[own], self.end[own]] + logs[self.piece[own]], first)
+            share = np.exp(alpha[self.word, self.start] + logs[self.piece] + beta[self.word, self.end] - alpha[rows, self.size][self.word]) * counts[self.word]
         return np.stack([np.bincount(self.piece, share[:, k], len(prob)) for k in range(prob.shape[1])], 1)
 
 
-def parts_of(word: str) -> list[str]:
-    word = "▁" + word
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def _sum_logs(logs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of groups that start at ``first``."""
+    most = np.maximum.reduceat(logs, first, axis=0)
+    size = np.diff(np.append(first, len(logs)))
+    return most + np.log(np.add.reduceat(np.exp(logs - np.repeat(most, size, axis=0)), first, axis=0))
+
+
+def chunked(words: list[str]):
+    """Parts of a list of words (as their numbers) that are segmented together: the short ones in their order, the long ones by length."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(size <= PLAIN)
+    yield from (short[k : k + CHUNK] for k in range(0, len(short), CHUNK))
+    long = np.flatnonzero(size > PLAIN)
+    long = long[np.argsort(size[long], kind="stable")]
+    while len(long):
+        n = max(1, int((np.arange(1, len(long) + 1) * size[long] <= CELLS).sum()))
+        yield long[:n]
+        long = long[n:]
+
+
+def marked(word: str) -> str:
+    """The word with its border mark; all of it is segmented, whatever its length."""
+    return "▁" + word
 
 
 @dataclass
@@ -144,10 +190,9 @@ def train(counts: dict[str, dict[str, int]], texts: dict[str, int], path: str, r
     seen: dict[str, np.ndarray] = {}
     for k, language in enumerate(languages):
         for word, n in counts.get(language, {}).items():
-            for p in parts_of(word):
-                seen.setdefault(p, np.zeros(len(languages)))[k] += n
+            seen.setdefault(marked(word), np.zeros(len(languages)))[k] += n
     words = list(seen)
-    chunks = [(Lattice(words[k : k + CHUNK], pieces), np.array([seen[w] for w in words[k : k + CHUNK]])) for k in range(0, len(words), CHUNK)]
+    chunks = [(Lattice([words[i] for i in part.tolist()], pieces), np.array([seen[words[i]] for i in part.tolist()])) for part in chunked(words)]
 
     def settled(expectation: np.ndarray) -> np.ndarray:
         return (expectation + PRIOR) / (expectation + PRIOR).sum(0)
@@ -173,12 +218,12 @@ class Scorer:
         self.logs = np.empty((0, len(model.languages)))
 
     def learn(self, words: list[str]) -> None:
-        each = [parts_of(w) for w in words]
-        flat = [p for parts in each for p in parts]
-        logs = np.concatenate([np.log(np.maximum(Lattice(flat[k : k + CHUNK], self.pieces).totals(self.model.prob), 1e-300)) for k in range(0, len(flat), CHUNK)])
-        starts = np.cumsum([0, *(len(p) for p in each[:-1])])
+        flat = [marked(w) for w in words]
+        logs = np.empty((len(flat), self.logs.shape[1]))
+        for part in chunked(flat):
+            logs[part] = Lattice([flat[i] for i in part.tolist()], self.pieces).log_totals(self.model.prob)
         self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.logs = np.concatenate([self.logs, np.add.reduceat(logs, starts)])
+        self.logs = np.concatenate([self.logs, logs])
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The languages' log probabilities of texts; None for a text without a letter. The texts' new words are learnt together."""
@@ -248,7 +293,8 @@ def languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, held_out, lang_pred, score``, one row per row of ``docs``.
 
     Learns from rows with a language whose crc32(id as text) modulo ``folds`` is not ``fold``; the language is not read otherwise. Null texts and texts
-    without a letter are ``und`` with score 0, and so is every text where nothing can be learnt. ``score`` is the posterior of the language. Ties go to the
+    without a letter are ``und`` with score 0, and so is every text where nothing can be learnt. Runs of letters of any length are segmented whole, a very
+    long text's in pieces of about a million characters between words. ``score`` is the posterior of the language. Ties go to the
     language that sorts first."""
     held = hold_out(F.col(id_col), folds, fold)
     model = fit(docs.where(~held), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)

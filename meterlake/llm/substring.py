@@ -10,7 +10,8 @@ first goes on, the others are known to be removed. Minimisers with more than the
 counting pass; their windows travel one by one, dealt by the window's own hash. And there are several times more buckets
 than tasks.
 
-Words are compared by their 64-bit hashes and windows by a 64-bit hash of these within one bucket.
+Windows are sorted by a 64-bit hash of their words; the words of those that share a hash are then compared themselves, and so are the strings
+that a task merges, so nothing is removed for a hash alone.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ class _Task:
     def __init__(self):
         self.docs: list[tuple] = []
         self.first, self.size, self.minimiser, self.key, self.doc = [], [], [], [], []
+        self.split: dict[int, list[bytes]] = {}
         self.bytes = 0
 
     def add(self, doc_id, text_key, data: bytes, window: int, m: int, expand: int = 3) -> None:
@@ -90,8 +92,14 @@ class _Task:
         self.docs.append((doc_id, text_key, data, hashes))
         self.bytes += expand * len(data)
 
-    def distinct(self) -> tuple:
-        """The entries in the order of document and place, and whether each is the first of its key."""
+    def words(self, doc: int) -> list[bytes]:
+        if doc not in self.split:
+            self.split[doc] = words_of(self.docs[doc][2])
+        return self.split[doc]
+
+    def distinct(self, window: int = 0) -> tuple:
+        """The entries in the order of document and place, and whether each is the first of its key; with ``window``, entries of one key count as
+        equal only if their words are."""
         order = sorted(range(len(self.docs)), key=lambda i: (self.docs[i][0] is None, self.docs[i][0] or 0, self.docs[i][1]))
         first, size, low, key = (np.concatenate([x[i] for i in order]) for x in (self.first, self.size, self.minimiser, self.key))
         doc = np.concatenate([self.doc[i] for i in order])
@@ -107,6 +115,8 @@ class _Task:
             a, b = by[i], head[i]
             if doc[a] != doc[b] and first[a] == first[b] and names[doc[a]] == names[doc[b]]:
                 is_first[a] = True
+            elif window and (size[a] != size[b] or self.words(doc[a])[first[a] : first[a] + size[a] + window - 1] != self.words(doc[b])[first[b] : first[b] + size[b] + window - 1]):
+                is_first[a] = True  # it goes on as a string of its own
         return doc, first, size, low, is_first
 
 
@@ -160,7 +170,7 @@ def _shipper(window: int, m: int, buckets: int, hot):
     kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def flush(task: _Task):
-        doc, first, size, low, is_first = task.distinct()
+        doc, first, size, low, is_first = task.distinct(window)
         known = ~is_first
         rows = [(d % buckets, None, *task.docs[d][:2], int(s), int(e)) for d, s, e in zip(*(x.tolist() for x in _join_spans(doc[known], first[known], (first + size + window - 1)[known])), strict=True)]
         doc, first, size, low = (x[is_first] for x in (doc, first, size, low))
@@ -179,11 +189,8 @@ def _shipper(window: int, m: int, buckets: int, hot):
         order = np.argsort(doc, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        at, words = -1, []
         for d, s, n in zip(doc[order].tolist(), first[order].tolist(), size[order].tolist(), strict=True):
-            if d != at:
-                at, words = d, words_of(task.docs[d][2])
-            strings.append(b" ".join(words[s : s + n + window - 1]))
+            strings.append(b" ".join(task.words(d)[s : s + n + window - 1]))
         by = np.argsort(place, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(place[by]) != 0])) if len(by) else []
         press = zstandard.ZstdCompressor(level=3)
@@ -214,6 +221,34 @@ def _shipper(window: int, m: int, buckets: int, hot):
     return run
 
 
+def _check_words(by: np.ndarray, head: np.ndarray, record: np.ndarray, nth: np.ndarray, strings: pa.ChunkedArray, window: int) -> None:
+    """Make ``head`` exact: each window's head (windows in the order ``by``) becomes the first window with the same words.
+
+    ``record`` is each window's string, ``nth`` its number there. Only strings with a window that shares its hash are read."""
+    shared = np.flatnonzero(by != head)
+    if not len(shared):
+        return
+    wanted = np.unique(record[np.concatenate([by[shared], head[shared]])])
+    numbers, starts, total = {}, np.zeros(len(strings), np.int64), 0
+    ids = []
+    for i, text in zip(wanted.tolist(), strings.take(pa.array(wanted)).to_pylist(), strict=True):
+        words = text.split()
+        ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+        starts[i] = total
+        total += len(words)
+    ids = np.concatenate(ids)
+    place = lambda e: (starts[record[e]] + nth[e])[:, None] + np.arange(window)
+    differs = []
+    for at in range(0, len(shared), 1 << 16):
+        own = shared[at : at + (1 << 16)]
+        differs.append(own[(ids[place(by[own])] != ids[place(head[own])]).any(1)])
+    differs = np.concatenate(differs)
+    if len(differs):  # windows of one hash with different words: group these by the words
+        first: dict[tuple, int] = {}
+        for k in np.flatnonzero(np.isin(head, head[differs])).tolist():
+            head[k] = first.setdefault((int(head[k]), ids[place(by[k : k + 1])].tobytes()), by[k])
+
+
 def _judge(blobs: list[bytes], window: int):
     """Spans of the windows of one bucket that start earlier elsewhere."""
     table = pa.concat_tables([pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in blobs])
@@ -230,6 +265,7 @@ def _judge(blobs: list[bytes], window: int):
         first = np.cumsum(n + window - 1) - (n + window - 1)
         keys.append(window_hashes(words, window)[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
     key = np.concatenate(keys)
+    strings = table.column("words")
     del table, keys
     record = np.repeat(np.arange(len(size)), size)
     place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(len(record))
@@ -237,6 +273,7 @@ def _judge(blobs: list[bytes], window: int):
     key = key[by]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     head = by[np.flatnonzero(new)][np.cumsum(new) - 1]
+    _check_words(by, head, record, np.arange(len(record)) - (np.cumsum(size) - size)[record], strings, window)
     # A group's first is its earliest start; the same row twice is no earlier start.
     gone = by[(doc[record[by]] != doc[record[head]]) | (place[by] != place[head])]
     d, s, e = _join_spans(doc[record[gone]], place[gone], place[gone] + window)
@@ -322,8 +359,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` with all its columns and without the words that repeated windows cover. A text that loses words has its kept ones joined by
     one space, and its length, if there is such a column, follows; a text that loses nothing stays as it is; a text that loses all words goes."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **options)
-    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
-    joined = docs.join(of_doc, docs[id_col].cast("long").eqNullSafe(of_doc["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == of_doc["_key"]), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    own = next(n for n in ("_spans" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    of_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias(own)).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    joined = docs.join(of_doc, docs[id_col].cast("long").eqNullSafe(of_doc["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == of_doc["_key"]), "left").select(*(docs[c] for c in docs.columns), of_doc[own])
     names, kinds = docs.columns, docs.schema
 
     def run(batches):
