@@ -62,7 +62,7 @@ def pack(spark, docs, sf_dir):
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", one_of_each_group), ("substring dedup", remove_repeats), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: The toxicity model and the packing plan are not SQL; tests/llm holds the operators and tests/test_corpus_pipeline.py the stages against plain versions.
+#: The toxicity model and the packing plan are not SQL; tests/llm holds the operators and the stages against plain versions.
 ORACLE_SQL = None
 
 
