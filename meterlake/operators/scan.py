@@ -31,7 +31,7 @@ ROWS, FIRST, LAST = 0, 1, 2
 _KIND, _RANGE, _AT, _HEAD = "_scan_kind", "_scan_range", "_scan_at", "_scan_head"
 
 
-def _changes(columns: list[pa.Array], n: int) -> np.ndarray:
+def changes(columns: list[pa.Array], n: int) -> np.ndarray:
     """Whether each row's keys differ from the row before; NULL equals NULL. The first row counts as no change."""
     out = np.zeros(n, bool)
     for c in columns:
@@ -66,7 +66,7 @@ def _runner(columns: list[str], keys: list[str], fills: list[str], schema: pa.Sc
             if first is None:
                 first = key = [c.slice(0, 1) for c in now]
                 fill = [pa.nulls(1, v.type) for v in values]
-            change = _changes([_joined(k, c) for k, c in zip(key, now, strict=True)], n + 1)[1:]
+            change = changes([_joined(k, c) for k, c in zip(key, now, strict=True)], n + 1)[1:]
             start = np.maximum.accumulate(np.where(change, np.arange(n), -1))  # first row of the row's key here; -1: it goes on from before
             place = np.arange(n) - np.maximum(start, 0) + np.where(start < 0, at, 0)
             out_fill = []

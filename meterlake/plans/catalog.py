@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
+#: Float columns of a query that are copied from the tables, so both engines have the same bits.
+COPIED: dict[str, frozenset[str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, copied: tuple[str, ...] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = (fn, sql)
+        COPIED[name] = frozenset(copied)
         return fn
     return deco
 

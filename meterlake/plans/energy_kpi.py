@@ -415,7 +415,7 @@ def h08(spark, sf):
 @query("i01_sample_n", f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, use_kw, temperature from ({COVARIATES})
 order by md5('42:' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) || ':' ||
              cast(l_partkey as varchar) || ':' || cast(l_suppkey as varchar)),
-         l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000""")
+         l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000""", copied=("use_kw",))
 def i01(spark, sf):
     """Exactly 1000 rows, repeatable under any partitioning (seed 42)."""
     c = fx.covariates(spark, sf).select(*ROW_KEY, "use_kw", "temperature")

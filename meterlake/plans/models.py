@@ -78,10 +78,28 @@ def d05(spark, sf):
                                        F.count_if(F.col("anomaly") == -1).alias("n_flagged"))
 
 
+_COMPLETE = "use_kw is not null and temperature is not null and humidity is not null"
+
+
+@query("d05s_write_back_checks", f"""select strftime(ts, '%Y-%m') as year_month, count(*) as n_rows, count(distinct (l_orderkey, l_linenumber, l_partkey, l_suppkey)) as n_keys,
+  sum(l_orderkey) as key_sum, sum(use_kw) as use_kw, count(case when {_COMPLETE} then 1 end) > 100 as modelled, true as flags_fit
+from ({COVARIATES}) group by 1""")
+def d05s(spark, sf):
+    """Every row comes back once, with its values; months at or below the gate keep 1, the others flag at most the top 3 %, at least one row, and
+    every flagged row scores above every other one."""
+    f = _flags(spark, sf)
+    scored, flagged = F.count("anomaly_score"), F.count_if(F.col("anomaly") == -1)
+    top = F.floor(0.03 * (scored - 1)) + 1
+    lowest = F.min(F.when(F.col("anomaly") == -1, F.col("anomaly_score")))
+    highest = F.max(F.when(F.col("anomaly") == 1, F.col("anomaly_score")))
+    fit = F.when(scored > 0, (flagged <= top) & (flagged >= 1) & (lowest > highest)).otherwise(flagged == 0)
+    return f.groupBy("year_month").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*KEYS).alias("n_keys"), F.sum("l_orderkey").alias("key_sum"),
+                                       F.sum("use_kw").alias("use_kw"), (scored > 100).alias("modelled"), fit.alias("flags_fit"))
+
+
 @query("j14_anomaly_series")
 def j14(spark, sf):
     """One month's rows (the busiest month) with the flagged subset."""
-    f = _flags(spark, sf).checkpoint(eager=True)
+    f = _flags(spark, sf)
     busiest = f.groupBy("year_month").count().orderBy(F.desc("count"), "year_month").limit(1)
-    month = busiest.select("year_month").scalar()
-    return f.where(F.col("year_month") == month)
+    return anomaly.anomaly_series(f, busiest.select("year_month").first()[0])
