@@ -43,6 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; the shuffle files behind it go as soon as it is written (a setting of the session that holds while this job runs)."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(key) if was is None else conf.set(key, was)
+
+
 def checked(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it counts ``rows`` rows at most."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix64, prepare, small, stored, window_hashes, word_hashes
+from .common import lower_ascii, mix64, prepare, small, stored_alone, window_hashes, word_hashes
 from .components import components
 
 N = 5
@@ -366,7 +366,7 @@ def _verifier(percent: int):
 
 def _texts_of(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, text, blocks`` of the wanted nodes, from their representatives; few are broadcast, more are joined by shuffle."""
-    wanted = stored(wanted.join(classes, "node").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"), "node", "blocks"), "wanted")
+    wanted = stored_alone(wanted.join(classes, "node").select(F.col("rep.doc_id").alias("r_id"), F.col("rep.text_key").alias("r_key"), "node", "blocks"), "wanted")
     rows = wanted.agg(F.count("*"), F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()
     side = F.broadcast(wanted) if rows[0] + rows[1] <= BROADCAST_ROWS else wanted
     return keyed.join(side, keyed.doc_id.eqNullSafe(side.r_id) & (keyed.text_key == side.r_key)).select("node", "text", "blocks")
@@ -380,16 +380,16 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     wanted = dealt.unionByName(pivots).groupBy("node").agg(F.collect_list(F.struct("p", "salt")).alias("blocks"))
     sent = _texts_of(keyed, classes, wanted)
     sets = sent.mapInArrow(_set_sender(n), "p long, salt int, member int, node long, grams binary")
-    return stored(sets.repartition(tasks, "p", "salt").sortWithinPartitions("p", "salt", "member").mapInArrow(_verifier(percent), "a long, b long"), "links")
+    return stored_alone(sets.repartition(tasks, "p", "salt").sortWithinPartitions("p", "salt", "member").mapInArrow(_verifier(percent), "a long, b long"), "links")
 
 
 def _survey(keyed: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
     """Rows of the survey, the classes, and the seed under which no two sets share a name."""
     for seed in range(8):
-        survey = stored(keyed.mapInArrow(_surveyor(n, seed), "kind int, doc_id long, text_key long, n int, node long, check long, hash long, count long"), "survey")
+        survey = stored_alone(keyed.mapInArrow(_surveyor(n, seed), "kind int, doc_id long, text_key long, n int, node long, check long, hash long, count long"), "survey")
         # The representative is the first row of the class; a null id stands last.
         own = survey.where("kind = 0 and node is not null")
-        classes = stored(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
+        classes = stored_alone(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
         if not classes.where("low != high").head(1):
             return survey, classes, seed
     raise RuntimeError("sets share a name under every seed")
@@ -420,7 +420,7 @@ def similarity_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def stars(of: DataFrame) -> DataFrame:
         dealt = of.select("h", "salt", "node", "size_pos").repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt")
-        return stored(dealt.mapInArrow(_stars(percent), "kind int, a long, b long, h long, size_pos long"), "stars")
+        return stored_alone(dealt.mapInArrow(_stars(percent), "kind int, a long, b long, h long, size_pos long"), "stars")
 
     def best_pivots(found: DataFrame) -> DataFrame:
         counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("size_pos").alias("c"))
@@ -437,17 +437,17 @@ def similarity_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(_verify(keyed, classes, best_pivots(found2), n, percent, tasks))
     labels = components(links)
 
-    marked = stored(kept.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"), "size_pos"), "marked")
+    marked = stored_alone(kept.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"), "size_pos"), "marked")
     mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
     edges = marked.join(mixed, "h", "left_semi").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_cluster_edges(percent), "a long, b long")
     cluster = components(edges).withColumnRenamed("label", "cluster")
-    cluster = stored(cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "clusters")
+    cluster = stored_alone(cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "clusters")
     sides = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("cluster", "sides")
     cells = cluster.join(sides, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     block = F.struct("cluster", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label")
     sent = _texts_of(keyed, classes, cells.groupBy("node").agg(F.collect_list(block).alias("blocks")))
     sets = sent.mapInArrow(_block_sender(n), "cluster long, r int, s int, side int, node long, label long, grams binary")
-    links = links.unionByName(stored(sets.repartition(tasks, "cluster", "r", "s").sortWithinPartitions("cluster", "r", "s").mapInArrow(_blocks(percent), "a long, b long"), "links"))
+    links = links.unionByName(stored_alone(sets.repartition(tasks, "cluster", "r", "s").sortWithinPartitions("cluster", "r", "s").mapInArrow(_blocks(percent), "a long, b long"), "links"))
     members = survey.where("kind = 0").select("doc_id", "text_key", "n", "node")
     return members, classes, links
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_out, lower_ascii, mix64, prepare, scratch_path, small, stored, word_hashes
+from .common import hold_out, lower_ascii, mix64, prepare, scratch_path, small, stored, stored_alone, word_hashes
 
 END = np.uint64(0x656E64206F662074)  # of no word in particular
 FLUSH_TOKENS = 1_500_000
@@ -512,17 +512,6 @@ def _scorer(model: Model):
     return run
 
 
-def _stored_alone(df: DataFrame, name: str) -> DataFrame:
-    """``stored``; the shuffle files behind it go when it is written."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return stored(df, name)
-    finally:
-        conf.unset(key) if was is None else conf.set(key, was)
-
-
 def fit(texts: DataFrame, order: int = 2) -> Model:
     """Count all texts (one string column; null is an empty text, which has the end alone) and write the model below the shared folder."""
     if order < 2:
@@ -537,7 +526,7 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, "shard").sortWithinPartitions("shard")
 
-    words = _stored_alone(dealt(texts.mapInArrow(_word_counter(bits), blobs)).mapInArrow(_word_writer(folder), "shard int, words long, tokens long"), "words").collect()  # one row per shard
+    words = stored_alone(dealt(texts.mapInArrow(_word_counter(bits), blobs)).mapInArrow(_word_writer(folder), "shard int, words long, tokens long"), "words").collect()  # one row per shard
     sizes = np.zeros(1 << bits, np.int64)
     for r in words:
         sizes[r["shard"]] = r["words"]
@@ -548,7 +537,7 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
     hot = _hot_words(spark, folder, bits, starts, tokens, tasks)
     grams = texts.mapInArrow(_gram_counter(folder, bits, starts, hot, order), blobs)
     for n in range(order, 1, -1):
-        grams = _stored_alone(dealt(grams).mapInArrow(_gram_writer(folder, bits, starts, hot, n), blobs), f"grams-{n}")
+        grams = stored_alone(dealt(grams).mapInArrow(_gram_writer(folder, bits, starts, hot, n), blobs), f"grams-{n}")
     totals = {r["shard"]: np.array(r["totals"]) for r in stored(dealt(grams).mapInArrow(_stats_writer(folder, bits, starts), "shard int, totals array<long>"), "totals").collect()}
     zero = np.zeros(6, np.int64)
     start = totals.pop(1 << bits, zero)[2:]
