@@ -29,7 +29,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.judge_urls(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return url_cascade.judge_urls(pages, url_cascade.keys_with_labels(pages))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,22 +105,37 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, labels=LISTED_LABELS, max_bits: int = MAX_BITS) -> DataFrame:
+def keys_with_labels(pages: DataFrame, *, url_col: str = "url", rules=RULES, labels=LISTED_LABELS) -> DataFrame:
+    """A list as ``judge_urls`` takes it: the pages' keys whose host has one of the labels."""
+    host, path = host_and_path(F.col(url_col))
+    own = pages.select(host.alias("host"), F.substring(path, 1, _seen(rules)).alias("prefix"))
+    return own.where(has_label(F.col("host"), labels)).distinct()
+
+
+def _seen(rules) -> int:
+    """Characters of a path that the longest rule sees."""
+    return max((len(p) for _h, p, _v in rules), default=0)
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
     """``page_id, host, path, rule, verdict``, one row per row of ``pages``.
 
-    A key is the host with as much of the path as the longest rule can see, so it decides every rule. The list holds the corpus's keys that
-    a rule blocks and, where no rule fits, those whose host has a listed label. Null urls and urls without ``://`` have an empty
+    A key is the host with as much of the path as the longest rule can see, so it decides every rule. ``listed`` is a table of any size with the listed
+    keys (``host``, and ``prefix``: that much of the path); it may repeat rows and name keys that the corpus has not. It is joined to the corpus's distinct keys
+    while the cascade is built; the rows themselves meet no join. A key is blocked if a rule blocks it or, where no rule fits, if it is listed. Null urls and urls without ``://`` have an empty
     host and path, no rule, and are allowed; repeated rows are judged alike; other columns are not read."""
     spark = pages.sparkSession
     prepare(spark)
     host, path = host_and_path(F.col(url_col))
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    seen = max((len(p) for _h, p, _v in rules), default=0)
+    seen = _seen(rules)
     key = F.concat("host", F.lit(" "), F.substring("path", 1, seen))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)[0]
     seen_verdict = fitting_rule(F.col("host"), F.col("prefix"), rules)[1]
     keys = own.select("host", F.substring("path", 1, seen).alias("prefix")).distinct()
-    universe = stored(keys.select(F.concat("host", F.lit(" "), "prefix").alias("key"), F.coalesce(seen_verdict == "block", has_label(F.col("host"), labels)).alias("listed")), "universe")
+    block = listed.select(F.col("host").cast("string").alias("host"), F.col("prefix").cast("string").alias("prefix")).dropna().distinct().withColumn("on_list", F.lit(True))
+    marked = keys.join(block, ["host", "prefix"], "left")
+    universe = stored(marked.select(F.concat("host", F.lit(" "), "prefix").alias("key"), F.coalesce(seen_verdict == "block", "on_list", F.lit(False)).alias("listed")), "universe")
     count = universe.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("listed").cast("int")), F.lit(0)).alias("listed")).first()
     first = max(1, math.ceil(math.log2(max(2.0, math.sqrt(2) * (count["n"] - count["listed"]) / max(count["listed"], 1)))))
     shards = max(1, math.ceil(count["listed"] * (first + 2 * NEXT_HASHES) / math.log(2) / max_bits))

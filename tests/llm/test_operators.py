@@ -401,11 +401,16 @@ def test_url_cascade(spark):
 
     want = Counter((i % 17, *judged(u)) for i, u in enumerate(urls * 2))
     for bits in (url_cascade.MAX_BITS, 8):  # 8: judged in several passes
-        got = url_cascade.judge_urls(pages, max_bits=bits)
+        got = url_cascade.judge_urls(pages, url_cascade.keys_with_labels(pages), max_bits=bits)
         assert Counter(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan
-    assert url_cascade.judge_urls(pages.limit(0)).count() == 0
+    assert url_cascade.judge_urls(pages.limit(0), url_cascade.keys_with_labels(pages)).count() == 0
+    listed = spark.createDataFrame([("h7.org", "/p1"), ("h7.org", "/p1"), ("not.in.the.corpus", "/"), (None, "/"), ("a.com", "/x")], "host string, prefix string")
+    many = spark.createDataFrame([(i, f"http://h{i % 50}.org/p{i % 3}") for i in range(400)] + [(400, "http://a.com/x")], "page_id long, url string")
+    for bits in (url_cascade.MAX_BITS, 8):  # a table of keys decides where no rule does
+        judged_many = {r["page_id"]: r["verdict"] for r in url_cascade.judge_urls(many, listed, max_bits=bits).collect()}
+        assert judged_many == {i: "block" if i % 50 == 7 and i % 3 == 1 else "allow" for i in range(400)} | {400: "allow"}
 
 
 def test_cascade_is_exact(spark):
