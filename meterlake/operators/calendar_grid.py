@@ -10,45 +10,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions.calendar import week_dominant_month
-from meterlake.operators._util import col
+from meterlake.operators._util import col, keys_list, null_safe_join
 
 UNKNOWN = "Unknown"
 
 
-def _years(daily: DataFrame, day_col: str) -> DataFrame:
-    return daily.select(F.year(col(day_col)).alias("year")).distinct()
+def _years(daily: DataFrame, day_col: str, k: list[str]) -> DataFrame:
+    return daily.select(*k, F.year(col(day_col)).alias("year")).distinct()
 
 
-def week_weekday_grid(daily: DataFrame, value_col: str = "kwh", day_col: str = "day") -> DataFrame:
+def week_weekday_grid(daily: DataFrame, value_col: str = "kwh", day_col: str = "day", keys=None) -> DataFrame:
     """E14 (+D4): mean daily value by (year, weekday 0=Mon, ISO week), every
-    one of the 7 x 53 cells of each year present (NULL when empty)."""
-    d = daily.select(F.year(col(day_col)).alias("year"), F.weekday(col(day_col)).alias("weekday"),
+    one of the 7 x 53 cells of each year (of each series, with ``keys``) present (NULL when empty)."""
+    k = keys_list(keys)
+    d = daily.select(*k, F.year(col(day_col)).alias("year"), F.weekday(col(day_col)).alias("weekday"),
                      F.weekofyear(col(day_col)).alias("week"), col(value_col).alias("_v"))
-    cells = d.groupBy("year", "weekday", "week").agg(F.avg("_v").alias("mean_kwh"))
-    grid = (_years(daily, day_col)
-            .select("year", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
-            .select("year", "weekday", F.explode(F.sequence(F.lit(1), F.lit(53))).alias("week")))
-    return grid.join(cells, ["year", "weekday", "week"], "left")
+    cells = d.groupBy(*k, "year", "weekday", "week").agg(F.avg("_v").alias("mean_kwh"))
+    grid = (_years(daily, day_col, k)
+            .select(*k, "year", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+            .select(*k, "year", "weekday", F.explode(F.sequence(F.lit(1), F.lit(53))).alias("week")))
+    return null_safe_join(grid, cells, [*k, "year", "weekday", "week"], "left")
 
 
-def week_weekday_pivot_wide(grid: DataFrame) -> DataFrame:
-    """E14 at the edge: one row per (year, weekday), columns "1".."53"."""
-    return (grid.groupBy("year", "weekday").pivot("week", list(range(1, 54)))
-            .agg(F.first("mean_kwh")).orderBy("year", "weekday"))
+def week_weekday_pivot_wide(grid: DataFrame, keys=None) -> DataFrame:
+    """E14 at the edge: one row per (series, year, weekday), columns "1".."53"."""
+    k = keys_list(keys)
+    return (grid.groupBy(*k, "year", "weekday").pivot("week", list(range(1, 54)))
+            .agg(F.first("mean_kwh")).orderBy(*k, "year", "weekday"))
 
 
-def week_labels(daily: DataFrame, day_col: str = "day", rule: str = "reference") -> DataFrame:
-    """E17 (+D4) and B16: per (year, week 1..53) the month label of the
+def week_labels(daily: DataFrame, day_col: str = "day", rule: str = "reference", keys=None) -> DataFrame:
+    """E17 (+D4) and B16: per (series, year, week 1..53) the month label of the
     week's first day with data ("Unknown" if none), and the display label that
     is shown only when it changes from the last shown one."""
-    d = daily.select(F.year(col(day_col)).alias("year"), F.weekofyear(col(day_col)).alias("week"), col(day_col).alias("_d"))
+    k = keys_list(keys)
+    d = daily.select(*k, F.year(col(day_col)).alias("year"), F.weekofyear(col(day_col)).alias("week"), col(day_col).alias("_d"))
     d = d.withColumn("_label", week_dominant_month("year", "week", rule))
-    first = d.groupBy("year", "week").agg(F.min_by("_label", "_d").alias("month_label"))
-    grid = _years(daily, day_col).select("year", F.explode(F.sequence(F.lit(1), F.lit(53))).alias("week"))
-    lab = grid.join(first, ["year", "week"], "left").withColumn(
+    first = d.groupBy(*k, "year", "week").agg(F.min_by("_label", "_d").alias("month_label"))
+    grid = _years(daily, day_col, k).select(*k, "year", F.explode(F.sequence(F.lit(1), F.lit(53))).alias("week"))
+    lab = null_safe_join(grid, first, [*k, "year", "week"], "left").withColumn(
         "month_label", F.coalesce("month_label", F.lit(UNKNOWN)))
     known = F.when(F.col("month_label") != UNKNOWN, F.col("month_label"))
-    w = Window.partitionBy("year").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*k, "year").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
     prev = F.last(known, ignorenulls=True).over(w)
     show = (F.col("month_label") != UNKNOWN) & (prev.isNull() | (prev != F.col("month_label")))
     return lab.withColumn("display_label", F.when(show, F.col("month_label")).otherwise(F.lit("")))

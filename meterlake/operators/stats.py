@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.binning import bin_edges, bin_label, equal_width_bin
 from meterlake.functions.weather import WEATHER_GROUP_ORDER, weather_group, weather_group_ord
-from meterlake.operators._util import col, join_scalar_keys, keys_list
+from meterlake.operators._util import col, join_scalar_keys, keys_list, null_safe_join
 from meterlake.operators.quantiles import exact_quantiles
 
 
@@ -162,25 +162,30 @@ def standard_scale(df: DataFrame, cols: list[str], keys=None, suffix: str = "")
 SUMMARY_METRICS = ("temperature", "apparentTemperature", "humidity", "windSpeed", "pressure")
 
 
-def weather_summary(df: DataFrame, metrics=SUMMARY_METRICS) -> DataFrame:
-    """Mean, min and max of the present numeric weather metrics, long."""
+def weather_summary(df: DataFrame, metrics=SUMMARY_METRICS, keys=None) -> DataFrame:
+    """Mean, min and max of the present numeric weather metrics, long (per series, with ``keys``)."""
     from pyspark.sql import types as T
+    k = keys_list(keys)
     present = [m for m in metrics if m in df.columns and isinstance(df.schema[m].dataType, T.NumericType)]
     if not present:
-        return df.sparkSession.createDataFrame([], "metric string, ord int, mean double, min double, max double")
+        fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name in k]
+        return df.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("metric", T.StringType()), T.StructField("ord", T.IntegerType()),
+                                                                 *[T.StructField(c, T.DoubleType()) for c in ("mean", "min", "max")]]))
     aggs = []
     for m in present:
         aggs += [F.avg(m).alias(f"{m}__mean"), F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max")]
-    one = df.agg(*aggs)
+    one = df.groupBy(*k).agg(*aggs) if k else df.agg(*aggs)
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(i).alias("ord"), F.col(f"{m}__mean").cast("double").alias("mean"),
                      F.col(f"{m}__min").cast("double").alias("min"), F.col(f"{m}__max").cast("double").alias("max"))
             for i, m in enumerate(present)]
-    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    return one.select(*k, F.explode(F.array(*rows)).alias("_r")).select(*k, "_r.*")
 
 
-def high_usage_threshold(df: DataFrame, use_col: str = "use_kw") -> DataFrame:
-    """Mean + sample standard deviation."""
-    return df.agg((F.avg(col(use_col)) + F.stddev_samp(col(use_col))).alias("threshold"))
+def high_usage_threshold(df: DataFrame, use_col: str = "use_kw", keys=None) -> DataFrame:
+    """Mean + sample standard deviation (per series, with ``keys``)."""
+    threshold = (F.avg(col(use_col)) + F.stddev_samp(col(use_col))).alias("threshold")
+    k = keys_list(keys)
+    return df.groupBy(*k).agg(threshold) if k else df.agg(threshold)
 
 
 def _groups_dim(spark) -> DataFrame:
@@ -188,15 +193,21 @@ def _groups_dim(spark) -> DataFrame:
                                  "weather_group string, weather_ord int")
 
 
-def high_usage_probability(df: DataFrame, use_col: str = "use_kw", summary_col: str = "summary") -> DataFrame:
+def high_usage_probability(df: DataFrame, use_col: str = "use_kw", summary_col: str = "summary", keys=None) -> DataFrame:
     """Percent of rows above the E12 threshold per weather group; all 11
-    groups returned (NULL where a group has no rows), with their order."""
-    thr = high_usage_threshold(df, use_col).select("threshold").scalar()
-    g = df.select(weather_group(summary_col).alias("weather_group"),
-                  F.when(col(use_col) > thr, 1.0).otherwise(0.0).alias("_hi"))
-    pct = g.groupBy("weather_group").agg((F.avg("_hi") * 100).alias("high_usage_pct"))
+    groups returned (NULL where a group has no rows), with their order. With
+    ``keys`` every series has its own threshold and its own 11 groups."""
+    k = keys_list(keys)
+    rows = df.select(*k, weather_group(summary_col).alias("weather_group"), col(use_col).alias("_use"))
+    rows = join_scalar_keys(rows, high_usage_threshold(df, use_col, k).withColumnRenamed("threshold", "_thr"), k)
+    pct = rows.groupBy(*k, "weather_group").agg((F.avg(F.when(F.col("_use") > F.col("_thr"), 1.0).otherwise(0.0)) * 100).alias("high_usage_pct"))
     # The dimension is the fixed list of 11 groups (a proven bound): broadcast.
-    return F.broadcast(_groups_dim(df.sparkSession)).join(pct, "weather_group", "left")
+    dim = F.broadcast(_groups_dim(df.sparkSession))
+    if not k:
+        return dim.join(pct, "weather_group", "left")
+    groups = F.array(*[F.struct(F.lit(g).alias("weather_group"), F.lit(i).alias("weather_ord")) for i, g in enumerate(WEATHER_GROUP_ORDER)])
+    every = pct.select(*k).distinct().select(*k, F.explode(groups).alias("_g")).select(*k, "_g.*")
+    return null_safe_join(every, pct, [*k, "weather_group"], "left")
 
 
 def box_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
@@ -223,13 +234,21 @@ def box_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     return q.join(w, group_col)
 
 
-def binned_mean(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
+def binned_mean(df: DataFrame, x: str, y: str, bins: int = 10, keys=None) -> DataFrame:
     """Mean of y in each of the equal-width x bins (B17), every bin
-    returned (NULL when empty), with its label."""
-    lo = df.select(F.min(col(x))).scalar()
-    hi = df.select(F.max(col(x))).scalar()
-    d = df.select(equal_width_bin(col(x), lo, hi, bins).alias("bin"), col(y).alias("_y")).where(F.col("bin").isNotNull())
-    m = d.groupBy("bin").agg(F.avg("_y").alias("mean"))
-    allb = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    returned (NULL when empty), with its label. With ``keys`` every series has bins of its own range."""
+    k = keys_list(keys)
+    if k:
+        span = df.groupBy(*k).agg(F.min(col(x)).alias("_lo"), F.max(col(x)).alias("_hi"))
+        lo, hi = F.col("_lo"), F.col("_hi")
+        d = join_scalar_keys(df.select(*k, col(x).alias("_x"), col(y).alias("_y")), span, k)
+        d = d.select(*k, equal_width_bin(F.col("_x"), lo, hi, bins).alias("bin"), "_y")
+        allb = span.select(*k, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    else:
+        lo = df.select(F.min(col(x))).scalar()
+        hi = df.select(F.max(col(x))).scalar()
+        d = df.select(equal_width_bin(col(x), lo, hi, bins).alias("bin"), col(y).alias("_y"))
+        allb = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    m = d.where(F.col("bin").isNotNull()).groupBy(*k, "bin").agg(F.avg("_y").alias("mean"))
     left, right = bin_edges(F.col("bin"), lo, hi, bins)
-    return allb.join(m, "bin", "left").select("bin", bin_label(left, right).alias("bin_label"), "mean")
+    return null_safe_join(allb, m, [*k, "bin"], "left").select(*k, "bin", bin_label(left, right).alias("bin_label"), "mean")

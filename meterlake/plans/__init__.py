@@ -11,6 +11,6 @@ def load_all() -> None:
     if _LOADED:
         return
     import importlib
-    for mod in ("scan_features", "energy_kpi", "forecasting", "models", "density", "streams"):
+    for mod in ("scan_features", "energy_kpi", "forecasting", "models", "density", "keyed", "streams"):
         importlib.import_module(f"meterlake.plans.{mod}")
     _LOADED = True
