@@ -10,13 +10,22 @@ aggregate pass.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlake.functions.binning import bin_edges, bin_label, equal_width_bin
 from meterlake.functions.weather import WEATHER_GROUP_ORDER, weather_group, weather_group_ord
 from meterlake.operators._util import col, join_scalar_keys, keys_list, null_safe_join
 from meterlake.operators.quantiles import exact_quantiles
+from meterlake.session import shared_dir
+
+#: Columns whose pairs are one aggregate, at most.
+FEW_COLUMNS = 8
+#: Names of one block of a correlation matrix.
+TILE = 512
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -63,13 +72,16 @@ def corr_matrix(df: DataFrame, cols: list[str], keys=None, digits: int | None =
     pairwise-complete rows, mirrored, diagonal 1 (NULL for a constant
     column), rounded half-even to ``digits``.
 
-    A distributed Gram matrix: columns are centred on their means (one
+    Up to ``FEW_COLUMNS`` columns are one aggregate of their pairs. More are a
+    distributed Gram matrix: columns are centred on their means (one
     aggregate), every partition adds up the pairwise sums with NumPy matrix
     products and emits n x n rows per key, and one ``groupBy(i, j)`` combines
     them. Work is linear in rows; nothing is held per group.
     """
     k = keys_list(keys)
     n = len(cols)
+    if n <= FEW_COLUMNS:
+        return _few_correlations(df, cols, k, digits)
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.avg(col(c)).alias(f"_m{i}"), F.stddev_pop(col(c)).alias(f"_s{i}")]
@@ -106,15 +118,96 @@ def corr_matrix(df: DataFrame, cols: list[str], keys=None, digits: int | None =
     return out
 
 
+def _few_correlations(df: DataFrame, cols: list[str], k: list[str], digits: int | None) -> DataFrame:
+    """``corr_matrix`` of a few columns: every pair in one map-side combined aggregate, one scan, no Python."""
+    n = len(cols)
+    x = [col(c).cast("double") for c in cols]
+    aggs = [F.stddev_pop(v).alias(f"_s{i}") for i, v in enumerate(x)]
+    aggs += [safe_corr(x[i], x[j]).alias(f"_r{i}_{j}") for i in range(n) for j in range(i + 1, n)]
+    one = df.groupBy(*k).agg(*aggs) if k else df.agg(*aggs)
+
+    def r(i, j):
+        own = F.lit(1.0) if i == j else F.nullif(F.col(f"_r{min(i, j)}_{max(i, j)}"), F.lit(float("nan")))
+        own = F.when((F.col(f"_s{i}") > 0) & (F.col(f"_s{j}") > 0), own)
+        return F.bround(own, digits) if digits is not None else own
+
+    pairs = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), r(i, j).alias("r")) for i in range(n) for j in range(n)]
+    return one.select(*k, F.explode(F.array(*pairs)).alias("_p")).select(*k, "_p.*")
+
+
+def corr_matrix_long(df: DataFrame, name_col: str, time_col: str, value_col: str, keys=None, digits: int | None = 2, tile: int = TILE) -> DataFrame:
+    """H1 for any number of devices: the Pearson matrix ``(a, b, r)`` of the series in long rows (one row per name and time), over the times that both series
+    have, mirrored, diagonal 1 (NULL for a constant series), rounded half-even to ``digits``.
+
+    Names are dealt into blocks of about ``tile``, and the upper triangle into tiles (block, block). A row is sent to the tiles of its
+    block, and a tile's task multiplies two matrices of times x names, whose size is bounded by the calendar. No table has a
+    column per device, and no batch gives more rows than its tile has pairs."""
+    spark, k = df.sparkSession, keys_list(keys)
+    path = shared_dir(spark, f"corr/{uuid.uuid4().hex}")
+    df.select(*k, col(name_col).alias("_n"), col(time_col).alias("_t"), col(value_col).cast("double").alias("_v")).where(F.col("_n").isNotNull() & F.col("_v").isNotNull()).write.parquet(path)
+    long = spark.read.parquet(path)
+    blocks = max(1, -(-long.agg(F.count_distinct("_n")).first()[0] // tile))
+    own = F.pmod(F.xxhash64("_n"), F.lit(blocks)).cast("int")
+    sent = long.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select("*", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    fields = [f for f in long.schema.fields if f.name in k]
+    name = long.schema["_n"].dataType
+    schema = T.StructType([*fields, T.StructField("a", name), T.StructField("b", name), T.StructField("r", T.DoubleType())])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = sent.repartition(tasks, *k, "_i", "_j").groupBy(*k, "_i", "_j").applyInPandas(_tile_correlations(k), schema)
+    return out.withColumn("r", F.bround("r", digits)) if digits is not None else out
+
+
+def _tile_correlations(k: list[str]):
+    import numpy as np
+    import pandas as pd
+
+    def side(rows: pd.DataFrame, times: pd.Index):
+        names, at = np.unique(rows["_n"].to_numpy(), return_inverse=True)
+        x = np.full((len(times), len(names)), np.nan)
+        x[times.get_indexer(rows["_t"]), at] = rows["_v"].to_numpy()
+        varies = np.nanmax(x, axis=0) > np.nanmin(x, axis=0)
+        x -= np.nanmean(x, axis=0)
+        return names, np.nan_to_num(x), (~np.isnan(x)).astype(float), varies
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["_i"].iloc[0], rows["_j"].iloc[0]
+        times = pd.Index(rows["_t"].unique())
+        left, right = rows[rows["_b"] == i], rows[rows["_b"] == j]
+        if not len(left) or not len(right):  # a block without names
+            return pd.DataFrame(columns=[*k, "a", "b", "r"])
+        a, x, m, varies = side(left, times)
+        b, y, w, varies2 = (a, x, m, varies) if i == j else side(right, times)
+        n = np.maximum(m.T @ w, 1)
+        sx, sy = x.T @ w / n, m.T @ y / n
+        vx, vy = (x * x).T @ w / n - sx * sx, m.T @ (y * y) / n - sy * sy
+        ok = (vx > 0) & (vy > 0) & varies[:, None] & varies2[None, :] & (m.T @ w > 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.where(ok, (x.T @ y / n - sx * sy) / np.sqrt(vx * vy), np.nan)
+        p, q = np.indices(r.shape).reshape(2, -1)
+        if i == j:
+            r[np.diag_indices(len(a))] = np.where(np.isnan(np.diag(r)), np.nan, 1.0)
+        out = pd.DataFrame({"a": a[p], "b": b[q], "r": r.ravel()})
+        if i != j:
+            out = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+        out["r"] = out["r"].astype(object).where(out["r"].notna(), None)
+        for c in reversed(k):
+            out.insert(0, c, rows[c].iloc[0])
+        return out
+
+    return tile
+
+
 def strongest_pairs(matrix: DataFrame, keys=None, upper_only: bool = True) -> DataFrame:
-    """the largest and the smallest off-diagonal r, first in row order on
+    """the largest and the smallest off-diagonal r, first in row order (in name order, for a matrix without places) on
     ties; no row (N/A) when there is none."""
     k = keys_list(keys)
-    m = matrix.where(F.col("i") < F.col("j") if upper_only else F.col("i") != F.col("j")) \
+    i, j = ("i", "j") if "i" in matrix.columns else ("a", "b")
+    m = matrix.where(F.col(i) < F.col(j) if upper_only else F.col(i) != F.col(j)) \
         .where(F.col("r").isNotNull())
     pair = F.struct("a", "b", "r")
-    aggs = [F.min_by(pair, F.struct(-F.col("r"), "i", "j")).alias("max_pair"),
-            F.min_by(pair, F.struct(F.col("r"), "i", "j")).alias("min_pair")]
+    aggs = [F.min_by(pair, F.struct(-F.col("r"), i, j)).alias("max_pair"),
+            F.min_by(pair, F.struct(F.col("r"), i, j)).alias("min_pair")]
     g = m.groupBy(*k).agg(*aggs) if k else m.agg(*aggs)
     g = g.where(F.col("max_pair").isNotNull())
     return g.select(*k, F.explode(F.array(

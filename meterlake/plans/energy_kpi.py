@@ -344,9 +344,11 @@ m as (select x.device as a, y.device as b,
 @query("h01_corr_matrix_daily", _dev_corr_sql(" select a, b, r from m"))
 def h01(spark, sf):
     """H1: Pearson matrix of the 25 device daily kWh series, 2 dp half-even."""
-    wide = resample.align_devices_daily(fx.devices25(spark, sf)).checkpoint(eager=True)
-    devices = [c for c in wide.columns if c != "day"]
-    return stats.corr_matrix(wide, devices).select("a", "b", "r")
+    return stats.corr_matrix_long(_d25_daily(spark, sf), "device", "day", "kwh")
+
+
+def _d25_daily(spark, sf):
+    return resample.daily_energy(fx.devices25(spark, sf), "kw", keys=["device"], out_names=["kwh"])
 
 
 @query("f04_strongest_pairs", _dev_corr_sql(""",
@@ -355,9 +357,7 @@ u as (select * from m where a < b and r is not null and not isnan(r))
 union all (select 'min' as kind, a, b, r from u order by r asc, a, b limit 1)"""))
 def f04(spark, sf):
     """strongest positive and negative device pair (upper triangle)."""
-    wide = resample.align_devices_daily(fx.devices25(spark, sf)).checkpoint(eager=True)
-    devices = [c for c in wide.columns if c != "day"]
-    return stats.strongest_pairs(stats.corr_matrix(wide, devices))
+    return stats.strongest_pairs(stats.corr_matrix_long(_d25_daily(spark, sf), "device", "day", "kwh"))
 
 
 _WX = ["use_kw", "temperature", "humidity", "windSpeed"]
