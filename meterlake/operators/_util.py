@@ -4,7 +4,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def col(name: str | Column) -> Column:
@@ -20,11 +19,6 @@ def keys_list(keys: Sequence[str] | str | None) -> list[str]:
     return list(keys)
 
 
-def is_numeric(df: DataFrame, name: str) -> bool:
-    f = next((f for f in df.schema.fields if f.name == name), None)
-    return f is not None and isinstance(f.dataType, T.NumericType)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on columns of the same names where NULL equals NULL; the left side's key columns stay (for ``full`` either side's)."""
     on = list(on)

@@ -102,11 +102,12 @@ def resample(df: DataFrame, value_cols: Sequence[str] | str, freq: str = "day",
     names = list(out_names) if out_names else vals
     bcol = bucket_col or BUCKET_NAME[freq]
     b = bucket(col(ts_col), freq).alias(bcol)
-    src = df.select(*k, b, *[col(v) for v in vals])
+    # The range is one of the raw time, so that it reaches the scan whatever the bucket.
     if start is not None:
-        src = src.where(F.col(bcol) >= bucket(F.lit(start).cast("timestamp_ntz"), freq))
+        df = df.where(col(ts_col) >= bucket(F.lit(start).cast("timestamp_ntz"), freq).cast("timestamp_ntz"))
     if end is not None:
-        src = src.where(F.col(bcol) <= bucket(F.lit(end).cast("timestamp_ntz"), freq))
+        df = df.where(col(ts_col) < bucket(F.lit(end).cast("timestamp_ntz"), freq).cast("timestamp_ntz") + F.expr(f"interval 1 {freq}"))
+    src = df.select(*k, b, *[col(v) for v in vals])
     if how == "sum":
         d = 1.0 if divisor is None else float(divisor)
         aggs = [(F.sum(col(v)) / F.lit(d)).alias(n) for v, n in zip(vals, names)]

@@ -15,7 +15,7 @@ from meterlake.streaming.hourly import stream_hourly_once
   sum(value) / 60.0 as kwh from events group by all""")
 def e02s(spark, sf):
     """E2 as a stream: the events file read by a file-stream source, rolled up
-    per (device, hour) with a watermark, materialised by micro-batch."""
+    per (device, hour) batch by batch, and the parts added up."""
     schema = read_table(spark, sf, "events").schema
     out = stream_hourly_once(spark, f"{sf.rstrip('/')}/events.parquet", schema, "value", ["event_type"],
                              f"events-hourly-{uuid.uuid4().hex}")

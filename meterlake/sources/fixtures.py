@@ -122,8 +122,3 @@ def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("windSpeed"),
         mapping[F.col("o_orderpriority")].alias("summary"),
     )
-
-
-def gappy(spark: SparkSession, sf_dir: str, device: str = "click") -> DataFrame:
-    """One event type only: hourly buckets with empty hours inside the span."""
-    return meter_long(spark, sf_dir).where(F.col("device") == device)

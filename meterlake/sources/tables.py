@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlake.session import ensure_checkpoint_dir
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -30,6 +32,8 @@ WEATHER_COLUMNS = (
     "temperature", "humidity", "windSpeed", "windBearing", "pressure",
     "apparentTemperature", "dewPoint", "precipProbability",
 )
+#: Splits of CSV files whose ranks are broadcast, at most; more are joined by shuffle.
+BROADCAST_SPLITS = 100_000
 SITE_COLUMNS = ("use [kW]", "gen [kW]")
 
 
@@ -61,13 +65,16 @@ def scan_meter_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     """
     from pyspark.sql import Window
     schema = schema or meter_csv_schema()
+    ensure_checkpoint_dir(spark)
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
     df = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
                          "_mono": F.monotonically_increasing_id()})
     splits = df.select("_file", "_block").distinct()
     splits = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_block")) - 1)
+    # One pass over the files finds the splits; every later use reads the written ranks.
+    splits = splits.checkpoint(eager=True)
     mask = (1 << 33) - 1
-    keyed = df.join(F.broadcast(splits), ["_file", "_block"])
+    keyed = df.join(F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits, ["_file", "_block"])
     keyed = keyed.withColumn(order_col, F.shiftleft(F.col("_rank").cast("long"), 33) +
                              F.col("_mono").bitwiseAND(F.lit(mask)))
     return nan_to_null(keyed.drop("_file", "_block", "_mono", "_rank"))

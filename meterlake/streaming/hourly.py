@@ -1,11 +1,8 @@
 """Hourly energy (E2) maintained incrementally with Structured Streaming.
 
-New reading files arriving in a folder are rolled up to (key, hour) kWh.
-State is bounded by the watermark: an hour's running sum is kept until the
-watermark passes it, and late readings beyond the watermark are dropped by
-Spark. Each micro-batch's updated (key, hour) rows are appended with their
-batch id to a Parquet table in the shared folder; the current value of an
-hour is its row from the latest batch (``current_hourly``). Restarting from
+Every micro-batch's new readings are rolled up to (key, hour) kWh and written to a folder of their own
+in the shared folder; the value of an hour is the sum of its parts (``current_hourly``). So there is no state between batches, and readings
+count however late they arrive. A batch that runs again overwrites its folder, and restarting from
 the same checkpoint location resumes exactly where the stream stopped.
 
 Gap filling (empty hours = 0) is a batch step over the materialised table
@@ -33,41 +30,36 @@ def stream_path(path: str) -> str:
 
 
 def hourly_energy_stream(spark: SparkSession, source: str, schema: T.StructType, value_col: str,
-                         keys: list[str], ts_col: str = "ts", watermark: str = "2 hours",
-                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of (keys, hour, kwh) running sums."""
+                         keys: list[str], ts_col: str = "ts", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming DataFrame of (keys, hour, kwh) of every reading; ``run_to_table`` adds them up."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(stream_path(source))
-    # Watermarks need TIMESTAMP event time: wall-clock NTZ readings are read
-    # in the session zone (UTC in our sessions) and hours cast back to NTZ.
-    src = src.withColumn("_event_time", F.col(ts_col).cast("timestamp"))
-    return (src.withWatermark("_event_time", watermark)
-            .groupBy(*keys, F.window("_event_time", "1 hour").alias("_w"))
-            .agg((F.sum(value_col) / F.lit(float(SAMPLES_PER_HOUR))).alias("kwh"))
-            .select(*keys, F.col("_w.start").cast("timestamp_ntz").alias("hour"), "kwh"))
+    hour = F.date_trunc("hour", F.col(ts_col)).cast("timestamp_ntz").alias("hour")
+    return src.select(*keys, hour, (F.col(value_col) / F.lit(float(SAMPLES_PER_HOUR))).alias("kwh"))
 
 
 def run_to_table(stream: DataFrame, table_path: str, checkpoint: str, available_now: bool = True,
                  processing_time: str | None = None):
-    """Start the stream: update mode, each micro-batch appended (with its
-    batch id) to ``table_path``. ``available_now`` processes what is there
-    and stops."""
+    """Start the stream: every micro-batch is rolled up by keys and hour and written to a folder of its own below
+    ``table_path``. ``available_now`` processes what is there and stops.
+
+    A batch that runs again overwrites its own folder, so nothing counts twice. No state is kept between batches and no watermark is needed: a
+    reading that arrives however late is a part of its hour in the batch that brings it."""
+    groups = [c for c in stream.columns if c != "kwh"]
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_path)
+        batch.groupBy(*groups).agg(F.sum("kwh").alias("kwh")).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
 
-    w = (stream.writeStream.outputMode("update").foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint))
+    w = stream.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
 def current_hourly(spark: SparkSession, table_path: str, keys: list[str]) -> DataFrame:
-    """Latest value of every (keys, hour) in the materialised table."""
-    t = spark.read.parquet(table_path)
-    return (t.groupBy(*keys, "hour")
-            .agg(F.max_by("kwh", "batch_id").alias("kwh")))
+    """The value of every (keys, hour): the sum of its parts in the batches so far."""
+    return spark.read.parquet(table_path).groupBy(*keys, "hour").agg(F.sum("kwh").alias("kwh"))
 
 
 def stream_hourly_once(spark: SparkSession, source: str, schema: T.StructType, value_col: str,
