@@ -9,12 +9,14 @@ sampled and no row pairs are made.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.operators._util import col
 from meterlake.operators.quantiles import exact_quantiles
+from meterlake.session import shared_dir
 
 # Smoother and density settings of the source's charts.
 LOWESS_FRAC, LOWESS_ITER = 2.0 / 3.0, 3
@@ -99,6 +101,10 @@ def lowess(df: DataFrame, y: str, x: str, key_cols: list[str], frac: float = LOW
     A robust pass weighs the rows by their residuals and sums again."""
     spark = df.sparkSession
     d = df.select(*key_cols, col(x).cast("double").alias(x), col(y).cast("double").alias(y)).dropna(subset=[x, y])
+    # Cuts and passes read the narrow rows; the input itself is read once.
+    path = shared_dir(spark, f"lowess/{uuid.uuid4().hex}")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
     n, lo, hi = d.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
     fitted = F.lit(None).cast("double")
     if lo is None:
