@@ -7,8 +7,8 @@ pass over all documents, and any order gives the same links.
 
 Prefix columns are dealt by shingle. Two cheap rounds find most links: in every column the most central row is the pivot of the others, every
 row is verified over the whole sets against the pivot that it shares most columns with, in blocks of at most ``BLOCK`` rows; then the most
-central row of each component in a column likewise. What is left are columns with rows of several components. Rows that may link there
-are gathered into clusters, and each cluster's incidence matrix is multiplied by its transpose in blocks of ``SIDE`` rows, chunk of columns by chunk,
+central row of each component in a column likewise. What is left are columns with rows of several components. Rows that may link there, by
+label, place and the distance of their signatures, are gathered into clusters, and each cluster's incidence matrix is multiplied by its transpose in blocks of ``SIDE`` rows, chunk of columns by chunk,
 accumulating overlap counts; pairs below the bound from their sizes are discarded. So every pair that can be linked lies in one
 component already or is counted exactly, and no pairs leave a task but links that join components.
 """
@@ -38,8 +38,10 @@ COLUMN = 100_000
 #: Documents that are broadcast for verification, at most; more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 FLUSH_BYTES = 8 << 20
-#: Rows of a column that are compared with each other to form clusters; a longer column is chained in the order of size.
-NARROW = 64
+#: Rows of a column that one task compares with as many others to form clusters; a longer column is dealt in pairs of its parts.
+NARROW = 8_192
+#: Bits of a signature, at most. Sets of up to about five times as many shingles are told apart by it.
+SIGNATURE = 2_048
 
 
 def shingle_set(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +60,43 @@ def node_of(grams: np.ndarray, seed: int) -> tuple[int, int]:
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Of each place of a bit table whether an odd number of shingles falls there; about as many places as shingles. A shingle that only one of two
+    sets holds turns one bit, so the signatures differ in no more places than the sets do."""
+    bits = min(max(64, 1 << (len(grams) - 1).bit_length()), SIGNATURE)
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Signatures:
+    """Signatures of some rows, the longer ones also folded in halves to each shorter length."""
+
+    def __init__(self, each):
+        self.words = np.array([len(x) for x in each]) // 8
+        self.levels: dict[int, np.ndarray] = {}
+        width, above = int(self.words.max(initial=0)), None
+        while width:
+            level = np.zeros((len(each), width), np.uint64)
+            own = np.flatnonzero(self.words == width)
+            if len(own):
+                level[own] = np.frombuffer(b"".join([each[i] for i in own]), np.uint64).reshape(-1, width)
+            if above is not None:
+                level |= above[:, :width] ^ above[:, width:]
+            self.levels[width] = above = level
+            width //= 2
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Least number of shingles that only one of the rows ``i`` and ``j`` holds."""
+        out = np.zeros(len(i), np.int64)
+        width = np.minimum(self.words[i], self.words[j])
+        for w in np.unique(width):
+            at, level = np.flatnonzero(width == w), self.levels[int(w)]
+            for k in range(0, len(at), 1 << 16):
+                own = at[k : k + (1 << 16)]
+                out[own] = np.bitwise_count(level[i[own]] ^ level[j[own]]).sum(1)
+        return out
+
+
 def needed(n1, n2, percent: int):
     """Least overlap of a link between sets of these sizes."""
     return (percent * (n1 + n2) + 99 + percent) // (100 + percent)
@@ -72,12 +111,12 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
 
-_SURVEY = ["kind", "doc_id", "text_key", "n", "node", "check", "hash", "count"]
-_SURVEY_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+_SURVEY = ["kind", "doc_id", "text_key", "n", "node", "check", "hash", "count", "signature"]
+_SURVEY_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _surveyor(n: int, seed: int):
-    """Sizes and names of all sets; words and shingles that a task meets often among distinct sets."""
+    """Sizes, names and signatures of all sets; words and shingles that a task meets often among distinct sets."""
 
     def run(batches):
         words, grams, held, seen = [], [], 0, set()
@@ -88,7 +127,7 @@ def _surveyor(n: int, seed: int):
                 if arrays:
                     values, counts = np.unique(np.concatenate(arrays), return_counts=True)
                     keep = counts >= least
-                    rows += [(kind, None, None, None, None, None, v, c) for v, c in zip(values[keep].view(np.int64).tolist(), counts[keep].tolist(), strict=True)]
+                    rows += [(kind, None, None, None, None, None, v, c, None) for v, c in zip(values[keep].view(np.int64).tolist(), counts[keep].tolist(), strict=True)]
             return rows
 
         for batch in small(batches):
@@ -97,7 +136,7 @@ def _surveyor(n: int, seed: int):
                 data = lower_ascii(text) if text else b""
                 w, g, _at = shingle_set(data, n)
                 node, check = node_of(g, seed) if len(g) else (None, None)
-                rows.append((0, doc_id, text_key, len(g), node, check, None, None))
+                rows.append((0, doc_id, text_key, len(g), node, check, None, None, signature(g) if len(g) else None))
                 if len(g) and node not in seen:
                     seen.add(node)
                     words.append(w)
@@ -227,35 +266,57 @@ def _stars(percent: int):
     return run
 
 
+def _may_overlap(near: Signatures, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two rows' signatures allow the overlap that their sizes need."""
+    return near.apart(i, j) <= n[i] + n[j] - 2 * needed(n[i], n[j], percent)
+
+
+def _near_pairs(percent: int):
+    def run(batches):
+        for batch in small(batches):
+            k, (a, b, n_a, n_b, own, other) = batch.num_rows, batch.columns
+            near, at = Signatures([*own.to_pylist(), *other.to_pylist()]), np.arange(k)
+            ok = _may_overlap(near, np.concatenate([np.asarray(n_a), np.asarray(n_b)]).astype(np.int64), at, at + k, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x)[ok]) for x in (a, b)], ["a", "b"])
+
+    return run
+
+
 def _cluster_edges(percent: int):
-    """Edges, fewer than entries, that connect the rows of a column which may link although their components differ."""
+    """Edges, fewer than entries, that connect the rows of a column which may link although their components differ. The rows come by column and
+    pair of its parts; of two parts (``r`` below ``s``) the rows of one (``side``) are compared with those of the other."""
 
     def run(batches):
-        for (_h, node, label, size_pos), cuts in _columns(batches, 1):
-            n, p = size_pos >> 32, size_pos & 0xFFFFFFFF
-            a, b = [], []
-            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)], strict=True):
-                at = s + np.lexsort((node[s:e], n[s:e]))
-                if len(at) > NARROW:
-                    near = 100 * n[at[:-1]] >= percent * n[at[1:]]
-                    a.append(node[at[:-1][near]])
-                    b.append(node[at[1:][near]])
-                    continue
-                i, j = np.triu_indices(len(at), 1)
-                i, j = at[i], at[j]
-                ok = (label[i] != label[j]) & _may_link(n[i], p[i], n[j], p[j], percent)
-                joined = {}
-                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    while x in joined:
-                        x = joined[x]
-                    while y in joined:
-                        y = joined[y]
-                    if x != y:
-                        joined[max(x, y)] = min(x, y)
-                a.append(node[np.fromiter(joined, np.int64, len(joined))])
-                b.append(node[np.fromiter(joined.values(), np.int64, len(joined))])
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+        for (_h, r, s, node, label, size_pos, side, each), cuts in _columns(batches, 3):
+            ends = np.append(cuts[1:], len(node))
+            cell = np.repeat(np.arange(len(cuts)), ends - cuts)
+            by = np.lexsort((node, size_pos >> 32, cell))  # within each cell
+            node, label, size_pos, side, each = (x[by] for x in (node, label, size_pos, side, each))
+            n, p, end, whole = size_pos >> 32, size_pos & 0xFFFFFFFF, ends[cell], r == s
+            near = Signatures(each)
+            own, at = np.unique(node, return_inverse=True)
+            parent = np.arange(len(own))  # what the edges connect already is not compared
+            a, b, i, d = [], [], np.arange(len(node)), 0
+            while len(i):  # rows d places apart
+                d += 1
+                i = i[i + d < end[i]]
+                i = i[100 * n[i] >= percent * n[i + d]]  # sizes ascend
+                x = i[(label[i] != label[i + d]) & (whole[i] | (side[i] != side[i + d]))]
+                x = x[(parent[at[x]] != parent[at[x + d]]) & _may_link(n[x], p[x], n[x + d], p[x + d], percent)]
+                x = x[_may_overlap(near, n, x, x + d, percent)]
+                for y in x.tolist():
+                    u, v = at[y], at[y + d]
+                    while parent[u] != u:
+                        u = parent[u]
+                    while parent[v] != v:
+                        v = parent[v]
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        a.append(node[y])
+                        b.append(node[y + d])
+                while len(x) and not np.array_equal(up := parent[parent], parent):
+                    parent = up
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], ["a", "b"])
 
     return run
 
@@ -373,7 +434,11 @@ def _texts_of(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
 
 
 def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, tasks: int) -> DataFrame:
-    """The links among ``pairs`` (pivot a, row b)."""
+    """The links among ``pairs`` (pivot a, row b). Pairs whose signatures are too far apart are not sent."""
+    for k in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("signature").alias(f"signature_{k}")), k)
+    pairs = pairs.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(_near_pairs(percent), "a long, b long")
+    pairs = stored_alone(pairs, "pairs")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").select(F.col("b").alias("node"), F.col("a").alias("p"), F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("salt"))
     pivots = blocks.select(F.col("a").alias("node"), F.col("a").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
@@ -386,10 +451,10 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
 def _survey(keyed: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
     """Rows of the survey, the classes, and the seed under which no two sets share a name."""
     for seed in range(8):
-        survey = stored_alone(keyed.mapInArrow(_surveyor(n, seed), "kind int, doc_id long, text_key long, n int, node long, check long, hash long, count long"), "survey")
+        survey = stored_alone(keyed.mapInArrow(_surveyor(n, seed), "kind int, doc_id long, text_key long, n int, node long, check long, hash long, count long, signature binary"), "survey")
         # The representative is the first row of the class; a null id stands last.
         own = survey.where("kind = 0 and node is not null")
-        classes = stored_alone(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
+        classes = stored_alone(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.max("signature").alias("signature")), "classes")
         if not classes.where("low != high").head(1):
             return survey, classes, seed
     raise RuntimeError("sets share a name under every seed")
@@ -438,8 +503,11 @@ def similarity_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(links)
 
     marked = stored_alone(kept.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"), "size_pos"), "marked")
-    mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
-    edges = marked.join(mixed, "h", "left_semi").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_cluster_edges(percent), "a long, b long")
+    mixed = marked.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / NARROW).cast("int").alias("parts")).where("low != high").select("h", "parts")
+    met = marked.join(mixed, "h").join(classes.select("node", "signature"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("h", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("s"), "node", "label", "size_pos", (F.col("own") > F.col("other")).cast("int").alias("side"), "signature")
+    edges = met.repartition(tasks, "h", "r", "s").sortWithinPartitions("h", "r", "s").mapInArrow(_cluster_edges(percent), "a long, b long")
     cluster = components(edges).withColumnRenamed("label", "cluster")
     cluster = stored_alone(cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "clusters")
     sides = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("cluster", "sides")

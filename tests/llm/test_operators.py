@@ -90,6 +90,41 @@ def test_jaccard_finds_links_that_no_star_sees(spark, monkeypatch):
         assert got == {i: min(g) for i, g in groups.items()}
 
 
+def test_jaccard_sends_no_rows_that_cannot_link(spark, monkeypatch):
+    """Texts of the same few passages share columns but are far apart: none is sent to a block of the product."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 30)) for _ in range(24)]
+    texts = [" ".join(passages[k] for k in rng.permutation(24)[:8]) for _ in range(150)]
+    texts += [texts[3] + " more", texts[4] + " words"]
+    sent, write = {}, jaccard.stored_alone
+
+    def seen(df, name):
+        out = write(df, name)
+        sent[name] = sent.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored_alone", seen)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.digest(docs).collect()}
+    assert got == {i: min(g) for i, g in frames.components({i: frames.shingles(t) for i, t in enumerate(texts)}).items()}
+    assert sent["pairs"] < 10 and sent["clusters"] < 10
+
+
+def test_signatures_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (1, 2, 60, 64, 65, 90, 700, 1000, 3000, 3500):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for k in range(4):
+            sets.append(np.unique(np.concatenate([base[k * size // 9 :], rng.integers(0, 1 << 63, k).astype(np.uint64)])))
+    near = jaccard.Signatures([jaccard.signature(x) for x in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    true = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(i, j, strict=True)])
+    apart = near.apart(i, j)
+    assert (apart <= true).all() and (apart[i == j] == 0).all()
+    assert (apart[(true > 100) & (true < 1500)] > 20).all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
