@@ -36,20 +36,67 @@ END = np.uint64(0x656E64206F662074)  # of no word in particular
 FLUSH_TOKENS = 1_500_000
 #: Counts in a vocabulary shard, one array each after the hashes.
 FIELDS = ("count", "before", "context", "once", "twice", "more")
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 _PRESS, _OPEN = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array(a) for a in arrays], names=[str(i) for i in range(len(arrays))])
-    with pa.ipc.new_stream(sink, batch.schema) as w:
-        w.write_batch(batch)
-    return _PRESS.compress(sink.getvalue().to_pybytes())
+    """Arrays of one length, pressed. All values' first bytes come first, then their second ones and so on, which presses better."""
+    head = ",".join([str(len(arrays[0])), *(a.dtype.str for a in arrays)]).encode()
+    body = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return _PRESS.compress(b"".join([len(head).to_bytes(4, "little"), head, *body]))
 
 
 def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
-    tables = [pa.ipc.open_stream(_OPEN.decompress(b)).read_all() for b in blobs]
-    return [np.concatenate([t.column(i).to_numpy() for t in tables]) for i in range(tables[0].num_columns)]
+    each = []
+    for data in map(_OPEN.decompress, blobs):
+        at = 4 + int.from_bytes(data[:4], "little")
+        n, *kinds = data[4:at].decode().split(",")
+        arrays, n = [], int(n)
+        for kind in map(np.dtype, kinds):
+            size = n * kind.itemsize
+            arrays.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(kind.itemsize, n).T).view(kind).reshape(n))
+            at += size
+        each.append(arrays)
+    return each[0] if len(each) == 1 else [np.concatenate(x) for x in zip(*each, strict=True)]
+
+
+def _hash_order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of evenly spread 64-bit values: their upper bits and places are sorted as one number, all bits only where that does not do."""
+    room = np.uint64(max(len(keys) - 1, 1).bit_length())
+    by = np.sort(keys >> room << room | np.arange(len(keys), dtype=np.uint64))
+    by = (by & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+    got = keys[by]
+    return by if (got[1:] >= got[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def _order(packed: list[np.ndarray]) -> np.ndarray:
+    """What ``np.lexsort`` gives for columns of pairs of 32-bit numbers, the first column first: numbers and places are sorted as one number of 64 bits."""
+    rows = len(packed[0])
+    room = max(rows - 1, 1).bit_length()
+    places, mask = np.arange(rows, dtype=np.uint64), np.uint64((1 << room) - 1)
+    value, used = np.zeros(rows, np.uint64), 0
+    for c in (x for p in packed for x in (p >> _HALF, p & _LOW)):
+        width = int(c.max()).bit_length() if rows else 0
+        if used + width + room > 64:  # numbers for the values so far
+            if 2 * room + width > 64:
+                return np.lexsort(packed[::-1])
+            got = np.sort(value << np.uint64(room) | places)
+            value[(got & mask).astype(np.int64)] = np.cumsum(np.diff(got >> np.uint64(room), prepend=got[:1] >> np.uint64(room)) > 0).astype(np.uint64)
+            used = room
+        value, used = value << np.uint64(width) | c, used + width
+    return (np.sort(value << np.uint64(room) | places) & mask).astype(np.int64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct evenly spread values, the first place of each, and by place the value's number."""
+    by = _hash_order(keys)
+    got = keys[by]
+    new = np.ones(len(got), bool)
+    new[1:] = got[1:] != got[:-1]
+    inverse = np.empty(len(got), np.int64)
+    inverse[by] = np.cumsum(new) - 1
+    return got[new], by[new], inverse
 
 
 def _delta(sorted_keys: np.ndarray) -> np.ndarray:
@@ -247,8 +294,6 @@ def _words(folder: str, bits: int, starts: np.ndarray, name: str) -> Words:
 
 # ---- n-grams -----------------------------------------------------------------------------------------------------------------
 
-_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
-
 
 def _packed(columns: list[np.ndarray]) -> list[np.ndarray]:
     """The columns of words' numbers two by two, the middle words first: what n-grams are sorted by."""
@@ -299,10 +344,12 @@ def _place(columns: list[np.ndarray], hot: np.ndarray, bits: int) -> np.ndarray:
     if not bits:
         return np.zeros(len(columns[0]), np.int64)
     own, loose = np.zeros(len(columns[0]), np.uint64), np.ones(len(columns[0]), bool)
+    table = np.zeros(int(hot.max()) + 1, bool)  # the start, which is hot, has the largest number
+    table[hot.astype(np.int64)] = True
     for c in columns[1:-1]:
         own = mix64(own ^ mix64(c + np.uint64(1)))
-        loose &= np.isin(c, hot)
-    first, last = np.isin(columns[0], hot), np.isin(columns[-1], hot)
+        loose &= table[c.astype(np.int64)]
+    first, last = (table[columns[k].astype(np.int64)] for k in (0, -1))
     own = np.where(loose & (last | ~first), mix64(own ^ mix64(columns[0] + np.uint64(1 << 33))), own)
     own = np.where(loose & first, mix64(own ^ mix64(columns[-1] + np.uint64(1 << 34))), own)
     return (mix64(own) >> np.uint64(64 - bits)).astype(np.int64)
@@ -312,7 +359,7 @@ def _merged_grams(packed: list[np.ndarray], counts: list[np.ndarray]) -> tuple[l
     """Distinct n-grams in order, and the sums of their counts."""
     if not len(packed[0]):
         return packed, counts
-    by = np.lexsort(packed[::-1])
+    by = _order(packed)
     packed = [p[by] for p in packed]
     new = np.ones(len(by), bool)
     new[1:] = np.logical_or.reduce([p[1:] != p[:-1] for p in packed])
@@ -330,13 +377,15 @@ def _grams_of(blobs: list[bytes], n: int) -> tuple[list[np.ndarray], list[np.nda
     return [x.astype(np.uint64) for x in got[:k]], got[k:]
 
 
-def _numbers(held: list[np.ndarray], words: Words, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all texts' words (-1 where unknown), each text behind ``pad`` starts (the vocabulary's size); and the places of the words."""
-    distinct, at = np.unique(np.concatenate(held), return_inverse=True)
+def _numbers(held: list[np.ndarray], words: Words, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all texts' words (-1 where unknown), each text behind ``pad`` starts (the vocabulary's size); the places of the words;
+    and the numbers of the distinct words, which ascend but for unknown ones, with each word's row there."""
+    distinct, _first, at = _distinct(np.concatenate(held))
+    numbers = words.numbers(distinct)
     places = np.arange(len(at)) + np.repeat(np.arange(1, len(held) + 1) * pad, [len(x) for x in held])
     flat = np.full(len(at) + pad * len(held), words.starts[-1], np.int64)
-    flat[places] = words.numbers(distinct)[at]
-    return flat, places
+    flat[places] = numbers[at]
+    return flat, places, numbers, at
 
 
 def _gram_counter(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray, order: int):
@@ -344,7 +393,7 @@ def _gram_counter(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray, o
         words = None
         for held in _flushes(batches, size=2 * FLUSH_TOKENS // order):
             words = words or _words(folder, bits, starts, "words")
-            flat, at = _numbers(held, words, order - 1)
+            flat, at, _numbered, _row = _numbers(held, words, order - 1)
             packed, counts = _merged_grams(_packed([flat[at - k] for k in range(order - 1, -1, -1)]), [np.ones(len(at), np.uint8)])
             yield _blob_batch(_gram_blobs(order, _place(_columns(packed, order), hot, bits), packed, counts))
 
@@ -363,7 +412,7 @@ def _gram_writer(folder: str, bits: int, starts: np.ndarray, hot: np.ndarray, n:
             packed, fields = _merged_grams(*_grams_of(blobs, n))
             columns = _columns(packed, n)
             keys = _gram_key(columns)
-            by = np.argsort(keys)
+            by = _hash_order(keys)
             write_arrays(f"{folder}/grams-{n}-{shard}", [*_key_arrays(keys[by]), *(x for f in fields for x in _compact(f[by]))])
             seen = fields[0] > 0  # others are contexts only
             columns, counts = [c[seen] for c in columns], fields[0][seen]
@@ -440,7 +489,7 @@ class Model:
         places = places[places >= n - 1]
         places = places[np.logical_and.reduce([flat[places - k] >= 0 for k in range(n)])]
         columns = [flat[places - k].astype(np.uint64) for k in range(n - 1, -1, -1)]
-        keys, first, inverse = np.unique(_gram_key(columns), return_index=True, return_inverse=True)
+        keys, first, inverse = _distinct(_gram_key(columns))
         out = np.zeros((1 if n == self.order else len(FIELDS) - 1, len(keys) + 1))
         for k, (at, own) in _split(_place([c[first] for c in columns], self.hot, self.bits), np.arange(len(keys)), keys):
             arrays = _mapped(f"{self.folder}/grams-{n}-{k}")
@@ -455,12 +504,14 @@ class Model:
     def score(self, held: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """Tokens, known tokens, base score and score of each text."""
         words = _words(self.folder, self.bits, self.starts, "model")
-        flat, at = _numbers(held, words, self.order - 1)
-        distinct = np.unique(flat[(flat >= 0) & (flat < self.vocabulary)])
+        flat, at, numbers, row = _numbers(held, words, self.order - 1)
+        known = numbers >= 0
+        distinct = numbers[known]
         fields = np.zeros((len(FIELDS), len(distinct) + 2))  # at the end: unknown, start
         fields[:, : len(distinct)] = words.fields(distinct)
         fields[2:, -1] = self.start
-        column = np.where(flat < 0, len(distinct), np.where(flat == self.vocabulary, len(distinct) + 1, np.searchsorted(distinct, flat)))
+        column = np.full(len(flat), len(distinct) + 1)
+        column[at] = np.where(known, np.cumsum(known) - 1, len(distinct))[row]
         count, continued = fields[0][column[at]], fields[1][column[at]]
         base = np.log10((count + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         low = lambda c, d: np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))

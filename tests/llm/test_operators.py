@@ -462,3 +462,25 @@ def test_empty_tables(spark, empty):
     assert token_files.token_file_digest(empty).count() == 0
     assert decontam.contamination(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
     assert toxicity.toxicity_scores(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_orders_of_grams_and_hashes():
+    rng = np.random.default_rng(8)
+    for rows, top in ((0, 9), (1, 9), (500, 3), (5000, 1 << 20), (5000, 1 << 32), (70_000, 1 << 31)):
+        packed = [rng.integers(0, top, rows).astype(np.uint64) << np.uint64(32) | rng.integers(0, 4, rows).astype(np.uint64), rng.integers(0, top, rows).astype(np.uint64)]
+        assert (kneser_ney._order(packed) == np.lexsort(packed[::-1])).all()
+        for keys in (packed[1], rng.integers(0, 1 << 64, rows, dtype=np.uint64) >> np.uint64(rows % 60)):
+            assert (kneser_ney._hash_order(keys) == np.argsort(keys, kind="stable")).all()
+            values, first, inverse = kneser_ney._distinct(keys)
+            assert (values[inverse] == keys).all() and (keys[first] == values).all() and (values[1:] > values[:-1]).all()
+
+
+def test_blobs_of_grams_press_well():
+    """Sorted pairs of words and the third word take well below their 13 bytes, and come back as they were."""
+    rng = np.random.default_rng(9)
+    words = lambda: np.minimum(rng.zipf(1.3, 50_000), 1 << 20).astype(np.uint64)
+    packed, counts = kneser_ney._merged_grams([words() << np.uint64(32) | words(), words()], [np.ones(50_000, np.uint8)])
+    ((_shard, blob),) = kneser_ney._gram_blobs(3, np.zeros(len(packed[0]), np.int64), packed, counts)
+    got, fields = kneser_ney._grams_of([blob, blob], 3)
+    assert all((np.concatenate([x, x]) == y).all() for x, y in zip([*packed, *counts], [*got, *fields], strict=True))
+    assert len(blob) < 2.5 * len(packed[0])
