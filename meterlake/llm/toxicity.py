@@ -95,10 +95,12 @@ def train(labels: np.ndarray, index: list[np.ndarray], value: list[np.ndarray],
     prior = float(np.log((n1 + 1) / (n - n1 + 1)))
     if n1 in (0, n):
         return Model(np.zeros(buckets, np.float32), prior)
-    every = np.concatenate(index)
-    keep = np.bincount(every, minlength=buckets) >= 2
-    square = np.bincount(every, np.concatenate(value) ** 2, buckets) / n
-    del every
+    texts, square = np.zeros(buckets, np.int64), np.zeros(buckets)
+    for i, v in zip(index, value, strict=True):  # text by text, so that no copy of the whole sample is made
+        np.add.at(texts, i, 1)
+        np.add.at(square, i, (v**2).astype(float))
+    keep = texts >= 2
+    square /= n
     factor = np.where(keep, np.maximum(square, 1e-12) ** -0.25, 0)
     used = np.flatnonzero(keep)
     factor *= SCALE / max(np.sqrt((square * factor**2).sum()), 1e-12)
@@ -106,26 +108,33 @@ def train(labels: np.ndarray, index: list[np.ndarray], value: list[np.ndarray],
     out = rng.normal(0, 0.5, (dimensions, 2))
     bias = np.array([0.0, prior])
     order, batches = rng.permutation(n), []
+    # The entries of all batches lie in three arrays, which go back to the system as a whole; many small ones leave holes that the driver keeps.
+    size, done = int(texts[keep].sum()), 0
+    row, back, val = np.empty(size, np.uint16), np.empty(size, np.int32), np.empty(size, np.float32)
     for k in range(0, n, BATCH):
         rows = order[k : k + BATCH]
         kept = [index[i][keep[index[i]]] for i in rows]
-        column, back = np.unique(np.concatenate(kept), return_inverse=True)
-        values = np.concatenate([value[i][keep[index[i]]] for i in rows])
-        batches.append((labels[rows].astype(int), np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.searchsorted(used, column), back.astype(np.int32), (values * factor[column][back]).astype(np.float32)))
+        column, places = np.unique(np.concatenate(kept), return_inverse=True)
+        own = slice(done, done := done + len(places))
+        row[own] = np.repeat(np.arange(len(rows)), [len(x) for x in kept])
+        back[own] = places
+        val[own] = np.concatenate([value[i][keep[index[i]]] for i in rows]) * factor[column][places]
+        batches.append((labels[rows].astype(int), row[own], np.searchsorted(used, column).astype(np.int32), back[own], val[own]))
+    del kept, places
     epochs = max(MIN_EPOCHS, min(MAX_EPOCHS, steps // len(batches)))
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for b in rng.permutation(len(batches)):
-            y, row, column, back, val = batches[b]
+            y, of, column, at, amount = batches[b]
             own = embed[column]
-            text = np.stack([np.bincount(row, val * own[back, d], len(y)) for d in range(dimensions)], 1)
+            text = np.stack([np.bincount(of, amount * own[at, d], len(y)) for d in range(dimensions)], 1)
             logits = text @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             g = p / len(y)
             d_text = g @ out.T
-            embed[column] -= lr * np.stack([np.bincount(back, val * d_text[row, d], len(column)) for d in range(dimensions)], 1)
+            embed[column] -= lr * np.stack([np.bincount(at, amount * d_text[of, d], len(column)) for d in range(dimensions)], 1)
             out -= lr * 0.1 * (text.T @ g)
             bias -= lr * 0.1 * g.sum(0)
     weights = np.zeros(buckets, np.float32)
