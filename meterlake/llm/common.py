@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -155,9 +156,16 @@ def word_hashes(data: bytes) -> np.ndarray:
     return out[-1] if len(out) < 3 else np.concatenate(out)
 
 
+def give_back() -> None:
+    """Memory that earlier tasks of this worker freed and the C library kept goes back to the system (glibc; others have no such call)."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(batches) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few hundred rows, so that only these become Python objects. The worker's Arrow memory goes back to the system when it is free."""
     pa.set_memory_pool(pa.system_memory_pool())
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix64, prepare, small, stored_alone, window_hashes, word_hashes
+from .common import give_back, lower_ascii, mix64, prepare, small, stored_alone, window_hashes, word_hashes
 from .components import components
 
 N = 5
@@ -203,6 +203,7 @@ ENTRY = "h long, node long, size_pos long, salt int"
 
 def _columns(batches, keys: int):
     """The columns of a stream sorted by its first ``keys`` fields, as (whole columns' arrays, first row of each column)."""
+    give_back()
     rest = None
     for batch in batches:
         now = [np.asarray(c) for c in batch.columns]
@@ -375,6 +376,7 @@ def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 def _blocks(percent: int):
     def run(batches):
+        give_back()
         at, rows = None, []
         for batch in batches:
             for cluster, r, s, side, node, label, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
